@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gristmill.functions.numbers import read_count
 from gristmill.llm.bpe import corpus_ids
 from gristmill.llm.folding import same_look_pairs, with_folded
+from gristmill.llm.language import languages_of, mislabelled, train_on, with_languages
+from gristmill.llm.leakage import leaked
 from gristmill.llm.ranking import leximin, leximin_top
 from gristmill.llm.vectors import nearest, similar_pairs
 from gristmill.sources.tables import table
@@ -46,11 +48,57 @@ def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(df, "vec_id", "embedding", 10, query="vec_id % 100 = 0").withColumn("similarity", F.round("similarity", 6))
 
 
+def _comments(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments of both tables with their declared language."""
+    reviews = table(spark, sf, "order_reviews").select(
+        F.lit("order_reviews").alias("src_table"),
+        F.col("review_id").cast("string").alias("record_id"),
+        F.col("review_comment_message").alias("text"),
+        F.col("declared_lang").alias("label"),
+    )
+    offers = table(spark, sf, "catalog_raw").select(
+        F.lit("catalog_raw").alias("src_table"),
+        F.col("product_id").alias("record_id"),
+        F.col("review_content").alias("text"),
+        F.col("review_lang").alias("label"),
+    )
+    return reviews.unionAll(offers)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments whose label is missing, wrong or not enough, with each language they hold."""
+    df = _comments(spark, sf)
+    model = train_on(df, "record_id", "text", "label")
+    seen = with_languages(df, "text", "parts", model).select("src_table", "record_id", "label", languages_of(F.col("parts")).alias("languages"))
+    cases = seen.filter(mislabelled(F.col("label"), F.col("languages")))
+    return cases.select("src_table", "record_id", F.explode("languages").alias("lang_code")).distinct()
+
+
+def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sentence of every comment with its place, language and confidence."""
+    df = _comments(spark, sf).distinct()
+    model = train_on(df, "record_id", "text", "label")
+    parts = with_languages(df, "text", "parts", model).select("src_table", "record_id", F.inline("parts"))
+    return parts.withColumn("confidence", F.round("confidence", 4)).distinct()
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return corpus_ids(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold ten or more consecutive words of a test question."""
+    found = leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "question")
+    return found.select("doc_id", "item_id")
+
+
+def p8_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the length of the longest shared run, the test side read from question and answer."""
+    tests = table(spark, sf, "eval_items").select("item_id", F.concat_ws(" ", "question", "answer").alias("passage"))
+    return leaked(table(spark, sf, "documents"), "doc_id", "text", tests, "item_id", "passage")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that look the same and are stored differently."""
     return same_look_pairs(table(spark, sf, "documents"), "doc_id", "text")
@@ -66,7 +114,11 @@ QUERIES = {
     "p1_ranking": p1_ranking,
     "p2_found": p2_found,
     "p2_nearest": p2_nearest,
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_runs": p8_runs,
     "p9_found": p9_found,
     "p9_texts": p9_texts,
 }
