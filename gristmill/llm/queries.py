@@ -10,6 +10,7 @@ from gristmill.llm.bpe import corpus_ids
 from gristmill.llm.folding import same_look_pairs, with_folded
 from gristmill.llm.language import languages_of, mislabelled, train_on, with_languages
 from gristmill.llm.leakage import leaked
+from gristmill.llm.listings import group_listings, same_product_pairs
 from gristmill.llm.ranking import leximin, leximin_top
 from gristmill.llm.vectors import nearest, similar_pairs
 from gristmill.sources.tables import table
@@ -48,6 +49,16 @@ def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(df, "vec_id", "embedding", 10, query="vec_id % 100 = 0").withColumn("similarity", F.round("similarity", 6))
 
 
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The product group of every offer."""
+    return group_listings(table(spark, sf, "catalog_raw"), "product_id", "product_name", "about_product")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two offers of one product."""
+    return same_product_pairs(p3_groups(spark, sf), "product_id")
+
+
 def _comments(spark: SparkSession, sf: str) -> DataFrame:
     """Comments of both tables with their declared language."""
     reviews = table(spark, sf, "order_reviews").select(
@@ -114,6 +125,8 @@ QUERIES = {
     "p1_ranking": p1_ranking,
     "p2_found": p2_found,
     "p2_nearest": p2_nearest,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
     "p7_ids": p7_ids,
