@@ -42,12 +42,12 @@ _BLANK = r"[ \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]"
 
 
 def grammar(packing: Packing) -> str:
-    """The pattern of one item together with the delimiter before it."""
+    """The pattern of one item together with the delimiter, or the opening mark, before it."""
     d = f"(?:{packing.delimiter})"
     ends = rf"(?={_BLANK}*+(?:{d}|\z))"
     quoted = rf'{_SPACE}*+"[^"]*+(?:""[^"]*+)*+"{ends}{_BLANK}*+'
     bracketed = rf"{_SPACE}*+\[[^\]]*+\]{ends}{_BLANK}*+|" if packing.brackets else ""
-    return rf"(?s){d}(?:{quoted}|{bracketed}(?:(?!{d}).)*+)"
+    return rf"(?s)(?:\A\x00|{d})(?:{quoted}|{bracketed}(?:(?!{d}).)*+)"
 
 
 def strip(text: Column) -> Column:
@@ -62,7 +62,7 @@ def split_values(text: Column, packing: Packing) -> Column:
     `kind` is quoted, bracketed or bare; `malformed` marks bare values that begin with a quote or hold
     an odd number of them at their edges.
     """
-    lead = rf"\A(?:{packing.delimiter})"
+    lead = rf"\A(?:\x00|{packing.delimiter})"
 
     def shape(raw: Column) -> Column:
         body = strip(F.regexp_replace(raw, lead, ""))
@@ -81,8 +81,8 @@ def split_values(text: Column, packing: Packing) -> Column:
             (~is_quoted & body.startswith('"')).alias("malformed"),
         )
 
-    # Every item is read with the delimiter before it, so one is set before the first.
-    raws = F.regexp_extract_all(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), F.lit(grammar(packing)), 0)
+    # Every item is read with the delimiter before it, so the first is given one of its own.
+    raws = F.regexp_extract_all(F.concat(F.lit("\x00"), F.coalesce(text, F.lit(""))), F.lit(grammar(packing)), 0)
     return F.filter(F.transform(raws, shape), lambda v: v["item_value"] != "")
 
 

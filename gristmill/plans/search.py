@@ -272,7 +272,7 @@ def multimodal_search(s, sf):
         "outer",
     ).filter(F.col("price_usd").isNotNull())
     score = F.coalesce("text_score", F.lit(0.0)) * 1.5 + F.coalesce("image_score", F.lit(0.0)) * 0.5 + fusion.over_max("price_usd", "query_id") * 0.5
-    c = c.withColumn("score", F.round(score, 6))
+    c = c.withColumn("score", F.round(score, 9))
     return fusion.head(c, "score", 5).select("query_id", "doc_id", "score", "rank")
 
 
@@ -457,7 +457,7 @@ SQL = {
     "constant_rerank": _OUTER + ", cand AS (SELECT query_id, doc_id, h, 0.0::DOUBLE AS semantic FROM fused)" + _RERANK,
     "custom_boost": f"SELECT doc_id, {_WORDING} AS boost FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)",
     "multimodal_search": "WITH r AS (SELECT query_id, product_id AS doc_id, max(vector_score) AS t, max(price_usd) AS p, max(bm25_score_norm) AS i FROM search_results GROUP BY ALL), "
-    "s AS (SELECT query_id, doc_id, round(coalesce(t, 0) * 1.5::DOUBLE + coalesce(i, 0) * 0.5::DOUBLE + coalesce(p / nullif(max(p) OVER (PARTITION BY query_id), 0), 0) * 0.5::DOUBLE, 6) AS score FROM r WHERE p IS NOT NULL) "
+    "s AS (SELECT query_id, doc_id, round(coalesce(t, 0) * 1.5::DOUBLE + coalesce(i, 0) * 0.5::DOUBLE + coalesce(p / nullif(max(p) OVER (PARTITION BY query_id), 0), 0) * 0.5::DOUBLE, 9) AS score FROM r WHERE p IS NOT NULL) "
     + _top("s", 5),
     "demo_search": f"""
         WITH offers AS (
