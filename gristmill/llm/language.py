@@ -233,10 +233,13 @@ def train(texts: list[str], labels: list[int], order: int = ORDER) -> Model:
         return _kneser_ney(both, y, order)
 
     right = np.flatnonzero(_by_frequency(parts, np.array(list(votes.values()))) == ys)
-    held = right[right % 10 == 0]
     model = fit(right)
-    if len(held) and len(right) > len(held):
-        judge = fit(right[right % 10 != 0])
+    place = np.zeros(len(right), int)  # of each sentence among those of its language
+    for k in range(len(LANGUAGES)):
+        place[ys[right] == k] = np.arange((ys[right] == k).sum())
+    held = right[place % 10 == 1]
+    if len(held):
+        judge = fit(right[place % 10 != 1])
         ce = judge.cross_entropy([parts[i] for i in held])
         n = np.array([min(len(parts[i]), 60) + 1 for i in held], float)
         best_t, best_loss = 1.0, np.inf

@@ -49,10 +49,10 @@ def _below(counted: DataFrame, keys: list[str], order: list[Column], n: str) ->
     )
 
 
-def standings(df: DataFrame, group: str, item: str, scores: dict[str, Column]) -> DataFrame:
+def standings(df: DataFrame, group: str, item: str, scores: dict[str, Column | str]) -> DataFrame:
     """(group, item, standing ARRAY<DOUBLE>): each item's percentiles over `scores`, ascending.
 
-    Every score is "higher is better"; negate one that is not. A percentile is the share of the
+    Every score, a column or SQL expression, is "higher is better"; negate one that is not. A percentile is the share of the
     group's items that are worse, ties counting half. Null and NaN scores are tied at the bottom.
     A (group, item) that is repeated counts once, with the best value of each score. An empty table
     gives no row; a group of one item gives 0.5 throughout. Other columns are not read.
@@ -60,7 +60,7 @@ def standings(df: DataFrame, group: str, item: str, scores: dict[str, Column]) -
     bottom = F.lit(float("-inf"))
     columns = []
     for i, c in enumerate(scores.values()):
-        d = c.cast("double")
+        d = (F.expr(c) if isinstance(c, str) else c).cast("double")
         columns.append(F.max(F.when(F.isnan(d), None).otherwise(d)).alias(f"__s{i}"))
     items = df.groupBy(F.col(group).alias("__g"), F.col(item).alias("__i")).agg(*columns)
     long = items.select(
@@ -80,7 +80,7 @@ def standings(df: DataFrame, group: str, item: str, scores: dict[str, Column]) -
     )
 
 
-def leximin(df: DataFrame, group: str, item: str, scores: dict[str, Column]) -> DataFrame:
+def leximin(df: DataFrame, group: str, item: str, scores: dict[str, Column | str]) -> DataFrame:
     """(group, item, standing, position): the whole ranking; equal standings follow the item id."""
     s = standings(df, group, item, scores).withColumnsRenamed({group: "__g", item: "__i"})
     s = s.withColumn("__g", F.struct(F.col("__g").alias("g"))).withColumn("__worst", -F.get("standing", F.lit(0))).withColumn("__one", F.lit(1))
@@ -89,7 +89,7 @@ def leximin(df: DataFrame, group: str, item: str, scores: dict[str, Column]) ->
     return ranked.select(F.col("__g.g").alias(group), F.col("__i").alias(item), "standing", (F.col("__below") + 1).alias("position"))
 
 
-def leximin_top(df: DataFrame, group: str, item: str, scores: dict[str, Column], k: int) -> DataFrame:
+def leximin_top(df: DataFrame, group: str, item: str, scores: dict[str, Column | str], k: int) -> DataFrame:
     """The first `k` of each group's ranking, with position; each task keeps k rows of a group before the shuffle."""
     w = Window.partitionBy(group).orderBy(F.col("standing").desc(), F.col(item).asc_nulls_last())
     return (
