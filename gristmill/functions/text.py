@@ -49,10 +49,19 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(text_of(c)), F.lit(f"({WORD})"), 1)
 
 
+def is_long_token(t: Column) -> Column:
+    """True for tokens of two characters at least."""
+    return F.length(t) >= 2
+
+
+def is_search_token(t: Column) -> Column:
+    """True for tokens that sparse search keeps: no stop word, no underscore, two characters at least."""
+    return is_long_token(t) & ~t.contains("_") & ~t.isin(STOP_WORDS)
+
+
 def search_tokens(c: Column) -> Column:
-    """Tokens for sparse search: no stop words, none with an underscore, two characters at least."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(tokens(c), lambda t: ~t.contains("_") & ~F.array_contains(stop, t) & (F.length(t) >= 2))
+    """The tokens of a text that sparse search keeps, as an array."""
+    return F.filter(tokens(c), is_search_token)
 
 
 def strip_accents(c: Column) -> Column:

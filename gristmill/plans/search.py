@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
@@ -16,11 +16,6 @@ from gristmill.sources.tables import table
 K = 10
 
 
-def plain_tokens(c: Column) -> Column:
-    """Lower-case tokens of two characters at least."""
-    return F.filter(T.tokens(c), lambda t: F.length(t) >= 2)
-
-
 def _docs(s: SparkSession, sf: str) -> DataFrame:
     return table(s, sf, "documents").select("doc_id", "text")
 
@@ -59,12 +54,12 @@ def key_terms(s, sf):
 
 
 def tfidf_topk(s, sf):
-    w, v = sparse.fit_tfidf(_docs(s, sf), "doc_id", "text", plain_tokens)
-    return sparse.search_tfidf(w, v, _queries(s, sf), plain_tokens, 20)
+    w, v = sparse.fit_tfidf(_docs(s, sf), "doc_id", "text", T.is_long_token)
+    return sparse.search_tfidf(w, v, _queries(s, sf), T.is_long_token, 20)
 
 
 def tfidf_top_features(s, sf):
-    return sparse.top_features(_docs(s, sf), "doc_id", "text", T.search_tokens, 20)
+    return sparse.top_features(_docs(s, sf), "doc_id", "text", T.is_search_token, 20)
 
 
 _TOK = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), lambda t: length(t) >= 2)"
@@ -279,8 +274,8 @@ def multimodal_search(s, sf):
 def demo_search(s, sf):
     """Keyword score plus boosts with labels of relevance, over all offers."""
     offers = _offers(s, sf).select("doc_id", "category", F.concat_ws(" ", "product_name", "category", "about_product").alias("text"))
-    w, v = sparse.fit_tfidf(offers, "doc_id", "text", plain_tokens, 5000)
-    top = sparse.search_tfidf(w, v, _queries(s, sf), plain_tokens, 100).withColumnRenamed("rank", "keyword_rank")
+    w, v = sparse.fit_tfidf(offers, "doc_id", "text", T.is_long_token, 5000)
+    top = sparse.search_tfidf(w, v, _queries(s, sf), T.is_long_token, 100).withColumnRenamed("rank", "keyword_rank")
     q = _queries(s, sf).select("query_id", A.product_type(F.col("text"), A.DEMO_TYPES).alias("kind"), A.key_features(F.col("text"), A.DEMO_FEATURES).alias("features"))
     c = top.join(q, "query_id").join(offers, "doc_id")
     kind = F.when((F.col("kind") != "") & F.coalesce(F.contains(F.lower("category"), F.col("kind")), F.lit(False)), 2.0).otherwise(0.0)
