@@ -176,6 +176,23 @@ def merge_names(names: list[str]) -> dict[str, str]:
     return {n: find(n) for n in names}
 
 
+def _merged(at: tuple[str, str] | None, group: list[tuple[str, list[str]]]) -> list[tuple]:
+    """(n, props, w, name, known brands) of the names of one group."""
+    if not group:
+        return []
+    to = merge_names([w for w, _ in group]) if len(group) > 1 else {group[0][0]: group[0][0]}
+    brands: dict[str, set] = {}
+    for w, b in group:
+        brands.setdefault(to[w], set()).update(b)
+    return [(*at, w, to[w], sorted(brands[to[w]])) for w, _ in group]
+
+
+def _merged_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 5
+    kinds = [pa.string()] * 4 + [pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["n", "props", "w", "name", "known"])
+
+
 def group_listings(df: DataFrame, key: str, title: str, description: str) -> DataFrame:
     """(key, group_id): the group of each listing; listings of one product share it.
 
@@ -228,23 +245,21 @@ def group_listings(df: DataFrame, key: str, title: str, description: str) -> Dat
     # Verification: different (name, stated brand) of one number and one set of properties.
     names = chosen.filter(F.col("w").isNotNull()).groupBy("n", "props", "w").agg(F.collect_set(F.nullif("brand", F.lit(""))).alias("brands"))
 
-    def merge(t: pa.Table) -> pa.Table:
-        found = sorted(t.column("w").to_pylist())
-        to = merge_names(found)
-        brands: dict[str, set] = {}
-        for w, b in zip(t.column("w").to_pylist(), t.column("brands").to_pylist()):
-            brands.setdefault(to[w], set()).update(b)
-        return pa.table(
-            {
-                "n": t.column("n"),
-                "props": t.column("props"),
-                "w": t.column("w"),
-                "name": pa.array([to[w] for w in t.column("w").to_pylist()], pa.string()),
-                "known": pa.array([sorted(brands[to[w]]) for w in t.column("w").to_pylist()], pa.list_(pa.string())),
-            }
-        )
-
-    merged = names.groupBy("n", "props").applyInArrow(merge, "n string, props string, w string, name string, known array<string>")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted rows: each group is complete when the next begins, however many groups a task has.
+        at, group = None, []
+        for b in batches:
+            out: list[tuple] = []
+            for n, props, w, brands in zip(*(b.column(c).to_pylist() for c in ("n", "props", "w", "brands"))):
+                if (n, props) != at:
+                    out += _merged(at, group)
+                    at, group = (n, props), []
+                group.append((w, brands))
+            yield _merged_batch(out)
+        yield _merged_batch(_merged(at, group))
+
+    sorted_names = names.repartition("n", "props").sortWithinPartitions("n", "props", "w")
+    merged = sorted_names.mapInArrow(merge, "n string, props string, w string, name string, known array<string>")
     placed = chosen.join(merged, ["n", "props", "w"], "left")
     # Where a name belongs to several brands, a listing that states none takes the one its title names.
     of_title = F.get(F.array_intersect("words", "known"), F.lit(0))
@@ -254,7 +269,8 @@ def group_listings(df: DataFrame, key: str, title: str, description: str) -> Dat
 
 
 def same_product_pairs(groups: DataFrame, key: str) -> DataFrame:
-    """(key_a, key_b), key_a < key_b, of every two listings in one group."""
+    """(key_a, key_b), key_a < key_b, of every two listings in one group; the groups are computed once."""
+    groups = checkpointed(groups)
     a, b = groups.alias("a"), groups.alias("b")
     on = (F.col("a.group_id") == F.col("b.group_id")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
     return a.join(b, on).select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b")).distinct()
