@@ -1,11 +1,13 @@
 """Most similar vectors for every vector: a block matrix join in int8 with exact float recomputation.
 
-1. Vectors become unit vectors. Cell centres are fitted by k-means on a bounded sample; every vector
+1. Equal vectors are put into classes by hash; one of each class goes on, so a group of copies of any
+   size costs as much as one vector until results are expanded.
+2. Vectors become unit vectors. Cell centres are fitted by k-means on a bounded sample; every vector
    has a home cell, its nearest centre, and visits the next nearest cells as well.
-2. Homes and visitors of a cell meet in tiles of bounded size. A tile multiplies the int8 forms of its
+3. Homes and visitors of a cell meet in tiles of bounded size. A tile multiplies the int8 forms of its
    two blocks (in float32 matrix products, exact here: 64 products of 127^2 stay below 2^24) and knows
    for each vector the norm of its rounding error, so every product comes with an error bound.
-3. Pairs that the bound cannot rule out are recomputed in float64. For k nearest, each tile keeps a
+4. Pairs that the bound cannot rule out are recomputed in float64. For k nearest, each tile keeps a
    heap of k per vector, and the heaps of a vector's tiles are merged.
 
 Cells are found on a sample, all rows are indexed; what is lost is only a pair neither of whose vectors
@@ -24,6 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.session import checkpointed
+
+#: Classes of equal vectors up to which their table is broadcast.
+BROADCAST_CLASSES = 50_000
 #: Vectors the centres are fitted on, at most.
 FIT_ROWS = 16_384
 #: Rounds of k-means.
@@ -109,11 +115,36 @@ def bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _PLACED = "id long, cell int, block int, home boolean, query boolean, v binary"
 
 
-def _place(df: DataFrame, key: str, vector: str, dim: int, probes: int, query: str | None) -> DataFrame:
+def _collapsed(df: DataFrame, key: str, vector: str, dim: int, query: str | None) -> tuple[DataFrame, DataFrame | None]:
+    """(id, query, v) with one row for each class of equal vectors, and the classes of several rows.
+
+    The second is (rep, id, query) of every row of those classes, the representative among them, or None
+    where all vectors differ. Only hashes are shuffled to find the classes.
+    """
+    base = df.select(F.col(key).cast("long").alias("id"), (F.expr(query) if query else F.lit(True)).alias("query"), F.col(vector).alias("v"))
+    base = base.filter(F.size("v") == dim)
+    marks = [F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")]
+    by_id = base.select("id", "query", *marks).groupBy("h1", "h2", "id").agg(F.count("*").alias("rows"), F.max("query").alias("query"))
+    classes = by_id.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("ids"), F.max("rows").alias("rows"), F.max("query").alias("any_asks"))
+    classes = checkpointed(classes.filter("ids > 1 OR rows > 1"))
+    facts = classes.agg(F.count("*").alias("n"), F.max("rows").alias("rows")).first()
+    if not facts.n:
+        return base, None
+    known = F.broadcast(classes) if facts.n <= BROADCAST_CLASSES else classes
+    marked = base.select("*", *marks).join(known, ["h1", "h2"], "left")
+    alone = marked.filter("rep IS NULL").select("id", "query", "v")
+    first = marked.filter("rep = id")
+    if facts.rows > 1:
+        first = first.dropDuplicates(["h1", "h2"])
+    first = first.select("id", F.col("any_asks").alias("query"), "v")
+    usable = first.filter(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: ~F.isnan(x))).select(F.col("id").alias("rep"))
+    members = marked.filter("rep IS NOT NULL").select("rep", "id", "query").distinct().join(usable, "rep", "left_semi")
+    return alone.unionAll(first), members
+
+
+def _place(base: DataFrame, total: int, dim: int, probes: int) -> DataFrame:
     """Every vector once for each block of each cell it is in; as home it also meets the other blocks."""
-    spark = df.sparkSession
-    base = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), (F.expr(query) if query else F.lit(True)).alias("query"))
-    total = df.count()  # rows, from the files' footers
+    spark = base.sparkSession
     share = min(1.0, 1.25 * FIT_ROWS / max(total, 1))
     picked = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(2 * FIT_ROWS)
     _, x = unit_rows(picked.toArrow().column("v"), dim)
@@ -134,8 +165,10 @@ def _place(df: DataFrame, key: str, vector: str, dim: int, probes: int, query: s
                 mine = (ids % n).astype(np.int64)
                 for k in range(int(n.max(initial=1))):
                     some = n > k
-                    if j == 0:
-                        rows.append((np.flatnonzero(some), cell[some], (mine * n + k)[some], np.ones(some.sum(), bool), np.zeros(some.sum(), bool)))
+                    if j == 0:  # where both axes give one block, one row stands for both sides
+                        both = asks & (mine == k)
+                        rows.append((np.flatnonzero(some), cell[some], (mine * n + k)[some], np.ones(some.sum(), bool), both[some]))
+                        some = some & ~both
                     some = some & asks
                     rows.append((np.flatnonzero(some), cell[some], (k * n + mine)[some], np.zeros(some.sum(), bool), np.ones(some.sum(), bool)))
             i, cell, block, home, query = (np.concatenate(c) for c in zip(*rows))
@@ -170,7 +203,8 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, dim: i
     counts once; repeated vectors under other keys are partners like any others. An empty table gives no
     row. Other columns are not read.
     """
-    placed = _place(df, key, vector, dim, probes, None)
+    base, members = _collapsed(df, key, vector, dim, None)
+    placed = _place(base, df.count(), dim, probes)
 
     def tile(t: pa.Table) -> pa.Table:
         ida, a, idb, b = _sides(t, dim)
@@ -188,8 +222,18 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, dim: i
         x, y, c = (np.concatenate(v) if out else np.empty(0) for v in (zip(*out) if out else ((), (), ())))
         return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64()), "c": pa.array(c, pa.float64())})
 
-    found = placed.groupBy("cell", "block").applyInArrow(tile, "a long, b long, c double")
-    return found.groupBy(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b")).agg(F.max("c").alias("similarity"))
+    found = placed.groupBy("cell", "block").applyInArrow(tile, "a long, b long, c double").groupBy("a", "b").agg(F.max("c").alias("c"))
+    if members is not None:
+        m = members.select("rep", "id")
+        for side in ("a", "b"):
+            found = found.join(m.withColumnsRenamed({"rep": side, "id": "of"}), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c")
+        if threshold <= 1:
+            x, y = m.alias("x"), m.alias("y")
+            own = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id")))
+            found = found.unionAll(own.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1.0).alias("c")))
+        found = found.groupBy("a", "b").agg(F.max("c").alias("c"))
+    return found.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"), F.col("c").alias("similarity"))
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int, dim: int = 64, probes: int = 8, query: str | None = None) -> DataFrame:
@@ -199,7 +243,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, dim: int = 64, probes:
     with all rows. A neighbour that is stored several times under one key counts once; ties follow the
     neighbour's key. Rows without a usable vector neither ask nor answer.
     """
-    placed = _place(df, key, vector, dim, probes, query)
+    base, members = _collapsed(df, key, vector, dim, query)
+    placed = _place(base, df.count(), dim, probes)
 
     def tile(t: pa.Table) -> pa.Table:
         ida, a, idb, b = _sides(t, dim)
@@ -233,6 +278,14 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, dim: int = 64, probes:
         return pa.table({"q": pa.array(q, pa.int64()), "n": pa.array(n, pa.int64()), "c": pa.array(c, pa.float64())})
 
     found = placed.groupBy("cell", "block").applyInArrow(tile, "q long, n long, c double").groupBy("q", "n").agg(F.max("c").alias("c"))
+    if members is not None:
+        # Of a class of equal neighbours no more than k + 1 can come out.
+        few = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("r") <= k + 1).select("rep", "id")
+        asking = members.filter("query").select("rep", "id")
+        own = asking.join(few.withColumnRenamed("id", "n"), "rep").select(F.col("id").alias("q"), "n", F.lit(1.0).alias("c"))
+        found = found.join(few.withColumnsRenamed({"rep": "n", "id": "of"}), "n", "left").withColumn("n", F.coalesce("of", "n")).drop("of")
+        found = found.join(asking.withColumnsRenamed({"rep": "q", "id": "of"}), "q", "left").withColumn("q", F.coalesce("of", "q")).drop("of")
+        found = found.select("q", "n", "c").unionAll(own).filter("q <> n").groupBy("q", "n").agg(F.max("c").alias("c"))
     w = Window.partitionBy("q").orderBy(F.col("c").desc(), F.col("n"))
     return (
         found.withColumn("position", F.row_number().over(w))
