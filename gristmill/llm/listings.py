@@ -203,6 +203,7 @@ def group_listings(df: DataFrame, key: str, title: str, description: str) -> Dat
     are compared among the different names of one number and one set of properties only.
     """
     base = df.select(F.col(key).alias("k"), F.col(title).cast("string").alias("t"), F.col(description).cast("string").alias("d")).distinct()
+    base = base.withColumn("row", F.xxhash64("k", "t", "d"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("w", pa.string()), ("n", pa.string()), ("s", pa.float64())]))
@@ -210,24 +211,29 @@ def group_listings(df: DataFrame, key: str, title: str, description: str) -> Dat
             rows = [read_listing(t, d) for t, d in zip(b.column("t").to_pylist(), b.column("d").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
+                    b.column("row"),
                     b.column("k"),
                     pa.array([r[0] for r in rows], pa.string()),
                     pa.array([r[1] for r in rows], pa.string()),
                     pa.array([r[2] for r in rows], pa.list_(pa.string())),
                     pa.array([[{"w": w, "n": n, "s": s} for w, n, s in r[3]] for r in rows], pair),
                 ],
-                names=["k", "props", "brand", "words", "combos"],
+                names=["row", "k", "props", "brand", "words", "combos"],
             )
 
     kind = base.schema["k"].dataType.simpleString()
-    listings = base.mapInArrow(read, f"k {kind}, props string, brand string, words array<string>, combos array<struct<w:string,n:string,s:double>>")
-    listings = checkpointed(listings.withColumn("row", F.xxhash64("k", "props", "brand", "words")))
+    listings = base.mapInArrow(read, f"row long, k {kind}, props string, brand string, words array<string>, combos array<struct<w:string,n:string,s:double>>")
+    listings = checkpointed(listings)
     total = listings.count()
 
-    combos = listings.select("row", F.inline("combos")).groupBy("row", "w", "n").agg(F.max("s").alias("s"))
+    def listed(token: str) -> DataFrame:
+        """(token, listings that have it): different within a listing before they are counted, so sums combine map-side."""
+        each = F.explode(F.array_distinct(F.transform("combos", lambda c: c[token])))
+        return listings.select(each.alias(token)).groupBy(token).agg(F.count("*").alias(f"with_{token}"))
+
+    combos = listings.select("row", F.inline("combos"))
     pairs = combos.groupBy("w", "n").agg(F.count("*").alias("together"))
-    of_words = combos.select("row", "w").distinct().groupBy("w").agg(F.count("*").alias("with_w"))
-    of_numbers = combos.select("row", "n").distinct().groupBy("n").agg(F.count("*").alias("with_n"))
+    of_words, of_numbers = listed("w"), listed("n")
     rarity = F.log(F.lit(2.0 * total) / F.col("with_w")) + F.log(F.lit(2.0 * total) / F.col("with_n"))
     votes = (
         pairs.join(of_words, "w")
