@@ -86,6 +86,11 @@ def _nearest(x: np.ndarray, c: np.ndarray, p: int) -> np.ndarray:
     out = np.empty((len(x), min(p, len(c))), np.int32)
     for s in range(0, len(x), 4096):
         d = x[s : s + 4096] @ c.T
+        if out.shape[1] > 8:
+            few = np.argpartition(-d, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
+            order = np.argsort(-np.take_along_axis(d, few, axis=1), axis=1)
+            out[s : s + 4096] = np.take_along_axis(few, order, axis=1)
+            continue
         for j in range(out.shape[1]):
             best = d.argmax(1)
             out[s : s + 4096, j] = best
@@ -142,13 +147,36 @@ def _collapsed(df: DataFrame, key: str, vector: str, dim: int, query: str | None
     return alone.unionAll(first), members
 
 
-def _place(base: DataFrame, total: int, dim: int, probes: int) -> DataFrame:
-    """Every vector once for each block of each cell it is in; as home it also meets the other blocks."""
-    spark = base.sparkSession
+def enough_probes(x: np.ndarray, cells: Cells, k: int, recall: float, queries: int = 200) -> int:
+    """Cells a vector must visit so that this share of its `k` nearest in the sample live in one of them.
+
+    Neighbours are farther apart in a sample than in the whole, so the count errs towards more cells.
+    """
+    if len(x) < 2:
+        return 1
+    q = x[: min(queries, len(x))]
+    s = q @ x.T
+    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    top = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
+    home = _nearest(x, cells.centres, 1)[:, 0]
+    order = np.argsort(-(q @ cells.centres.T), axis=1)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
+    needed = np.sort(np.take_along_axis(rank, home[top], axis=1).ravel()) + 1
+    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)])
+
+
+def _fit(base: DataFrame, total: int, dim: int) -> tuple[Cells, np.ndarray]:
+    """Cells of the table and the sample they were fitted on."""
     share = min(1.0, 1.25 * FIT_ROWS / max(total, 1))
     picked = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(2 * FIT_ROWS)
     _, x = unit_rows(picked.toArrow().column("v"), dim)
-    cells = spark.sparkContext.broadcast(fit_cells(x[:FIT_ROWS], total))
+    return fit_cells(x[:FIT_ROWS], total), x[:FIT_ROWS]
+
+
+def _place(base: DataFrame, cells_found: Cells, dim: int, probes: int) -> DataFrame:
+    """Every vector once for each block of each cell it is in; as home it also meets the other blocks."""
+    cells = base.sparkSession.sparkContext.broadcast(cells_found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = cells.value
@@ -156,21 +184,29 @@ def _place(base: DataFrame, total: int, dim: int, probes: int) -> DataFrame:
             at, x = unit_rows(b.column("v"), dim)
             ids = b.column("id").to_numpy(zero_copy_only=False)[at] if len(at) else np.empty(0, np.int64)
             asks = np.asarray(b.column("query"))[at] if len(at) else np.empty(0, bool)
-            near = _nearest(x, model.centres, probes)
+            at_home = _nearest(x, model.centres, 1)[:, 0]
+            visitors = np.flatnonzero(asks)
+            visits = _nearest(x[visitors], model.centres, probes)
             rows: list[tuple[np.ndarray, ...]] = []
-            for j in range(near.shape[1]):
-                cell = near[:, j]
+
+            def put(which: np.ndarray, cell: np.ndarray, block: np.ndarray, home: bool, query: np.ndarray) -> None:
+                rows.append((which, cell, block, np.full(len(which), home), query))
+
+            # Data blocks run along one axis of a cell's tiles, query blocks along the other.
+            n = model.blocks[at_home]
+            mine = (ids % n).astype(np.int64)
+            for k in range(int(n.max(initial=1))):
+                some = np.flatnonzero(n > k)
+                block = mine[some] * n[some] + k
+                # Where both axes give one block, one row stands for both sides.
+                put(some, at_home[some], block, True, asks[some] & (mine[some] == k))
+            for j in range(visits.shape[1]):
+                cell = visits[:, j]
                 n = model.blocks[cell]
-                # Data blocks run along one axis of the cell's tiles, query blocks along the other.
-                mine = (ids % n).astype(np.int64)
+                mine = (ids[visitors] % n).astype(np.int64)
                 for k in range(int(n.max(initial=1))):
-                    some = n > k
-                    if j == 0:  # where both axes give one block, one row stands for both sides
-                        both = asks & (mine == k)
-                        rows.append((np.flatnonzero(some), cell[some], (mine * n + k)[some], np.ones(some.sum(), bool), both[some]))
-                        some = some & ~both
-                    some = some & asks
-                    rows.append((np.flatnonzero(some), cell[some], (k * n + mine)[some], np.zeros(some.sum(), bool), np.ones(some.sum(), bool)))
+                    some = np.flatnonzero((n > k) & ~((cell == at_home[visitors]) & (mine == k)))
+                    put(visitors[some], cell[some], k * n[some] + mine[some], False, np.ones(len(some), bool))
             i, cell, block, home, query = (np.concatenate(c) for c in zip(*rows))
             raw = np.ascontiguousarray(x[i]).tobytes()
             step = dim * 4
@@ -204,7 +240,8 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, dim: i
     row. Other columns are not read.
     """
     base, members = _collapsed(df, key, vector, dim, None)
-    placed = _place(base, df.count(), dim, probes)
+    cells, _ = _fit(base, df.count(), dim)
+    placed = _place(base, cells, dim, probes)
 
     def tile(t: pa.Table) -> pa.Table:
         ida, a, idb, b = _sides(t, dim)
@@ -236,15 +273,16 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, dim: i
     return found.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"), F.col("c").alias("similarity"))
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int, dim: int = 64, probes: int = 8, query: str | None = None) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int, dim: int = 64, probes: int | None = None, query: str | None = None, recall: float = 0.95) -> DataFrame:
     """(key, neighbour, similarity, position): the k most similar other vectors of each query vector.
 
     `query` is an SQL condition on `key` that picks the query rows (all by default); they are compared
-    with all rows. A neighbour that is stored several times under one key counts once; ties follow the
+    with all rows of the cells they visit: as many as the sample needs for this recall, or `probes`. A neighbour that is stored several times under one key counts once; ties follow the
     neighbour's key. Rows without a usable vector neither ask nor answer.
     """
     base, members = _collapsed(df, key, vector, dim, query)
-    placed = _place(base, df.count(), dim, probes)
+    cells, x = _fit(base, df.count(), dim)
+    placed = _place(base, cells, dim, probes or enough_probes(x, cells, k, recall))
 
     def tile(t: pa.Table) -> pa.Table:
         ida, a, idb, b = _sides(t, dim)
