@@ -33,9 +33,10 @@ BROADCAST_CLASSES = 50_000
 #: Vectors the centres are fitted on, at most.
 FIT_ROWS = 16_384
 #: Rounds of k-means.
-ROUNDS = 4
-#: Cells a vector is placed in: its home and the next nearest.
-PROBES = 3
+ROUNDS = 10
+#: Cells a vector visits at most for pairs above a threshold, and by how much less its product with
+#: their centre may be than with the centre of its home.
+PROBES, MARGIN = 8, 0.06
 #: Rows of one side of a tile that are aimed at; a cell with more is cut into several blocks.
 BLOCK = 4_096
 
@@ -64,11 +65,11 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_cells(x: np.ndarray, total: int, rounds: int = ROUNDS, block: int = BLOCK, seed: int = 5) -> Cells:
-    """Spherical k-means; about 2 sqrt(total) cells, so that cells and their sizes grow alike."""
+    """Spherical k-means; about sqrt(total) cells, so that cells and their sizes grow alike."""
     if not len(x):
         return Cells(np.zeros((1, x.shape[1]), np.float32), np.ones(1, int))
     rng = np.random.default_rng(seed)
-    k = max(1, min(len(x) // 4, int(2 * math.sqrt(total)), 8192)) or 1
+    k = max(1, min(len(x) // 4, int(math.sqrt(total)), 8192)) or 1
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         home = _nearest(x, c, 1)[:, 0]
@@ -174,7 +175,7 @@ def _fit(base: DataFrame, total: int, dim: int) -> tuple[Cells, np.ndarray]:
     return fit_cells(x[:FIT_ROWS], total), x[:FIT_ROWS]
 
 
-def _place(base: DataFrame, cells_found: Cells, dim: int, probes: int) -> DataFrame:
+def _place(base: DataFrame, cells_found: Cells, dim: int, probes: int, margin: float = np.inf) -> DataFrame:
     """Every vector once for each block of each cell it is in; as home it also meets the other blocks."""
     cells = base.sparkSession.sparkContext.broadcast(cells_found)
 
@@ -187,6 +188,7 @@ def _place(base: DataFrame, cells_found: Cells, dim: int, probes: int) -> DataFr
             at_home = _nearest(x, model.centres, 1)[:, 0]
             visitors = np.flatnonzero(asks)
             visits = _nearest(x[visitors], model.centres, probes)
+            far = np.einsum("ij,ij->i", x[visitors], model.centres[at_home[visitors]]) - margin
             rows: list[tuple[np.ndarray, ...]] = []
 
             def put(which: np.ndarray, cell: np.ndarray, block: np.ndarray, home: bool, query: np.ndarray) -> None:
@@ -204,8 +206,9 @@ def _place(base: DataFrame, cells_found: Cells, dim: int, probes: int) -> DataFr
                 cell = visits[:, j]
                 n = model.blocks[cell]
                 mine = (ids[visitors] % n).astype(np.int64)
+                near = (np.einsum("ij,ij->i", x[visitors], model.centres[cell]) >= far) | (cell == at_home[visitors])
                 for k in range(int(n.max(initial=1))):
-                    some = np.flatnonzero((n > k) & ~((cell == at_home[visitors]) & (mine == k)))
+                    some = np.flatnonzero(near & (n > k) & ~((cell == at_home[visitors]) & (mine == k)))
                     put(visitors[some], cell[some], k * n[some] + mine[some], False, np.ones(len(some), bool))
             i, cell, block, home, query = (np.concatenate(c) for c in zip(*rows))
             raw = np.ascontiguousarray(x[i]).tobytes()
@@ -232,7 +235,7 @@ def _chunks(n: int, size: int = 1024) -> Iterator[slice]:
         yield slice(s, s + size)
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, dim: int = 64, probes: int = PROBES) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, dim: int = 64, probes: int = PROBES, margin: float = MARGIN) -> DataFrame:
     """(key_a, key_b, similarity), key_a < key_b: pairs of different keys with cosine of at least `threshold`.
 
     Vectors that are null, of another dimension, all zero or not finite take no part. A repeated row
@@ -241,7 +244,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, dim: i
     """
     base, members = _collapsed(df, key, vector, dim, None)
     cells, _ = _fit(base, df.count(), dim)
-    placed = _place(base, cells, dim, probes)
+    placed = _place(base, cells, dim, probes, margin)
 
     def tile(t: pa.Table) -> pa.Table:
         ida, a, idb, b = _sides(t, dim)

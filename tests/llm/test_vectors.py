@@ -57,7 +57,7 @@ def test_cells_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK", 40)
     monkeypatch.setattr(V.fit_cells, "__defaults__", (V.ROUNDS, 40, 5))
     x = data(600)
-    got = {(r.id_a, r.id_b) for r in V.similar_pairs(frame(spark, x), "id", "v", 0.9, dim=16, probes=40).collect()}
+    got = {(r.id_a, r.id_b) for r in V.similar_pairs(frame(spark, x), "id", "v", 0.9, dim=16, probes=40, margin=9).collect()}
     assert got == brute(x, 0.9)[1]
 
 
