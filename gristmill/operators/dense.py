@@ -109,6 +109,25 @@ def kmeans_cells(df: DataFrame, key: str, vector: str, cells: int, seed: int = 1
     return model.transform(ml).drop("__features"), model.clusterCenters()
 
 
+def save_cells(placed: DataFrame, centres: list[np.ndarray], folder: str) -> None:
+    """Write a clustered index: vectors by cell, so that a search reads its cells only, and the centres."""
+    spark = placed.sparkSession
+    placed.repartition("cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{folder}/vectors")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    spark.createDataFrame(rows, "cell_id int, centre array<double>").write.mode("overwrite").parquet(f"{folder}/centres")
+
+
+def search_cells(spark, folder: str, key: str, vector: str, query: list[float], k: int, probes: int) -> DataFrame:
+    """The `k` best by inner product in the `probes` cells nearest to the query; other cells' files are not read."""
+    from gristmill.functions.vectors import dot
+
+    centres = spark.read.parquet(f"{folder}/centres").collect()  # as many as there are cells
+    near = sorted(centres, key=lambda r: sum((a - b) ** 2 for a, b in zip(r.centre, query)))[:probes]
+    some = spark.read.parquet(f"{folder}/vectors").filter(F.col("cell_id").isin([r.cell_id for r in near]))
+    score = F.round(dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query])), 6)
+    return some.select(F.col(key).alias("doc_id"), score.alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(k)
+
+
 def ivf_topk(df: DataFrame, key: str, vector: str, query: list[float], k: int, cells: int, probes: int) -> DataFrame:
     """The `k` best by inner product among the `probes` cells nearest to the query; never padded."""
     from gristmill.functions.vectors import dot

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions.numbers import read_count, read_rating
+from gristmill.operators import etl
 from gristmill.operators import incremental as I
 from gristmill.operators import plugins
 from gristmill.operators import relational as R
+from gristmill.operators import reviews as V
+from gristmill.plans import texts as X
 from gristmill.sources import files
 from gristmill.sources.tables import table
 from gristmill.streaming import events as E
@@ -263,6 +266,34 @@ def hashed_encoding(s, sf):
     return e.select("doc_id", F.round(norm(F.col("v")), 6).alias("length"))
 
 
+def product_etl(s, sf):
+    """The searchable product table: three joins, two aggregates, cleaning and detection."""
+    reviews = table(s, sf, "order_reviews").select("review_id", "order_id", "review_comment_message", "review_score", "created_at")
+    items = table(s, sf, "order_items").select("order_id", "product_id", "price", "created_at")
+    out = etl.searchable(etl.product_table(table(s, sf, "products"), table(s, sf, "translations"), items, reviews))
+    return out.withColumns({"confidence": F.round("confidence", 6), "price": F.round("price", 6)})
+
+
+def review_analysis(s, sf):
+    """Sentiment of the first reviews of each offer, and the score the boost takes."""
+    c = table(s, sf, "catalog_raw").select("product_id", "review_content").distinct()
+    a = c.select("product_id", V.analyse_reviews(V.first_reviews(F.col("review_content"))).alias("a"))
+    return a.select("product_id", F.round("a.sentiment_score", 6).alias("sentiment"), "a.general_sentiment", F.round(V.review_score(F.col("a.sentiment_score")), 6).alias("score"))
+
+
+def topic_quality(s, sf):
+    """What each document says of the charger."""
+    stars = table(s, sf, "documents").select("doc_id", V.topic_score(F.col("text"), ["charger"]).alias("stars"))
+    return stars.select("doc_id", F.round("stars", 6).alias("stars"), V.quality_of(F.col("stars")).alias("quality"))
+
+
+def plugin_detector(s, sf):
+    """A detector plug-in over all reviews, and one that fails."""
+    df = table(s, sf, "order_reviews").select("review_id", F.col("review_comment_message").alias("text")).distinct()
+    out = plugins.detect(plugins.detect(df, "text", "a", plugins.AccentDetector), "text", "b", plugins.FailingDetector)
+    return out.groupBy(F.col("a.language").alias("language"), F.col("b.method_used").alias("second")).agg(F.count("*").alias("n"))
+
+
 def rating_feature_importance(s, sf):
     """Which numbers and categories tell the rating, by a forest over all offers that have them."""
     from pyspark.ml import Pipeline
@@ -299,7 +330,7 @@ QUERIES = {
         quadrant_counts, boxplot_summary, histogram, top_brands, word_frequencies, any_null_filter, percentages, word_ranges, predicates,
         price_range, unpivot_scores, head_per_group, exact_sample, star_join, new_products, updated_products, embedding_upsert,
         ttl_cache_valid, chunk_resume, cache_keys, csv_roundtrip, log_parse, log_statistics, html_image_url, hashed_encoding,
-        rating_feature_importance, events_tumbling, events_session,
+        product_etl, review_analysis, topic_quality, plugin_detector, rating_feature_importance, events_tumbling, events_session,
     )
 }
 
@@ -382,6 +413,33 @@ SQL = {
     "log_statistics": f"WITH {_LOG} SELECT detector, language, count(*) AS n, round(avg(confidence), 6) AS confidence, round(max(time_ms), 4) AS slowest FROM l GROUP BY ALL",
     "html_image_url": "SELECT DISTINCT product_id, image_url FROM catalog_raw",
     "hashed_encoding": "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents",
+    "product_etl": f"""WITH pr AS (SELECT DISTINCT product_id, product_category_name FROM products), it AS (SELECT DISTINCT order_id, product_id, price, created_at FROM order_items),
+        rv AS (SELECT DISTINCT review_id, order_id, review_comment_message, review_score, created_at FROM order_reviews),
+        j AS (SELECT rv.*, product_id FROM rv JOIN (SELECT DISTINCT order_id, product_id FROM it) k ON rv.order_id = k.order_id),
+        texts AS (SELECT product_id, coalesce(string_agg(nullif(review_comment_message, ''), ' | ' ORDER BY created_at, review_id), '') AS reviews FROM j WHERE product_id IS NOT NULL GROUP BY 1),
+        prices AS (SELECT product_id, avg(price) AS price FROM it GROUP BY 1),
+        base AS (
+            SELECT pr.product_id AS doc_id, price, concat_ws(' | ', 'category: ' || product_category_name, 'product: ' || pr.product_id, 'review: ' || nullif(reviews, '')) AS text
+            FROM pr LEFT JOIN texts ON pr.product_id = texts.product_id LEFT JOIN prices ON pr.product_id = prices.product_id),
+        {X.DETECT_SQL.replace("FROM documents", "FROM base")},
+        c AS (SELECT *, {X.clean_sql('text', True, 3)} AS cleaned_text FROM base),
+        n AS (SELECT *, len({X.words_sql('cleaned_text')}) AS word_count FROM c)
+        SELECT n.doc_id AS product_id, text AS original_text, cleaned_text, {X.share_sql('text')} AS preprocessor_language,
+            CASE WHEN word_count < 3 THEN 'no_content' ELSE language END AS detected_language, CASE WHEN word_count < 3 THEN 0.0::DOUBLE ELSE round(confidence, 6) END AS confidence,
+            round(price, 6) AS price, word_count FROM n JOIN found USING (doc_id)""",
+    "review_analysis": f"""WITH c AS (SELECT DISTINCT product_id, review_content FROM catalog_raw),
+        t AS (SELECT product_id, lower(array_to_string(list_filter(string_split(coalesce(review_content, ''), ' | '), lambda r: trim(r) <> '')[:10], ' ')) AS t FROM c),
+        n AS (SELECT product_id, len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains({V.PRAISE}, w))) AS p,
+            len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains({V.REGRET}, w))) AS m FROM t),
+        s AS (SELECT product_id, CASE WHEN p + m > 0 THEN p / (p + m) * 10.0::DOUBLE ELSE 5.0::DOUBLE END AS s FROM n)
+        SELECT product_id, round(s, 6) AS sentiment, CASE WHEN s > 6 THEN 'positive' WHEN s < 4 THEN 'negative' ELSE 'neutral' END AS general_sentiment, round(s / 10, 6) AS score FROM s""",
+    "topic_quality": f"""WITH x AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: contains(lower(s), 'charger')) AS ss FROM documents),
+        u AS (SELECT doc_id, regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM (SELECT doc_id, unnest(ss) AS s FROM x)),
+        n AS (SELECT doc_id, len(list_filter(ws, lambda w: list_contains({V.PRAISE}, w))) AS p, len(list_filter(ws, lambda w: list_contains({V.REGRET}, w))) AS m FROM u),
+        a AS (SELECT doc_id, avg(CASE WHEN p + m > 0 THEN p / (p + m) * 10.0::DOUBLE ELSE 5.0::DOUBLE END * 0.4::DOUBLE + 1) AS stars FROM n GROUP BY doc_id)
+        SELECT doc_id, round(stars, 6) AS stars, CASE WHEN round(stars, 9) >= 4 THEN 'strong' WHEN round(stars, 9) >= 3 THEN 'moderate' ELSE 'none' END AS quality FROM documents LEFT JOIN a USING (doc_id)""",
+    "plugin_detector": """SELECT CASE WHEN regexp_matches(coalesce(review_comment_message, ''), '[ãõç]') THEN 'pt' ELSE 'unknown' END AS language, 'broken_failed' AS second, count(*) AS n
+        FROM (SELECT DISTINCT review_id, review_comment_message FROM order_reviews) GROUP BY ALL""",
     "events_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "events_session": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -239,7 +239,7 @@ _A, _U = T.ACCENTED + T.ACCENTED.upper().replace("Ÿ", ""), T.UNACCENTED + T.UNA
 _PUNCT = T.PUNCTUATION.replace("'", "''")
 
 
-def _clean_sql(text: str, accents: bool, least: int) -> str:
+def clean_sql(text: str, accents: bool, least: int) -> str:
     t = f"lower(trim(coalesce({text}, ''), E' \\t\\n\\r\\f\\x0b'))"
     if not accents:
         t = f"regexp_replace(translate({t}, '{_A}', '{_U}'), '[^\\x00-\\x7F]', '', 'g')"
@@ -247,7 +247,7 @@ def _clean_sql(text: str, accents: bool, least: int) -> str:
     return f"array_to_string(list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: length(w) >= {least}), ' ')"
 
 
-def _words_sql(t: str) -> str:
+def words_sql(t: str) -> str:
     return f"list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')"
 
 
@@ -261,15 +261,15 @@ _MONEY = "try_cast(regexp_replace({}, '[₹$,%]', '', 'g') AS DOUBLE)"
 _USD = f"'Price: ' || printf('%.2f USD', {_MONEY.format('discounted_price')} / 83.0::DOUBLE)"
 
 
-def _share_sql(t: str) -> str:
-    return f"CASE WHEN len(list_filter({_words_sql(f'lower({t})')}, lambda w: list_contains({_array(D.INDICATORS)}, w))) / greatest(len({_words_sql(f'lower({t})')}), 1) > 0.1 THEN 'pt' ELSE 'en' END"
+def share_sql(t: str) -> str:
+    return f"CASE WHEN len(list_filter({words_sql(f'lower({t})')}, lambda w: list_contains({_array(D.INDICATORS)}, w))) / greatest(len({words_sql(f'lower({t})')}), 1) > 0.1 THEN 'pt' ELSE 'en' END"
 
 
 _AFTER = "($|[^\\p{L}\\p{N}_])"
 
 
 def _wordlist_sql(weights: dict, patterns: list) -> str:
-    ws = f"list_distinct({_words_sql('t')})"
+    ws = f"list_distinct({words_sql('t')})"
     pairs = "MAP {" + ", ".join(f"'{w}': {x}::DOUBLE" for w, x in weights.items()) + "}"
     hits = " + ".join(f"regexp_matches(t, '{p}')::INT" for p in [*[p + _AFTER for p in patterns], D.ACCENTS])
     return f"""
@@ -280,30 +280,31 @@ def _wordlist_sql(weights: dict, patterns: list) -> str:
     p AS (SELECT *, len(xs) + hit AS n, CASE WHEN len(xs) + hit > 0 THEN (coalesce(list_sum(xs), 0) + hit * 0.8::DOUBLE) / (len(xs) + hit) ELSE 0 END AS c FROM m)"""
 
 
-_DETECT = f"""WITH {_wordlist_sql(D.PORTUGUESE, D.PATTERNS)},
+DETECT_SQL = f"""{_wordlist_sql(D.PORTUGUESE, D.PATTERNS)},
     b AS (SELECT *, CASE WHEN hit > 0 AND n > 2 THEN least(c + 0.1::DOUBLE, 1.0::DOUBLE) ELSE c END AS pt FROM p),
     found AS (
         SELECT doc_id, CASE WHEN round(pt, 9) > 0.5 THEN 'pt' WHEN en > 1 THEN 'en' ELSE 'unknown' END AS language,
             CASE WHEN round(pt, 9) > 0.5 THEN pt WHEN en > 1 THEN en * 0.1::DOUBLE + 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM b)"""
+_DETECT = f"WITH {DETECT_SQL} "
 _SECOND = "CASE WHEN lang IN ('pt', 'en') THEN lang ELSE 'unknown' END AS l2, CASE WHEN lang IN ('pt', 'en') THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS c2"
 
 SQL = {
-    "clean_text_basic": f"SELECT doc_id, {_clean_sql('text', False, 2)} AS cleaned FROM documents",
-    "clean_text_multilingual": f"SELECT doc_id, {_clean_sql('text', True, 3)} AS cleaned FROM documents",
+    "clean_text_basic": f"SELECT doc_id, {clean_sql('text', False, 2)} AS cleaned FROM documents",
+    "clean_text_multilingual": f"SELECT doc_id, {clean_sql('text', True, 3)} AS cleaned FROM documents",
     "clean_text_unicode": f"SELECT doc_id, trim(regexp_replace(translate(lower(trim(coalesce(text, ''), E' \\t\\n\\r\\f\\x0b')), '{_PUNCT}', ''), '\\s+', ' ', 'g')) AS cleaned FROM documents",
     "strip_accents": f"SELECT doc_id, translate(lower(text), '{_A}', '{_U}') AS plain FROM documents",
     "strip_punct": f"SELECT doc_id, translate(text, '{_PUNCT}', '') AS plain FROM documents",
     "text_metadata": f"""
         WITH o AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS original FROM documents),
-        c AS (SELECT *, CASE WHEN original = '' THEN '' ELSE {_clean_sql('text', True, 3)} END AS cleaned FROM o)
-        SELECT doc_id, original, cleaned, CASE WHEN original = '' THEN 'unknown' ELSE {_share_sql('original')} END AS language,
-            regexp_matches(original, '[áéíóúãõâêîôûç]') AS has_accents, len({_words_sql('cleaned')}) AS word_count FROM c""",
+        c AS (SELECT *, CASE WHEN original = '' THEN '' ELSE {clean_sql('text', True, 3)} END AS cleaned FROM o)
+        SELECT doc_id, original, cleaned, CASE WHEN original = '' THEN 'unknown' ELSE {share_sql('original')} END AS language,
+            regexp_matches(original, '[áéíóúãõâêîôûç]') AS has_accents, len({words_sql('cleaned')}) AS word_count FROM c""",
     "review_explode_stats": f"""
         WITH {_OFFERS}, r AS (SELECT product_id, unnest(string_split(review_content, ' | ')) AS review FROM offers)
-        SELECT product_id, review, length(review) AS n_chars, len({_words_sql('review')}) AS n_words, regexp_matches(lower(review), '[áéíóúãõâêîôûç]') AS has_accents FROM r""",
+        SELECT product_id, review, length(review) AS n_chars, len({words_sql('review')}) AS n_words, regexp_matches(lower(review), '[áéíóúãõâêîôûç]') AS has_accents FROM r""",
     "review_totals": f"""
         WITH {_OFFERS}, r AS (SELECT unnest(string_split(review_content, ' | ')) AS review FROM offers),
-        x AS (SELECT length(review) AS n_chars, len({_words_sql('review')}) AS n_words, regexp_matches(lower(review), '[áéíóúãõâêîôûç]') AS a FROM r)
+        x AS (SELECT length(review) AS n_chars, len({words_sql('review')}) AS n_words, regexp_matches(lower(review), '[áéíóúãõâêîôûç]') AS a FROM r)
         SELECT count(*) AS n, round(avg(n_chars), 4) AS mean_chars, round(avg(n_words), 4) AS mean_words, max(n_words) AS most_words,
             min(n_words) AS least_words, count(*) FILTER (WHERE a) AS accented FROM x""",
     "product_text_v1": f"""WITH {_OFFERS} SELECT product_id, concat_ws(' ', 'Product Name: ' || product_name, 'Product Hierarchical Category: ' || category,
@@ -337,7 +338,7 @@ SQL = {
     "wordlist_detect": _DETECT + "SELECT doc_id, language, round(confidence, 6) AS confidence FROM found",
     "wordlist_detect_v1": f"""WITH {_wordlist_sql(D.PORTUGUESE_V1, D.PATTERNS_V1)}
         SELECT doc_id, CASE WHEN t = '' THEN 'unknown' WHEN c > 0.3 THEN 'pt' ELSE 'en' END AS language, round(CASE WHEN t = '' THEN 0 ELSE c END, 6) AS confidence FROM p""",
-    "pt_share_detect": f"SELECT doc_id, {_share_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS language FROM documents",
+    "pt_share_detect": f"SELECT doc_id, {share_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS language FROM documents",
     "ensemble_vote": _DETECT
     + f""", two AS (SELECT f.*, {_SECOND} FROM found f JOIN documents USING (doc_id)),
     s AS (
@@ -363,8 +364,8 @@ SQL = {
         + f""", o AS (
         SELECT review_id AS doc_id, review_comment_message AS text, regexp_replace(coalesce(review_comment_message, ''), '^\\s+|\\s+$', '', 'g') AS original
         FROM (SELECT DISTINCT review_id, review_comment_message FROM order_reviews)),
-    c AS (SELECT *, CASE WHEN original = '' THEN '' ELSE {_clean_sql('text', True, 3)} END AS cleaned FROM o),
-    n AS (SELECT *, CASE WHEN original = '' THEN 'unknown' ELSE {_share_sql('original')} END AS guess, len({_words_sql('cleaned')}) < 3 AS short FROM c)
+    c AS (SELECT *, CASE WHEN original = '' THEN '' ELSE {clean_sql('text', True, 3)} END AS cleaned FROM o),
+    n AS (SELECT *, CASE WHEN original = '' THEN 'unknown' ELSE {share_sql('original')} END AS guess, len({words_sql('cleaned')}) < 3 AS short FROM c)
     SELECT doc_id AS review_id, cleaned, guess, CASE WHEN short THEN 'no_content' ELSE language END AS language,
         CASE WHEN short THEN 0.0::DOUBLE ELSE round(confidence, 6) END AS confidence, CASE WHEN short THEN 'skip' ELSE 'word_list' END AS method_used
     FROM n JOIN found USING (doc_id)"""
