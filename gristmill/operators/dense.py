@@ -51,6 +51,19 @@ def scan_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, metric: s
     return top_k(found.withColumn("score", F.round("score", 6)), "query_id", [order, F.col("doc_id")], k)
 
 
+def _best(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `k` highest scores of each row with their documents, the lower id among equals."""
+    if scores.shape[1] <= k:
+        return scores, docs
+    keep = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(scores, keep, 1).min(1, initial=np.inf)
+    # Where more than k reach the last score, ids decide.
+    for i in np.flatnonzero((scores >= last[:, None]).sum(1) > k):
+        some = np.flatnonzero(scores[i] >= last[i])
+        keep[i] = some[np.lexsort((docs[i][some], -scores[i][some]))[:k]]
+    return np.take_along_axis(scores, keep, 1), np.take_along_axis(docs, keep, 1)
+
+
 def _scan(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, dim: int, metric: str) -> DataFrame:
     sent = corpus.sparkSession.sparkContext.broadcast((ids, q))
 
@@ -67,11 +80,9 @@ def _scan(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, dim: int, m
             s = q @ x.T
             if metric == "l2":
                 s = -np.maximum((q * q).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None, :], 0)
-            best = np.concatenate([best, s], axis=1)
+            best = np.concatenate([best, np.round(s, 6)], axis=1)
             docs = np.concatenate([docs, np.broadcast_to(own, s.shape)], axis=1)
-            if best.shape[1] > k + 16:
-                keep = np.argpartition(-best, k + 15, axis=1)[:, : k + 16]
-                best, docs = np.take_along_axis(best, keep, 1), np.take_along_axis(docs, keep, 1)
+            best, docs = _best(best, docs, k)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(ids, best.shape[1]).astype(np.int64)), pa.array(docs.ravel()), pa.array((-best if metric == "l2" else best).ravel())],
             names=["query_id", "doc_id", "score"],

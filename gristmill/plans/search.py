@@ -221,7 +221,7 @@ def feature_boost(s, sf):
 
 
 def boosted_search(s, sf):
-    c = _boosted(s, sf).withColumn("hybrid_score", F.round(F.col("hybrid_score") + F.col("category_gain") + F.col("feature_gain"), 6))
+    c = _boosted(s, sf).withColumn("hybrid_score", F.round(F.col("hybrid_score") + F.col("category_gain") + F.col("feature_gain"), 9))
     return fusion.head(c, "hybrid_score", K).select("query_id", "doc_id", F.col("hybrid_score").alias("score"), "rank")
 
 
@@ -427,7 +427,7 @@ SQL = {
     "hybrid_outer": _OUTER + _top("(SELECT query_id, doc_id, h, round(h, 6) AS score FROM fused)", 5, "h DESC, doc_id"),
     "category_boost": _BOOST + "SELECT query_id, doc_id, category_gain FROM gains",
     "feature_boost": _BOOST + "SELECT query_id, doc_id, feature_gain FROM gains",
-    "boosted_search": _BOOST + _top("(SELECT query_id, doc_id, round(h + category_gain + feature_gain, 6) AS score FROM gains)", K),
+    "boosted_search": _BOOST + _top("(SELECT query_id, doc_id, round(h + category_gain + feature_gain, 9) AS score FROM gains)", K),
     "rule_boost_inject": _OUTER
     + """, last AS (SELECT query_id, max(doc_id) AS doc_id FROM fused GROUP BY query_id),
     rules AS (

@@ -347,11 +347,11 @@ _COLUMNS = (
     "review_lang product_link image_url seller_id scraped_at loaded_at"
 ).split()
 _STATE = "v AS (SELECT vec_id, product_id, updated_at FROM combined_embeddings), s AS (SELECT * FROM v WHERE updated_at < TIMESTAMP '2024-07-01' OR vec_id % 2 = 0)"
-_LOG = """l AS (
-    SELECT doc_id, regexp_extract(x, '^Detector: ([^\\n]*)', 1) AS detector, regexp_extract(x, '\\nLanguage: ([^\\n]*)', 1) AS language,
-        try_cast(regexp_extract(x, '\\nConfidence: ([0-9.]+)', 1) AS DOUBLE) AS confidence, try_cast(regexp_extract(x, '\\nProcessing Time: ([0-9.]+)', 1) AS DOUBLE) AS time_ms
-    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)Detector: [^\\n]*\\nText: .*?\\nLanguage: [^\\n]*\\nConfidence: [0-9.]+\\nProcessing Time: [0-9.]+')) AS x
-        FROM documents WHERE source = 'detector_log'))"""
+_RECORD = "(?s)^([^\\n]*)\\nText: (.*?)\\nLanguage: ([^\\n]*)\\nConfidence: ([0-9.]+)\\nProcessing Time: ([0-9.]+)"
+_LOG = f"""l AS (
+    SELECT doc_id, regexp_extract(x, '{_RECORD}', 1) AS detector, regexp_extract(x, '{_RECORD}', 3) AS language,
+        try_cast(regexp_extract(x, '{_RECORD}', 4) AS DOUBLE) AS confidence, try_cast(regexp_extract(x, '{_RECORD}', 5) AS DOUBLE) AS time_ms
+    FROM (SELECT doc_id, unnest(string_split(text, 'Detector: ')[2:]) AS x FROM documents WHERE source = 'detector_log') WHERE regexp_matches(x, '{_RECORD}'))"""
 _STATS = ", ".join(
     f"SELECT '{c}' AS column_name, count({c}) AS n, avg({c}) AS mean, stddev({c}) AS sd, min({c}) AS lowest, quantile_cont({c}, 0.25) AS q1, "
     f"quantile_cont({c}, 0.5) AS middle, quantile_cont({c}, 0.75) AS q3, max({c}) AS highest FROM n"

@@ -329,7 +329,7 @@ SQL = {
         CASE WHEN regexp_matches(product_link, '/dp/[A-Za-z0-9_]{{10}}') THEN 'https://shop.example/p/' || regexp_extract(product_link, '/dp/([A-Za-z0-9_]{{10}})', 1) ELSE product_link END AS url,
         coalesce(regexp_matches(lower(image_url), '[.](jpg|jpeg|png|gif|bmp|webp)$'), false) AS is_image FROM offers""",
     "price_parse": f"WITH {_OFFERS} SELECT product_id, round({_MONEY.format('discounted_price')} / 83.0::DOUBLE, 6) AS price_usd, {_MONEY.format('discount_percentage')} AS percent FROM offers",
-    "short_numbers": """SELECT o_orderkey, CASE WHEN x >= 1000000 THEN printf('%.1fM', x / 1000000) WHEN x >= 1000 THEN printf('%.0fK', x / 1000) ELSE printf('%.0f', x) END AS short
+    "short_numbers": """SELECT o_orderkey, CASE WHEN x >= 1000000 THEN printf('%.1fM', round_even(x / 1000000, 1)) WHEN x >= 1000 THEN printf('%.0fK', round_even(x / 1000, 0)) ELSE printf('%.0f', x) END AS short
         FROM (SELECT o_orderkey, floor(o_totalprice)::DOUBLE * 4 AS x FROM orders)""",
     "listing_kinds": f"""WITH {_OFFERS} SELECT product_id, CASE WHEN regexp_matches(lower(product_name), 'earbud|earphone') THEN 'earphone'
         WHEN contains(lower(product_name), 'headphone') THEN 'headphone' ELSE 'unknown' END AS kind FROM offers""",

@@ -103,15 +103,15 @@ def log_text(detector: Column, text: Column, language: Column, confidence: Colum
 
 
 def parse_log(text: Column) -> Column:
-    """ARRAY<STRUCT(detector, text, language, confidence, time_ms)> of a text of log records."""
-    pattern = r"(?s)Detector: ([^\n]*)\nText: (.*?)\nLanguage: ([^\n]*)\nConfidence: ([\d.]+)\nProcessing Time: ([\d.]+)"
-    parts = [F.regexp_extract_all(text, F.lit(pattern), i) for i in range(1, 6)]
-    zipped = F.arrays_zip(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    """ARRAY<STRUCT(detector, text, language, confidence, time_ms)> of a text of log records; broken records are left out."""
+    pattern = r"(?s)^([^\n]*)\nText: (.*?)\nLanguage: ([^\n]*)\nConfidence: ([\d.]+)\nProcessing Time: ([\d.]+)"
+    records = F.split(text, "Detector: ")  # what stands before the first is no record
+    part = lambda r, i: F.regexp_extract(r, pattern, i)
     return F.transform(
-        zipped,
-        lambda z: F.struct(
-            z["p0"].alias("detector"), z["p1"].alias("text"), z["p2"].alias("language"),
-            z["p3"].try_cast("double").alias("confidence"), z["p4"].try_cast("double").alias("time_ms"),
+        F.filter(records, lambda r, i: (i > 0) & (part(r, 5) != "")),
+        lambda r: F.struct(
+            part(r, 1).alias("detector"), part(r, 2).alias("text"), part(r, 3).alias("language"),
+            part(r, 4).try_cast("double").alias("confidence"), part(r, 5).try_cast("double").alias("time_ms"),
         ),
     )
 
