@@ -57,6 +57,9 @@ _PROPERTY = re.compile(r"(?:colour|color|power|length|size|weight|volume|battery
 
 #: Weights of combinations from the title, from a labelled model, and from the rest of the description.
 TITLE, LABELLED, ELSEWHERE = 1.0, 0.9, 0.25
+#: Different names of one number and set of properties up to which one task compares them; more are
+#: linked across the cluster, with the same result.
+NAMES_IN_TASK = 2_000
 #: Slips (a letter left out, put in, replaced, or two swapped) up to which long and short names are one.
 SLIPS, SLIPS_SHORT, SHORT = 2, 1, 6
 
@@ -157,6 +160,11 @@ def slips(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
+def _allowed(a: str, b: str) -> int:
+    """Slips that two names may be apart."""
+    return SLIPS if min(len(a), len(b)) >= SHORT else SLIPS_SHORT
+
+
 def merge_names(names: list[str]) -> dict[str, str]:
     """Each name -> the first name, in order, of its cluster of names linked by slips."""
     root = {n: n for n in names}
@@ -169,7 +177,7 @@ def merge_names(names: list[str]) -> dict[str, str]:
 
     for i, a in enumerate(names):
         for b in names[:i]:
-            most = SLIPS if min(len(a), len(b)) >= SHORT else SLIPS_SHORT
+            most = _allowed(a, b)
             if slips(a, b, most) <= most:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
@@ -193,14 +201,77 @@ def _merged_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["n", "props", "w", "name", "known"])
 
 
-def group_listings(df: DataFrame, key: str, title: str, description: str) -> DataFrame:
+def _merged_in_tasks(names: DataFrame) -> DataFrame:
+    """(n, props, w, name, known): the names of each number and set of properties merged within one task."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted rows: each group is complete when the next begins, however many groups a task has.
+        at, group = None, []
+        for b in batches:
+            out: list[tuple] = []
+            for n, props, w, brands in zip(*(b.column(c).to_pylist() for c in ("n", "props", "w", "brands"))):
+                if (n, props) != at:
+                    out += _merged(at, group)
+                    at, group = (n, props), []
+                group.append((w, brands))
+            yield _merged_batch(out)
+        yield _merged_batch(_merged(at, group))
+
+    ordered = names.repartition("n", "props").sortWithinPartitions("n", "props", "w")
+    return ordered.mapInArrow(merge, "n string, props string, w string, name string, known array<string>")
+
+
+def _shortened(word: str, most: int) -> set[str]:
+    """The word with up to `most` letters left out; words within `most` slips have one of these in common."""
+    found = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
+
+
+def _merged_by_edges(names: DataFrame) -> DataFrame:
+    """The same for groups of any number of names: names meet by their shortened forms, and the smallest name
+    of each linked set spreads along the links until nothing changes."""
+    at = ["n", "props"]
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(n, p, w, f) for n, p, w in zip(*(b.column(c).to_pylist() for c in ("n", "props", "w"))) for f in _shortened(w, SLIPS)]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["n", "props", "w", "form"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [slips(x, y, m) <= m for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()) for m in (_allowed(x, y),)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    forms = names.select(*at, "w").mapInArrow(shorten, "n string, props string, w string, form string")
+    pairs = forms.withColumnRenamed("w", "x").join(forms.withColumnRenamed("w", "y"), [*at, "form"]).filter("x < y").select(*at, "x", "y").distinct()
+    edges = pairs.mapInArrow(check, "n string, props string, x string, y string")
+    links = checkpointed(edges.unionByName(edges.select(*at, F.col("y").alias("x"), F.col("x").alias("y"))))
+    labels = checkpointed(names.select(*at, "w", F.col("w").alias("name")))
+    while True:
+        near = links.join(labels.withColumnRenamed("w", "y"), [*at, "y"]).groupBy(*at, F.col("x").alias("w")).agg(F.min("name").alias("of_near"))
+        step = labels.join(near, [*at, "w"], "left").select(*at, "w", F.least("name", "of_near").alias("name"), (F.col("of_near") < F.col("name")).alias("moved"))
+        step = checkpointed(step)
+        labels = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            break
+    named = names.join(labels, [*at, "w"])
+    known = named.select(*at, "name", F.explode_outer("brands").alias("b")).groupBy(*at, "name").agg(F.array_sort(F.collect_set("b")).alias("known"))
+    return named.join(known, [*at, "name"]).select(*at, "w", "name", "known")
+
+
+def group_listings(df: DataFrame, key: str, title: str, description: str, names_in_task: int = NAMES_IN_TASK) -> DataFrame:
     """(key, group_id): the group of each listing; listings of one product share it.
 
     Null and empty titles and descriptions are read as empty; a listing in which no word and number meet is
     a group of its own. A repeated row counts once; a key that is stored with different texts may be in
     several groups. Long texts are read whole. Other columns are not read. An empty table gives no row.
     Every step meets rows by keys of their own: combinations are counted with map-side sums, and names
-    are compared among the different names of one number and one set of properties only.
+    are compared among the different names of one number and one set of properties only, in one task up to
+    `names_in_task` of them.
     """
     base = df.select(F.col(key).alias("k"), F.col(title).cast("string").alias("t"), F.col(description).cast("string").alias("d")).distinct()
     base = base.withColumn("row", F.xxhash64("k", "t", "d"))
@@ -246,26 +317,16 @@ def group_listings(df: DataFrame, key: str, title: str, description: str) -> Dat
         .agg(F.max(F.struct((F.col("vote") * F.col("s")).alias("score"), "w", "n")).alias("best"))
         .select("row", F.col("best.w").alias("w"), F.col("best.n").alias("n"))
     )
-    chosen = listings.drop("combos").join(best, "row", "left")
+    chosen = checkpointed(listings.drop("combos").join(best, "row", "left"))
 
     # Verification: different (name, stated brand) of one number and one set of properties.
     names = chosen.filter(F.col("w").isNotNull()).groupBy("n", "props", "w").agg(F.collect_set(F.nullif("brand", F.lit(""))).alias("brands"))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sorted rows: each group is complete when the next begins, however many groups a task has.
-        at, group = None, []
-        for b in batches:
-            out: list[tuple] = []
-            for n, props, w, brands in zip(*(b.column(c).to_pylist() for c in ("n", "props", "w", "brands"))):
-                if (n, props) != at:
-                    out += _merged(at, group)
-                    at, group = (n, props), []
-                group.append((w, brands))
-            yield _merged_batch(out)
-        yield _merged_batch(_merged(at, group))
-
-    sorted_names = names.repartition("n", "props").sortWithinPartitions("n", "props", "w")
-    merged = sorted_names.mapInArrow(merge, "n string, props string, w string, name string, known array<string>")
+    large = checkpointed(names.groupBy("n", "props").agg(F.count("*").alias("names")).filter(F.col("names") > names_in_task)).select("n", "props")
+    if large.isEmpty():
+        merged = _merged_in_tasks(names)
+    else:
+        merged = _merged_in_tasks(names.join(large, ["n", "props"], "left_anti")).unionByName(_merged_by_edges(names.join(large, ["n", "props"], "left_semi")))
     placed = chosen.join(merged, ["n", "props", "w"], "left")
     # Where a name belongs to several brands, a listing that states none takes the one its title names.
     of_title = F.get(F.array_intersect("words", "known"), F.lit(0))

@@ -69,6 +69,19 @@ def test_slips():
     assert L.merge_names(["abcdef", "abcdfe", "zzzzzz"]) == {"abcdef": "abcdef", "abcdfe": "abcdef", "zzzzzz": "zzzzzz"}
 
 
+def test_many_names_of_one_number_are_linked_across_tasks(spark):
+    rows = [(str(i), f"Acme {w} 120 Lamp 5 W", None) for i, w in enumerate(["bakuro", "bakruo", "bakkuro", "bakkurro", "tilume", "tilme", "gridex"])]
+    df = spark.createDataFrame(rows, "id string, t string, d string")
+
+    def sets(**how):
+        groups = {}
+        for r in L.group_listings(df, "id", "t", "d", **how).collect():
+            groups.setdefault(r.group_id, set()).add(r.id)
+        return sorted(map(sorted, groups.values()))
+
+    assert sets(names_in_task=1) == sets() == [["0", "1", "2", "3"], ["4", "5"], ["6"]]
+
+
 def test_edges(spark):
     rows = [("1", None, None, "", 1, ""), ("2", "", "", "", 1, ""), ("3", "x" * 100_000, None, "", 1, ""), ("4", "only words here", "", None, None, None), ("4", "only words here", "", "q", 9, "")]
     df = spark.createDataFrame(rows, SCHEMA)
