@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.sparse import top_k
+from gristmill.session import checkpointed
 
-#: Query vectors that go to the workers at once; more are taken in further blocks over the corpus.
+#: Query vectors that go to the workers at once, about; more are taken in further blocks over the corpus.
 QUERY_BLOCK = 4_096
 
 
@@ -36,16 +37,19 @@ def scan_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, metric: s
     """
     if metric not in ("ip", "cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
-    asked = queries.select(F.col("query_id").cast("long"), "v").orderBy("query_id")
-    got = asked.toArrow()
-    at, q = _matrix(got.column("v"), dim)
-    ids = got.column("query_id").to_numpy()[at]
-    if metric == "cosine":
-        n = np.linalg.norm(q, axis=1)
-        ids, q = ids[n > 0], q[n > 0] / n[n > 0, None]
+    asked = queries.select(F.col("query_id").cast("long"), "v")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
-    for s in range(0, max(len(ids), 1), QUERY_BLOCK):
-        block = _scan(corpus, ids[s : s + QUERY_BLOCK], q[s : s + QUERY_BLOCK], k, dim, metric)
+    for i in range(blocks):
+        # The driver holds one block at a time; with several, each block's results are written before the next.
+        got = (asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow()
+        at, q = _matrix(got.column("v"), dim)
+        ids = got.column("query_id").to_numpy()[at]
+        if metric == "cosine":
+            n = np.linalg.norm(q, axis=1)
+            ids, q = ids[n > 0], q[n > 0] / n[n > 0, None]
+        block = _scan(corpus, ids, q, k, dim, metric)
+        block = checkpointed(block) if blocks > 1 else block
         found = block if found is None else found.unionAll(block)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     return top_k(found.withColumn("score", F.round("score", 6)), "query_id", [order, F.col("doc_id")], k)

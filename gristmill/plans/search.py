@@ -230,8 +230,8 @@ def rule_boost(s, sf):
     c = _hybrid(s, sf, "outer")
     last = c.groupBy("query_id").agg(F.max("doc_id").alias("doc_id")).withColumn("boost", F.lit(3.0))
     offers = _offers(s, sf)
-    first = offers.agg(F.min("doc_id").alias("doc_id"))
-    extra = last.filter("query_id % 2 = 0").select("query_id").crossJoin(F.broadcast(first)).withColumn("boost", F.lit(3.0))
+    first = offers.select(F.min("doc_id")).scalar()
+    extra = last.filter("query_id % 2 = 0").select("query_id", first.alias("doc_id"), F.lit(3.0).alias("boost"))
     out = fusion.rule_boost(c, last.unionByName(extra.select("query_id", "doc_id", "boost")), offers)
     return fusion.head(out, "hybrid_score", 5).select("query_id", "doc_id", F.round("hybrid_score", 6).alias("score"), "rank")
 

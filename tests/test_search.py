@@ -58,6 +58,21 @@ def test_scan_against_brute_force(spark):
     assert dense.scan_topk(df.limit(0), q, 5, 8).count() == 0 and dense.scan_topk(df, q.limit(0), 5, 8).count() == 0
 
 
+def test_scan_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "doc_id long, v array<double>")
+    q = df.withColumnRenamed("doc_id", "query_id")
+    whole = sorted(dense.scan_topk(df, q, 3, 4, "l2").collect())
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 25)
+    assert sorted(dense.scan_topk(df, q, 3, 4, "l2").collect()) == whole and len(whole) == 180
+
+
+def test_ties_follow_ids(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "doc_id long, v array<double>").repartition(3)
+    got = dense.scan_topk(df, df.filter("doc_id = 7").withColumnRenamed("doc_id", "query_id"), 4, 2).collect()
+    assert [(r["rank"], r.doc_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 0), (2, 1), (3, 2), (4, 3)]
+
+
 def test_zscores_of_a_constant_dimension(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 4.0])], "id int, v array<double>")
     assert {(r.id, r.dim): r.z for r in dense.zscores(df, "id", "v").collect()} == {(1, 0): 0.0, (2, 0): 0.0, (1, 1): -1.0, (2, 1): 1.0}
