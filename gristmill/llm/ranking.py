@@ -6,8 +6,8 @@ lexicographically, largest first: the weakest score decides, then the next weake
 score can mask a weak one.
 
 Ranks are counted without putting a group into one task: equal values of a group are counted together
-first, the values are cut into buckets at approximate quantiles of the group, and a rank is the count
-of the buckets below plus the count within the bucket.
+first, the values are cut into ranges of equal size, and a rank is the count of the group's ranges
+below plus the count within the range.
 """
 
 from __future__ import annotations
@@ -15,45 +15,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets a group's values are cut into; where they are cut changes no rank.
-BUCKETS = 64
+from gristmill.session import checkpointed
 
 
-def _bucketed(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """`values` with __bucket, non-decreasing in `value` within `keys`."""
-    at = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = values.groupBy(*keys).agg(F.percentile_approx(value, at, 1000).alias("__cuts"))
-    return (
-        values.join(cuts, keys)
-        .withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
-        .drop("__cuts")
-    )
+def _counted_below(counted: DataFrame, keys: list[str], order: list[Column], n: str) -> DataFrame:
+    """`counted` with __below, the sum of `n` over the rows of its group that come earlier, and __all.
 
-
-def _below(counted: DataFrame, keys: list[str], order: list[Column], n: str) -> DataFrame:
-    """`counted` (bucketed) with __below, the sum of `n` over rows that come earlier, and __all."""
-    totals = counted.groupBy(*keys, "__bucket").agg(F.sum(n).alias("__n_bucket"))
-    by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
+    Rows are cut into ranges of equal size over the whole table, so a group spans as many ranges as it
+    needs; the ranges are written once, since two readers must see the same cut.
+    """
+    ranges = checkpointed(counted.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    totals = ranges.groupBy(*keys, "__part").agg(F.sum(n).alias("__n_part"))
+    by_part = Window.partitionBy(*keys).orderBy("__part")
     totals = totals.select(
         *keys,
-        "__bucket",
-        (F.sum("__n_bucket").over(by_bucket) - F.col("__n_bucket")).alias("__offset"),
-        F.sum("__n_bucket").over(Window.partitionBy(*keys)).alias("__all"),
+        "__part",
+        (F.sum("__n_part").over(by_part) - F.col("__n_part")).alias("__offset"),
+        F.sum("__n_part").over(Window.partitionBy(*keys)).alias("__all"),
     )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        counted.withColumn("__inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-        .join(totals, [*keys, "__bucket"])
+        ranges.withColumn("__inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+        .join(totals, [*keys, "__part"])
         .withColumn("__below", F.col("__offset") + F.col("__inside"))
-        .drop("__offset", "__inside")
+        .drop("__offset", "__inside", "__part")
     )
 
 
 def standings(df: DataFrame, group: str, item: str, scores: dict[str, Column | str]) -> DataFrame:
     """(group, item, standing ARRAY<DOUBLE>): each item's percentiles over `scores`, ascending.
 
-    Every score, a column or SQL expression, is "higher is better"; negate one that is not. A percentile is the share of the
-    group's items that are worse, ties counting half. Null and NaN scores are tied at the bottom.
+    Every score, a column or SQL expression, is "higher is better"; negate one that is not. A percentile
+    is the share of the group's items that are worse, ties counting half. Null and NaN scores are tied at the bottom.
     A (group, item) that is repeated counts once, with the best value of each score. An empty table
     gives no row; a group of one item gives 0.5 throughout. Other columns are not read.
     """
@@ -70,7 +63,7 @@ def standings(df: DataFrame, group: str, item: str, scores: dict[str, Column | s
     ).withColumn("__g", F.struct(F.col("__g").alias("g")))  # a struct is never null, so null groups join too
     values = long.groupBy("__g", "__dim", "__v").agg(F.count("*").alias("__n"))
     keys = ["__g", "__dim"]
-    ranked = _below(_bucketed(values, keys, "__v"), keys, [F.col("__v")], "__n")
+    ranked = _counted_below(values, keys, [F.col("__v")], "__n")
     share = ranked.select(*keys, "__v", ((F.col("__below") + F.col("__n") / 2) / F.col("__all")).alias("__p"))
     joined = long.join(share, [*keys, "__v"])
     return (
@@ -83,9 +76,9 @@ def standings(df: DataFrame, group: str, item: str, scores: dict[str, Column | s
 def leximin(df: DataFrame, group: str, item: str, scores: dict[str, Column | str]) -> DataFrame:
     """(group, item, standing, position): the whole ranking; equal standings follow the item id."""
     s = standings(df, group, item, scores).withColumnsRenamed({group: "__g", item: "__i"})
-    s = s.withColumn("__g", F.struct(F.col("__g").alias("g"))).withColumn("__worst", -F.get("standing", F.lit(0))).withColumn("__one", F.lit(1))
+    s = s.withColumn("__g", F.struct(F.col("__g").alias("g"))).withColumn("__one", F.lit(1))
     order = [F.col("standing").desc(), F.col("__i").asc_nulls_last()]
-    ranked = _below(_bucketed(s, ["__g"], "__worst"), ["__g"], order, "__one")
+    ranked = _counted_below(s, ["__g"], order, "__one")
     return ranked.select(F.col("__g.g").alias(group), F.col("__i").alias(item), "standing", (F.col("__below") + 1).alias("position"))
 
 

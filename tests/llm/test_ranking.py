@@ -52,7 +52,7 @@ def test_a_weak_score_is_not_masked(spark):
     assert leximin_top(spark.createDataFrame(rows, SCHEMA), "g", "i", SCORES, 1).first().i == "balanced"
 
 
-def test_more_values_than_buckets(spark):
+def test_one_large_group(spark):
     rows = [(1, f"{i:05d}", float(i), float(i), "", 0) for i in range(3000)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.i: r.position for r in leximin(df, "g", "i", {"a": "a"}).collect()}
