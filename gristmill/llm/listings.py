@@ -46,6 +46,9 @@ _COLOUR = {n: c for c, names in COLOURS.items() for n in names}
 _units = "|".join(sorted((re.escape(u) for u in _MEASURE if u != "pack"), key=len, reverse=True))
 _PACK = re.compile(r"\b(?:pack|set|box) of (\d+)\b|\b(\d+)-pack\b|(\bsingle\b)")
 _QUANTITY = re.compile(rf"(?<![\w.,])(\d+(?:,\d{{3}})*(?:\.\d+)?)[ -]?({_units})(?![\w²³])")
+_COLOUR_WORDS = re.compile(rf"\b(?:{'|'.join(_COLOUR)}|colou?r)\b")
+#: What a segment must hold to say anything about properties or models.
+_TELLING = re.compile(rf"\d|\b(?:single|{'|'.join(_COLOUR)})\b")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?![\d,.]*%)\b|\d+")
 _SEGMENT = re.compile(r"\s*[\n|;]\s*|(?<!\b[Nn][Oo])\.\s+")
 # Words that stand between a name and its number.
@@ -92,7 +95,7 @@ def read_properties(text: str, into: dict[str, set]) -> str:
         return " , "
 
     text = _QUANTITY.sub(quantity, _PACK.sub(pack, text))
-    for w in re.findall(r"[^\W\d_]+", text):
+    for w in _COLOUR_WORDS.findall(text):
         if w in _COLOUR:
             into.setdefault("colour", set()).add(_COLOUR[w])
     return text
@@ -123,13 +126,13 @@ def read_listing(title: str | None, description: str | None) -> tuple[str, str,
         low = segment.strip().lower()
         if m := _BRAND.fullmatch(low):
             brand = m.group(1) or m.group(2)
-        elif _MODEL.match(low):
-            combine(low[_MODEL.match(low).end() :], LABELLED)
-        else:
+        elif m := _MODEL.match(low):
+            combine(low[m.end() :], LABELLED)
+        elif _TELLING.search(low):
             own: dict[str, set] = {}
             rest = read_properties(_PROPERTY.sub("", low, count=1), own)
             # A property of the listing stands alone in its segment; sentences may speak of anything.
-            if own and not re.sub(r"\bcolou?r\b", "", re.sub("|".join(_COLOUR), "", rest)).strip(" ,.-"):
+            if own and not _COLOUR_WORDS.sub("", rest).strip(" ,.-"):
                 for k, v in own.items():
                     stated.setdefault(k, set()).update(v)
             else:
@@ -184,6 +187,15 @@ def merge_names(names: list[str]) -> dict[str, str]:
     return {n: find(n) for n in names}
 
 
+def _combination_array(combos: list[list[tuple[str, str, float]]]) -> pa.ListArray:
+    ends = [0]
+    for c in combos:
+        ends.append(ends[-1] + len(c))
+    flat = [x for c in combos for x in c]
+    columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64()))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["w", "n", "s"]))
+
+
 def _merged(at: tuple[str, str] | None, group: list[tuple[str, list[str]]]) -> list[tuple]:
     """(n, props, w, name, known brands) of the names of one group."""
     if not group:
@@ -277,7 +289,6 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
     base = base.withColumn("row", F.xxhash64("k", "t", "d"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pa.list_(pa.struct([("w", pa.string()), ("n", pa.string()), ("s", pa.float64())]))
         for b in batches:
             rows = [read_listing(t, d) for t, d in zip(b.column("t").to_pylist(), b.column("d").to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -287,7 +298,7 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
                     pa.array([r[0] for r in rows], pa.string()),
                     pa.array([r[1] for r in rows], pa.string()),
                     pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                    pa.array([[{"w": w, "n": n, "s": s} for w, n, s in r[3]] for r in rows], pair),
+                    _combination_array([r[3] for r in rows]),
                 ],
                 names=["row", "k", "props", "brand", "words", "combos"],
             )
