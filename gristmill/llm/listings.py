@@ -122,6 +122,7 @@ def read_listing(title: str | None, description: str | None) -> tuple[str, str,
     brand = ""
     in_title = dict(found)
     stated: dict[str, set] = {}
+    elsewhere: list[str] = []
     for segment in _SEGMENT.split(description or ""):
         low = segment.strip().lower()
         if m := _BRAND.fullmatch(low):
@@ -136,7 +137,11 @@ def read_listing(title: str | None, description: str | None) -> tuple[str, str,
                 for k, v in own.items():
                     stated.setdefault(k, set()).update(v)
             else:
-                combine(rest, ELSEWHERE)
+                elsewhere.append(rest)
+    # Sentences of the description are asked only where neither title nor label names a model.
+    if not combos:
+        for rest in elsewhere:
+            combine(rest, ELSEWHERE)
     for k, v in stated.items():
         if k not in in_title:
             found[k] = v
