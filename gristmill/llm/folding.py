@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from gristmill.session import checkpointed
+
 # Letters of other scripts (and letter-like signs) that are drawn as the Latin letter.
 LOOKALIKES = {
     "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "k": "", "l": "ӏ", "o": "оοօ", "p": "рρ", "q": "ԛ",
@@ -136,6 +138,7 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     base = df.select(F.col(key).alias("__k"), F.col(text).cast("string").alias("__t")).filter(F.length("__t") > 0)
     folded = with_folded(base, "__t", "__f").filter(F.col("__f").rlike(r"[^\s]"))
     rows = folded.select("__k", F.unhex(F.md5("__f")).alias("__form"), F.xxhash64("__t").alias("__stored")).distinct()
+    rows = checkpointed(rows)  # three readers; texts are folded once
     forms = (
         rows.groupBy("__form")
         .agg(F.min("__stored").alias("lo"), F.max("__stored").alias("hi"))
