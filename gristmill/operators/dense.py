@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.sparse import top_k
@@ -14,6 +15,8 @@ from gristmill.session import checkpointed
 
 #: Query vectors that go to the workers at once, about; more are taken in further blocks over the corpus.
 QUERY_BLOCK = 4_096
+#: Share of the true neighbours a clustered search aims at, and the rows by which its probes are measured.
+IVF_RECALL, PROBE_QUERIES = 0.97, 500
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +40,18 @@ def scan_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, metric: s
     """
     if metric not in ("ip", "cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
+
+    def block(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        if metric == "cosine":
+            n = np.linalg.norm(q, axis=1)
+            ids, q = ids[n > 0], q[n > 0] / n[n > 0, None]
+        return _scan(corpus, ids, q, k, dim, metric)
+
+    return _in_blocks(queries, dim, block, k, ascending=metric == "l2")
+
+
+def _in_blocks(queries: DataFrame, dim: int, search: Callable[[np.ndarray, np.ndarray], DataFrame], k: int, ascending: bool = False) -> DataFrame:
+    """The `k` best of what `search` finds for each block of (ids, vectors) of the queries."""
     asked = queries.select(F.col("query_id").cast("long"), "v")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
@@ -44,14 +59,10 @@ def scan_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, metric: s
         # The driver holds one block at a time; with several, each block's results are written before the next.
         got = (asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow()
         at, q = _matrix(got.column("v"), dim)
-        ids = got.column("query_id").to_numpy()[at]
-        if metric == "cosine":
-            n = np.linalg.norm(q, axis=1)
-            ids, q = ids[n > 0], q[n > 0] / n[n > 0, None]
-        block = _scan(corpus, ids, q, k, dim, metric)
+        block = search(got.column("query_id").to_numpy()[at], q)
         block = checkpointed(block) if blocks > 1 else block
         found = block if found is None else found.unionAll(block)
-    order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
+    order = F.col("score").asc() if ascending else F.col("score").desc()
     return top_k(found.withColumn("score", F.round("score", 6)), "query_id", [order, F.col("doc_id")], k)
 
 
@@ -68,31 +79,39 @@ def _best(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(scores, keep, 1), np.take_along_axis(docs, keep, 1)
 
 
-def _scan(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, dim: int, metric: str) -> DataFrame:
-    sent = corpus.sparkSession.sparkContext.broadcast((ids, q))
+def _scan(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, dim: int, metric: str, visits: np.ndarray | None = None) -> DataFrame:
+    """The `k` best of each partition; with `visits` (queries x cells), among the rows whose cell_id a query visits."""
+    sent = corpus.sparkSession.sparkContext.broadcast((ids, q, visits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        best = np.empty((len(ids), 0))
-        docs = np.empty((len(ids), 0), np.int64)
+        ids, q, visits = sent.value
+        best = np.full((len(ids), k), -np.inf)
+        docs = np.full((len(ids), k), np.iinfo(np.int64).max)
         for b in batches:
             at, x = _matrix(b.column("v"), dim)
             own = b.column("doc_id").to_numpy()[at]
             if metric == "cosine":
                 n = np.linalg.norm(x, axis=1)
                 own, x = own[n > 0], x[n > 0] / n[n > 0, None]
-            s = q @ x.T
-            if metric == "l2":
-                s = -np.maximum((q * q).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None, :], 0)
-            best = np.concatenate([best, np.round(s, 6)], axis=1)
-            docs = np.concatenate([docs, np.broadcast_to(own, s.shape)], axis=1)
-            best, docs = _best(best, docs, k)
+            parts = [(slice(None), slice(None))]
+            if visits is not None:
+                cell = b.column("cell_id").to_numpy()[at]
+                parts = [(np.flatnonzero(visits[:, c]), np.flatnonzero(cell == c)) for c in np.unique(cell)]
+            for asks, rows in parts:
+                s = q[asks] @ x[rows].T
+                if metric == "l2":
+                    s = -np.maximum((q[asks] * q[asks]).sum(1)[:, None] - 2 * s + (x[rows] * x[rows]).sum(1)[None, :], 0)
+                scores = np.concatenate([best[asks], np.round(s, 6)], axis=1)
+                which = np.concatenate([docs[asks], np.broadcast_to(own[rows], s.shape)], axis=1)
+                best[asks], docs[asks] = _best(scores, which, k)
+        real = best > -np.inf
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, best.shape[1]).astype(np.int64)), pa.array(docs.ravel()), pa.array((-best if metric == "l2" else best).ravel())],
+            [pa.array(np.repeat(ids, real.sum(1)).astype(np.int64)), pa.array(docs[real]), pa.array((-best if metric == "l2" else best)[real])],
             names=["query_id", "doc_id", "score"],
         )
 
-    return corpus.select(F.col("doc_id").cast("long"), "v").mapInArrow(run, "query_id long, doc_id long, score double")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "v", *(["cell_id"] if visits is not None else [])]
+    return corpus.select(*columns).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def zscores(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -143,13 +162,58 @@ def search_cells(spark, folder: str, key: str, vector: str, query: list[float],
     return some.select(F.col(key).alias("doc_id"), score.alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
-def ivf_topk(df: DataFrame, key: str, vector: str, query: list[float], k: int, cells: int, probes: int) -> DataFrame:
-    """The `k` best by inner product among the `probes` cells nearest to the query; never padded."""
-    from gristmill.functions.vectors import dot
+def ivf_topk(
+    df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, dim: int, cells: int | None = None, probes: int | None = None, recall: float = IVF_RECALL
+) -> DataFrame:
+    """(query_id, doc_id, score, rank): the `k` best of each query by inner product among the cells nearest to it; never padded.
+
+    `queries` is (query_id, v). There are sqrt(rows) cells if not stated, and as many are visited as
+    `enough_probes` measures for this recall, or `probes`. Vectors that `scan_topk` leaves out take no part here either.
+    """
+    usable = df.select(F.col(key).alias("doc_id"), F.col(vector).alias("v")).filter((F.size("v") == dim) & F.forall("v", _finite))
+    total = usable.count()
+    if not total:
+        return scan_topk(usable, queries, k, dim)
+    placed, centres = kmeans_cells(usable, "doc_id", "v", cells or max(1, int(total**0.5)))
+    # Written once: the measurement of the probes and every block of queries read it.
+    placed, centres = checkpointed(placed), np.array(centres)
+    probes = probes or enough_probes(placed, centres, k, dim, recall, total)
+    return _in_blocks(queries, dim, lambda ids, q: _scan(placed, ids, q, k, dim, "ip", _cell_ranks(q, centres) < probes), k)
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
-    placed, centres = kmeans_cells(df, key, vector, cells)
-    near = sorted(range(len(centres)), key=lambda i: float(((centres[i] - np.array(query)) ** 2).sum()))[:probes]
-    scored = placed.filter(F.col("cell_id").isin(near)).select(
-        F.col(key).alias("doc_id"), F.round(dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query])), 6).alias("score")
-    )
-    return scored.orderBy(F.col("score").desc(), "doc_id").limit(k)
+
+def _cell_ranks(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(queries x cells): the place of each cell among those of a query, 0 the nearest."""
+    order = np.argsort((centres**2).sum(1)[None, :] - 2 * q @ centres.T, axis=1, kind="stable")
+    ranks = np.empty_like(order)
+    np.put_along_axis(ranks, order, np.arange(order.shape[1])[None, :], axis=1)
+    return ranks
+
+
+def enough_probes(placed: DataFrame, centres: np.ndarray, k: int, dim: int, recall: float, total: int, asked: int = PROBE_QUERIES) -> int:
+    """Cells to visit so that this share of the true `k` best of about `asked` rows, by hash, lives in one of them.
+
+    The true ones come from an exact scan of all rows for the sample.
+    """
+    share = min(1.0, asked / total)
+    sample = placed.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(F.col("doc_id").alias("query_id"), "v")
+    best = scan_topk(placed.select("doc_id", "v"), sample, k, dim).select("query_id", "doc_id")
+    home = best.join(placed.select("doc_id", "cell_id"), "doc_id").select("query_id", "cell_id").toArrow()
+    if not home.num_rows:
+        return len(centres)
+    got = sample.toArrow()
+    at, q = _matrix(got.column("v"), dim)
+    row = {int(i): n for n, i in enumerate(got.column("query_id").to_numpy()[at])}
+    rows = np.array([row[i] for i in home.column("query_id").to_pylist()])
+    needed = np.sort(_cell_ranks(q, centres)[rows, home.column("cell_id").to_numpy()]) + 1
+    return int(needed[math.ceil(recall * len(needed)) - 1])
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(queries, recall): the share of each query's exact results that were found, on average; null without queries."""
+    hits = exact.join(found.select("query_id", "doc_id", F.lit(1.0).alias("hit")), ["query_id", "doc_id"], "left")
+    each = hits.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("share"))
+    return each.agg(F.count("*").alias("queries"), F.round(F.avg("share"), 6).alias("recall"))

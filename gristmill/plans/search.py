@@ -157,10 +157,21 @@ def zscore_concat(s, sf):
     return dense.zscore_concat(df, "vec_id", "embedding", "squares")
 
 
+def _clustered(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All vectors, those of them that ask, and what the clustered index finds."""
+    df = table(s, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    return df, _asked(df), dense.ivf_topk(df, "doc_id", "v", _asked(df), K, 64)
+
+
 def ivf_topk(s, sf):
-    df = table(s, sf, "embeddings")
-    query = df.filter("vec_id = 0").first().embedding
-    return dense.ivf_topk(df, "vec_id", "embedding", list(query), K, 16, 4)
+    """Every hundredth vector against all, by a clustered index."""
+    return _clustered(s, sf)[2]
+
+
+def ivf_recall(s, sf):
+    """Share of the true nearest that the clustered index finds."""
+    df, asked, found = _clustered(s, sf)
+    return dense.recall_of(found, dense.scan_topk(df, asked, K, 64))
 
 
 def _found(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -330,7 +341,7 @@ QUERIES = {
     "bm25_corpus_totals": bm25_corpus_totals, "key_terms": key_terms, "tfidf_topk": tfidf_topk, "tfidf_top_features": tfidf_top_features,
     "inner_product_topk": partial(vector_topk, metric="ip"), "cosine_topk": partial(vector_topk, metric="cosine"),
     "l2_topk": partial(vector_topk, metric="l2"), "self_retrieval": self_retrieval, "unit_norm_check": unit_norm_check,
-    "pair_similarity": pair_similarity, "zscore_stats": zscore_stats, "zscore_concat": zscore_concat, "ivf_topk": ivf_topk,
+    "pair_similarity": pair_similarity, "zscore_stats": zscore_stats, "zscore_concat": zscore_concat, "ivf_topk": ivf_topk, "ivf_recall": ivf_recall,
     "hybrid_keep_first": partial(hybrid, how="keep_first"), "hybrid_outer": partial(hybrid, how="outer"), "category_boost": category_boost,
     "feature_boost": feature_boost, "boosted_search": boosted_search, "rule_boost_inject": rule_boost, "review_boost": review_boost,
     "rerank_fusion": rerank_fusion, "constant_rerank": constant_rerank, "custom_boost": custom_boost, "multimodal_search": multimodal_search,

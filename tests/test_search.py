@@ -1,9 +1,12 @@
 """Search operators: hand-computed scores, properties, traps."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from gristmill.operators import dense, fusion, sparse
 
 
@@ -118,3 +121,29 @@ def test_empty_terms_give_no_boost(spark):
     assert [r.b for r in df.select(fusion.path_boost(F.col("p"), F.col("t")).alias("b")).collect()] == [0.0, 2.0, 0.0]
     df = spark.createDataFrame([("Long WARRANTY", ["warranty", "warranty"]), (None, ["x"]), ("x", None)], "p string, t array<string>")
     assert [r.b for r in df.select(fusion.feature_boost(F.col("p"), F.col("t")).alias("b")).collect()] == [1.0, 0.0, 0.0]
+
+
+def test_clustered_search_reaches_its_recall(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 16)))] + [(9000, None), (9001, [1.0]), (9002, [float("nan")] * 16)]
+    df = spark.createDataFrame(rows, "doc_id long, v array<double>").repartition(3)
+    q = df.filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    exact = dense.scan_topk(df, q, 5, 16)
+    got = dense.recall_of(dense.ivf_topk(df, "doc_id", "v", q, 5, 16), exact).first()
+    assert got.queries == 90 and got.recall >= 0.9
+    # Four cells of sixteen lose neighbours; all cells lose none.
+    assert dense.recall_of(dense.ivf_topk(df, "doc_id", "v", q, 5, 16, 16, 4), exact).first().recall < 0.9
+    assert sorted(dense.ivf_topk(df, "doc_id", "v", q, 5, 16, 16, 16).collect()) == sorted(exact.collect())
+    assert dense.ivf_topk(df.limit(0), "doc_id", "v", q, 5, 16).count() == 0
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ivf_queries(spark, folder):
+    folder = f"/root/testdata/{folder}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    ids = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect() if r.vec_id % 100 == 0}
+    found = entry.queries()["ivf_topk"](spark, folder)
+    assert {(r.query_id, r["rank"]) for r in found.collect()} == {(i, k) for i in ids for k in range(1, 11)}
+    got = entry.queries()["ivf_recall"](spark, folder).first()
+    assert got.queries == len(ids) and got.recall >= 0.9
