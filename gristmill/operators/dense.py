@@ -15,6 +15,8 @@ from gristmill.session import checkpointed
 
 #: Query vectors that go to the workers at once, about; more are taken in further blocks over the corpus.
 QUERY_BLOCK = 4_096
+#: Rows that meet the queries of a block at once.
+ROW_BLOCK = 1_024
 #: Share of the true neighbours a clustered search aims at, and the rows by which its probes are measured.
 IVF_RECALL, PROBE_QUERIES = 0.97, 500
 
@@ -93,7 +95,7 @@ def _scan(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, dim: int, m
             if metric == "cosine":
                 n = np.linalg.norm(x, axis=1)
                 own, x = own[n > 0], x[n > 0] / n[n > 0, None]
-            parts = [(slice(None), slice(None))]
+            parts = [(slice(None), np.arange(i, min(i + ROW_BLOCK, len(x)))) for i in range(0, len(x), ROW_BLOCK)]
             if visits is not None:
                 cell = b.column("cell_id").to_numpy()[at]
                 parts = [(np.flatnonzero(visits[:, c]), np.flatnonzero(cell == c)) for c in np.unique(cell)]

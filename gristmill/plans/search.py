@@ -11,9 +11,13 @@ from gristmill.functions import text as T
 from gristmill.functions import vectors as V
 from gristmill.operators import analysis as A
 from gristmill.operators import dense, fusion, sparse
+from gristmill.operators.plugins import encode
+from gristmill.session import checkpointed
 from gristmill.sources.tables import table
 
 K = 10
+#: Candidates that each list of a hybrid search takes from the whole corpus.
+POOL = 100
 
 
 def _docs(s: SparkSession, sf: str) -> DataFrame:
@@ -213,16 +217,21 @@ def _offers(s: SparkSession, sf: str) -> DataFrame:
     return table(s, sf, "catalog_raw").select(F.col("product_id").alias("doc_id"), "product_name", "category", "about_product", "review_content").distinct()
 
 
-def _boosted(s: SparkSession, sf: str) -> DataFrame:
-    """Fused candidates with their offers, the analysis of their query, and both boosts."""
-    q = _queries(s, sf).select("query_id", A.product_type(F.col("text")).alias("kind"), A.key_features(F.col("text"), A.DEMO_FEATURES).alias("features"))
-    c = _hybrid(s, sf, "outer").join(q, "query_id").join(_offers(s, sf), "doc_id")
+def _with_gains(candidates: DataFrame, queries: DataFrame, offers: DataFrame) -> DataFrame:
+    """Candidates with their offers, the analysis of their query, and both boosts."""
+    q = queries.select("query_id", A.product_type(F.col("text")).alias("kind"), A.key_features(F.col("text"), A.DEMO_FEATURES).alias("features"))
+    c = candidates.join(q, "query_id").join(offers, "doc_id")
     text = F.concat_ws(" ", "product_name", "category", "about_product", "review_content")
     return c.withColumns(
         {"category_gain": fusion.path_boost(F.col("category"), A.category_terms(F.col("kind"))), "feature_gain": fusion.feature_boost(text, F.col("features"))}
     )
 
 
+def _boosted(s: SparkSession, sf: str) -> DataFrame:
+    """Fused stored candidates with both boosts."""
+    return _with_gains(_hybrid(s, sf, "outer"), _queries(s, sf), _offers(s, sf))
+
+
 def category_boost(s, sf):
     return _boosted(s, sf).select("query_id", "doc_id", "category_gain")
 
@@ -236,6 +245,43 @@ def boosted_search(s, sf):
     return fusion.head(c, "hybrid_score", K).select("query_id", "doc_id", F.col("hybrid_score").alias("score"), "rank")
 
 
+def _numbered_offers(s: SparkSession, sf: str) -> DataFrame:
+    """Every offer under a number, `doc_id`, in the order of its product_id, with the text that is searched."""
+    offers = table(s, sf, "catalog_raw").select("product_id", "product_name", "category", "about_product", "review_content", "rating", "rating_count").distinct()
+    text = F.concat_ws(" ", "product_name", "category", "about_product")
+    return checkpointed(offers.orderBy("product_id").select(F.monotonically_increasing_id().alias("doc_id"), "*", text.alias("text")))
+
+
+def _texts(s: SparkSession, sf: str) -> DataFrame:
+    """The different query texts, each under the smallest query_id that asks it."""
+    return _queries(s, sf).groupBy("text").agg(F.min("query_id").alias("query_id"))
+
+
+def _nearest(offers: DataFrame, texts: DataFrame, column: str, k: int, to: str) -> DataFrame:
+    """The `k` offers whose encoded column is nearest to the encoded query, of all offers."""
+    vectors = encode(offers.select("doc_id", F.col(column).alias("text")), "text", "v").select("doc_id", "v")
+    found = dense.scan_topk(vectors, encode(texts, "text", "v").select("query_id", "v"), k, 64, "cosine")
+    return found.select("query_id", "doc_id", F.col("score").alias(to))
+
+
+def _for_all_who_ask(s: SparkSession, sf: str, results: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score, rank): results of a text for each query of this text, offers by their own id."""
+    of_text = results.join(texts, "query_id").select(F.col("text"), F.col("product_id").alias("doc_id"), "score", "rank")
+    return _queries(s, sf).join(of_text, "text").select("query_id", "doc_id", "score", "rank")
+
+
+def hybrid_search(s, sf):
+    """BM25 and a dense scan over all offers for every query text; both pools are fused and boosted."""
+    offers, texts = _numbered_offers(s, sf), checkpointed(_texts(s, sf))
+    words = sparse.search_bm25(sparse.fit_bm25(offers, "doc_id", "text"), texts, POOL)
+    words = words.select("query_id", "doc_id", F.col("score").alias("bm25_score"))
+    near = _nearest(offers, texts, "text", POOL, "vector_score")
+    c = fusion.fuse(fusion.merge_candidates(words, near, "outer"), {"bm25_score": 0.4, "vector_score": 0.6})
+    c = _with_gains(c, texts, offers.drop("text"))
+    c = c.withColumn("score", F.round(F.col("hybrid_score") + F.col("category_gain") + F.col("feature_gain"), 9))
+    return _for_all_who_ask(s, sf, fusion.head(c, "score", K), texts)
+
+
 def rule_boost(s, sf):
     """Rules as data: each query's last candidate by id is lifted, and an offer of every second query comes in."""
     c = _hybrid(s, sf, "outer")
@@ -343,7 +389,7 @@ QUERIES = {
     "l2_topk": partial(vector_topk, metric="l2"), "self_retrieval": self_retrieval, "unit_norm_check": unit_norm_check,
     "pair_similarity": pair_similarity, "zscore_stats": zscore_stats, "zscore_concat": zscore_concat, "ivf_topk": ivf_topk, "ivf_recall": ivf_recall,
     "hybrid_keep_first": partial(hybrid, how="keep_first"), "hybrid_outer": partial(hybrid, how="outer"), "category_boost": category_boost,
-    "feature_boost": feature_boost, "boosted_search": boosted_search, "rule_boost_inject": rule_boost, "review_boost": review_boost,
+    "feature_boost": feature_boost, "boosted_search": boosted_search, "hybrid_search": hybrid_search, "rule_boost_inject": rule_boost, "review_boost": review_boost,
     "rerank_fusion": rerank_fusion, "constant_rerank": constant_rerank, "custom_boost": custom_boost, "multimodal_search": multimodal_search,
     "demo_search": demo_search, "rank_of_target": rank_of_target, "union_dedup_keep_first": union_dedup_keep_first,
     "query_analysis_rules": query_analysis_rules, "price_constraint_extract": price_constraint_extract, "json_repair_parse": json_repair_parse,

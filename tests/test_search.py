@@ -147,3 +147,46 @@ def test_ivf_queries(spark, folder):
     assert {(r.query_id, r["rank"]) for r in found.collect()} == {(i, k) for i in ids for k in range(1, 11)}
     got = entry.queries()["ivf_recall"](spark, folder).first()
     assert got.queries == len(ids) and got.recall >= 0.9
+
+
+def offers(spark, folder, names, stored):
+    """Tables of offers (name, category, rating, rating_count) and of the stored candidates (query_id, text, product_id)."""
+    rows = [(f"P{i}", n, c, None, None, r, k) for i, (n, c, r, k) in enumerate(names)]
+    columns = "product_id string, product_name string, category string, about_product string, review_content string, rating string, rating_count string"
+    spark.createDataFrame([*rows, rows[0]], columns).write.parquet(f"{folder}/catalog_raw.parquet")
+    spark.createDataFrame(stored, "query_id long, query_text string, product_id string").write.parquet(f"{folder}/search_results.parquet")
+    return str(folder)
+
+
+def test_hybrid_search_finds_offers_outside_the_stored_lists(spark, tmp_path):
+    names = [("steel bottle", "Kitchen", "4", "1"), ("red cable", "USB>Cables", "4", "1"), ("blue cable", "USB>Cables", "4", "1"), ("bottle rack", "Kitchen", "4", "1")]
+    folder = offers(spark, tmp_path, names, [(1, "red cable", "P0"), (2, "red cable", "P0"), (3, "bottle", "P1"), (4, "zzz", "P1")])
+    got = {}
+    for r in entry.queries()["hybrid_search"](spark, folder).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
+    assert got[1] == got[2] and got[1][1][0] == "P1" and got[1][2][0] == "P2" and got[1][1][1] > got[1][2][1] > 2
+    assert {d for d, _ in list(got[3].values())[:2]} == {"P0", "P3"}
+
+
+def test_hybrid_search_against_its_parts(spark):
+    """Both pools computed here over all offers of the smallest tables, for one query at a time."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    from gristmill.operators.plugins import HashingEncoder
+
+    stored = {}
+    for r in spark.read.parquet(f"{folder}/search_results.parquet").collect():
+        stored.setdefault(r.query_id, (r.query_text, set()))[1].add(r.product_id)
+    rows = sorted({(r.product_id, " ".join(x for x in (r.product_name, r.category, r.about_product) if x is not None)) for r in spark.read.parquet(f"{folder}/catalog_raw.parquet").collect()})
+    x = np.array(HashingEncoder().encode([t for _, t in rows]))
+    found = {}
+    for r in entry.queries()["hybrid_search"](spark, folder).collect():
+        found.setdefault(r.query_id, []).append(r.doc_id)
+    assert set(found) == set(stored) and any(set(found[q]) - stored[q][1] for q in found)
+    index = sparse.fit_bm25(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), "doc_id", "text")
+    for q, (text, _) in stored.items():
+        s = np.round(x @ np.array(HashingEncoder().encode([text])[0]), 6)
+        near = set(np.lexsort((np.arange(len(s)), -s))[:100].tolist())
+        words = {r.doc_id for r in sparse.search_bm25(index, spark.createDataFrame([(1, text)], "query_id int, text string"), 100).collect()}
+        assert {d for d in found[q]} <= {rows[i][0] for i in near | words}
