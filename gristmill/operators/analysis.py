@@ -11,6 +11,8 @@ from gristmill.functions.text import contains_any
 PRODUCT_TYPES = [("cable", ["cable", "charger", "cord"]), ("headphone", ["headset", "headphone", "earphone", "earbud"])]
 # Terms that widen a kind of product when categories are compared.
 WIDER = {"cable": ["charger", "usb", "lightning"], "headphone": ["headset", "earphone", "earbuds"]}
+# Parts of category names that the multimodal search looks for, by kind of product.
+MULTIMODAL_CATEGORIES = {"cable": ["usbcables", "cable", "charger"], "headphone": ["pcheadsets", "headphones", "earbuds"]}
 # Feature -> alternatives; an alternative holds if all its words occur.
 FEATURES = [
     ("high quality", [["quality"]]), ("fast charging", [["fast", "charging"]]), ("noise cancelling", [["noise", "cancelling"]]),
@@ -62,6 +64,14 @@ def category_terms(kind: Column) -> Column:
     return out
 
 
+def multimodal_categories(kind: Column) -> Column:
+    """The parts of category names for a kind of product, else the kind itself; none for an empty kind."""
+    out = F.when(kind != "", F.array(kind)).otherwise(F.array().cast("array<string>"))
+    for name, parts in MULTIMODAL_CATEGORIES.items():
+        out = F.when(kind == name, F.array(*[F.lit(p) for p in parts])).otherwise(out)
+    return out
+
+
 def analyse(query: Column) -> Column:
     """STRUCT of product_type, key_features and price_constraint."""
     return F.struct(product_type(query).alias("product_type"), key_features(query).alias("key_features"), upper_bound(query).alias("price_constraint"))

@@ -190,3 +190,22 @@ def test_hybrid_search_against_its_parts(spark):
         near = set(np.lexsort((np.arange(len(s)), -s))[:100].tolist())
         words = {r.doc_id for r in sparse.search_bm25(index, spark.createDataFrame([(1, text)], "query_id int, text string"), 100).collect()}
         assert {d for d in found[q]} <= {rows[i][0] for i in near | words}
+
+
+def test_multimodal_improved_adds_every_gain(spark, tmp_path):
+    names = [("red cable", "USBCables", "4,0", "50"), ("red cable", "Kitchen", "4", "100"), ("red cable", "Kitchen", "n/a", None), ("blue bottle", None, "5", "100")]
+    folder = offers(spark, tmp_path, names, [(1, "red cable", "P3"), (2, "red cable", "P3")])
+    got = {}
+    for r in entry.queries()["multimodal_improved"](spark, folder).collect():
+        got.setdefault(r.query_id, {})[r.doc_id] = (r.score, r["rank"])
+    assert got[1] == got[2] and {d: k for d, (_, k) in got[1].items()} == {"P0": 1, "P1": 2, "P2": 3, "P3": 4}
+    score = {d: x for d, (x, _) in got[1].items()}
+    # P1 and P2 have equal texts: what parts them is the rating over 5 and the count over the largest.
+    assert abs(score["P1"] - score["P2"] - 0.8 - 0.5) < 1e-6
+    from gristmill.operators.plugins import HashingEncoder
+
+    x = np.array(HashingEncoder().encode(["red cable", "red cable USBCables", "red cable Kitchen", "blue bottle"]))
+    near = np.round(x @ x[0], 6)
+    keyword = score["P1"] - 1.5 * near[2] - 1.3
+    assert 0 < keyword < 1.5
+    assert score["P0"] > 1.5 * near[1] + 2.0 + 0.8 + 0.25 and abs(score["P3"] - 1.5 * near[3] - 1.5) < 1e-6
