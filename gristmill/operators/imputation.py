@@ -1,7 +1,8 @@
 """Filling missing numbers from similar records by k-prototypes clusters.
 
-1. `fit_prototypes` fits k prototypes (numeric centres and categorical modes) on a bounded sample of
-   rows; numeric distance runs over the features a row has, so rows with gaps take part.
+1. `fit_on` fits k prototypes (numeric centres and categorical modes) on all rows: each round assigns every
+   row and sums up by prototype before the shuffle; a bounded sample gives the starting points only. Numeric
+   distance runs over the features a row has, so rows with gaps take part.
 2. `impute` assigns every row to its nearest prototype and takes, over all rows, the median of each
    cluster; a gap is filled from the cluster, else from its parent (the first categorical feature),
    else from the whole table, and each value carries the method that gave it.
@@ -15,13 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gristmill.session import checkpointed
 
-#: Rows the prototypes are fitted on; assignment and medians cover all rows.
+#: Rows the starting prototypes are drawn from; scaling, rounds, assignment and medians cover all rows.
 FIT_ROWS = 20_000
 #: Prototypes, and rounds of fitting.
 CLUSTERS, ROUNDS = 32, 12
@@ -53,7 +54,8 @@ class Prototypes:
         d = (x * x).sum(1)[:, None] - 2 * x @ self.centres.T + w @ (self.centres**2).T
         d *= (x.shape[1] / np.maximum(w.sum(1), 1.0))[:, None]
         for j in range(words.shape[1]):
-            d += self.gamma * (words[:, j][:, None] != self.modes[:, j][None, :])
+            code, values = pd.factorize(words[:, j])
+            d += self.gamma * (values[:, None] != self.modes[:, j][None, :])[code]
         return d.argmin(1).astype(np.int32)
 
 
@@ -94,6 +96,71 @@ def fit_prototypes(
     return model
 
 
+def fit_on(base: DataFrame, numeric: list[str], categorical: list[str], start: Prototypes) -> Prototypes:
+    """K-prototypes by rounds over all rows of `base` from `start`, whose scaling is replaced by that of all rows.
+
+    Each task keeps sums and counts by prototype, and one row of counts for each value of a category it has met; what
+    comes to the driver is the most frequent value of each prototype, the smaller among equals.
+    """
+    facts = base.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("scale")).alias(c) for c in numeric]).first()
+    mean = np.array([facts[c]["mean"] or 0.0 for c in numeric])
+    scale = np.array([facts[c]["scale"] or 1.0 for c in numeric])
+    centres = (start.centres * start.scale + start.mean - mean) / scale
+    model = Prototypes(numeric, categorical, mean, scale, centres, start.modes, start.gamma)
+    for _ in range(ROUNDS):
+        found = _round(base, model)
+        centres, modes = model.centres.copy(), model.modes.copy()
+        for r in found:
+            if r.feature < len(numeric):
+                centres[r.cluster, r.feature] = r.total / r.rows
+            else:
+                modes[r.cluster, r.feature - len(numeric)] = r.value
+        done = np.allclose(centres, model.centres, rtol=0, atol=1e-9) and np.array_equal(modes, model.modes)
+        if done:
+            break
+        model = Prototypes(numeric, categorical, mean, scale, centres, modes, model.gamma)
+    return model
+
+
+def _round(base: DataFrame, model: Prototypes) -> list:
+    """(cluster, feature, value, total, rows): the sum of each scaled number, and the most frequent value of each category."""
+    sent = base.sparkSession.sparkContext.broadcast(model)
+    names, words = model.numeric, model.categorical
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        sums, counts = np.zeros(m.centres.shape), np.zeros(m.centres.shape)
+        seen: list[dict[tuple[int, str], int]] = [{} for _ in words]
+        for b in batches:
+            x, w = _features(b, names, words)
+            at = m.assign(x, w)
+            z = (x - m.mean) / m.scale
+            np.add.at(sums, at, np.nan_to_num(z))
+            np.add.at(counts, at, ~np.isnan(z))
+            for j, of in enumerate(seen):
+                code, values = pd.factorize(w[:, j])
+                which, n = np.unique(at * np.int64(len(values)) + code, return_counts=True)
+                for i, more in zip(which.tolist(), n.tolist()):
+                    key = i // len(values), values[i % len(values)]
+                    of[key] = of.get(key, 0) + more
+        rows = [(int(k), int(j), None, float(sums[k, j]), int(counts[k, j])) for k, j in zip(*np.nonzero(counts))]
+        rows += [(k, len(names) + j, v, None, n) for j, of in enumerate(seen) for (k, v), n in of.items()]
+        columns = list(zip(*rows)) if rows else [()] * 5
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["cluster", "feature", "value", "total", "rows"])
+
+    tallied = base.select(*names, *words).mapInArrow(tally, "cluster int, feature int, value string, total double, rows long")
+    summed = tallied.groupBy("cluster", "feature", "value").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"))
+    ordered = Window.partitionBy("cluster", "feature").orderBy(F.col("rows").desc(), "value")
+    return summed.withColumn("place", F.row_number().over(ordered)).filter("place = 1").collect()
+
+
+def _features(b: pa.RecordBatch, names: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names])
+    w = np.column_stack([np.asarray(b.column(c).to_pylist(), dtype=object) for c in words]) if words else np.empty((b.num_rows, 0), object)
+    return x, w
+
+
 def impute(
     df: DataFrame,
     key: str,
@@ -120,15 +187,17 @@ def impute(
     )
     names, words = [f"__n_{c}" for c in numeric], [f"__c_{c}" for c in categorical]
     sample = base.select(*names, *words).orderBy(F.xxhash64("__key"), *names, *words).limit(fit_rows).toPandas()
-    model = spark.sparkContext.broadcast(fit_prototypes(sample, names, words, clusters))
+    start = fit_prototypes(sample, names, words, clusters)
+    # Written once: every round reads it, and the assignment.
+    base = checkpointed(base)
+    model = spark.sparkContext.broadcast(fit_on(base, names, words, start) if len(sample) else start)
 
     schema = StructType([*base.schema.fields, StructField("__cluster", IntegerType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names])
-            w = np.column_stack([np.asarray(b.column(c).to_pylist(), dtype=object) for c in words]) if words else np.empty((b.num_rows, 0), object)
+            x, w = _features(b, names, words)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.assign(x, w))], names=[*b.schema.names, "__cluster"])
 
     parent = words[0] if words else None

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gristmill.functions.numbers import has_digit, read_count, read_money, read_rating
-from gristmill.operators.imputation import fit_prototypes, impute
+from gristmill.operators.imputation import fit_on, fit_prototypes, impute
 
 SCHEMA = "k string, kind string, price double, rating double, value string"
 
@@ -51,6 +51,20 @@ def test_medians_are_of_all_rows_not_of_the_sample(spark):
     assert out["gap"].value == 2.0 and out["gap"].method == "cluster"
 
 
+def test_prototypes_and_scaling_are_of_all_rows_not_of_the_sample(spark):
+    # Two starting points drawn from two rows by hash; the groups at 0 and 100 are told apart only by rounds over all rows.
+    rows = [(str(i), "a" if i % 2 else "b", 100.0 * (i % 2) + i % 7, None if i < 2 else 5.0 if i % 2 else 1.0, "") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).select("k", F.coalesce("kind", F.lit("")).alias("kind"), "price").repartition(3)
+    two = pd.DataFrame({"price": [98.0, 104.0], "kind": ["a", "a"]})
+    start = fit_prototypes(two, ["price"], ["kind"], clusters=2)
+    m = fit_on(df, ["price"], ["kind"], start)
+    prices = np.array([r[2] for r in rows])
+    assert abs(m.mean[0] - prices.mean()) < 1e-9 and abs(m.scale[0] - prices.std()) < 1e-9
+    got = sorted(zip((m.centres[:, 0] * m.scale[0] + m.mean[0]).tolist(), m.modes[:, 0].tolist()))
+    want = [(prices[::2].mean(), "b"), (prices[1::2].mean(), "a")]
+    assert [w for _, w in got] == [w for _, w in want] and np.allclose([c for c, _ in got], [c for c, _ in want])
+
+
 def test_prototypes_separate_mixed_features():
     p = pd.DataFrame({"n": [1.0, 1.1, None, 9.0, 9.1], "c": ["a", "a", "a", "b", None]})
     m = fit_prototypes(p, ["n"], ["c"], clusters=2)
