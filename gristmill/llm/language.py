@@ -278,8 +278,11 @@ class Detector:
                     p = plain(t[s:e])
                     if p.count(" ") + 1 >= MIN_WORDS:
                         parts.append((s, e, p))
-                        if p not in known:
-                            new[p] = None
+                if not parts and len(t.split()) >= MIN_WORDS and (p := plain(t)).count(" ") + 1 >= MIN_WORDS:
+                    # Short segments only: they are judged joined, as one. An apostrophe makes no word more.
+                    lead = len(t) - len(t.lstrip())
+                    parts.append((lead, len(t.rstrip()), p))
+                new.update((p, None) for *_, p in parts if p not in known)
             cut.append(parts)
         fresh = list(new)
         for i in range(0, len(fresh), 2000):
@@ -306,8 +309,8 @@ def with_languages(df: DataFrame, text: str, to: str, model: Model) -> DataFrame
     """`df` with the sentences of `text` and their languages in a new column `to`.
 
     `to` is an array of (start, length, language, confidence): sentences of at least `MIN_WORDS` words in
-    order; language is null where no language fits. Null, empty and blank texts and shorter ones give an
-    empty array. Narrow: the model, of bounded size, is broadcast. `to` must be new.
+    order, or the whole text where it has as many words but no such sentence; language is null where no
+    language fits. Null, empty and blank texts and shorter ones give an empty array. Narrow: the model, of bounded size, is broadcast. `to` must be new.
     """
     if to in df.columns:
         raise ValueError(f"column {to} is there already")

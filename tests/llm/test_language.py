@@ -96,6 +96,16 @@ def test_mixed_segments(spark, model):
         L.with_languages(df, "text", "parts", model)
 
 
+def test_short_segments_are_judged_joined(spark, model):
+    t = " O vendedor.\nNunca respondeu! "
+    rows = [(1, t), (2, "O vendedor."), (3, "o vendedor nunca respondeu. Muito bom."), (4, "O. 5/5 - 100"), (5, "D'accord. Merci.")]
+    df = L.with_languages(spark.createDataFrame(rows, "id int, text string"), "text", "parts", model)
+    got = {r.id: [(p.language, p.start, p.length) for p in r.parts] for r in df.collect()}
+    assert got == {1: [("pt", 1, len(t) - 2)], 2: [], 3: [("pt", 0, 27)], 4: [], 5: []}
+    cases = df.filter(L.mislabelled(F.lit(None), L.languages_of(F.col("parts"))))
+    assert {r.id for r in cases.collect()} == {1, 3}
+
+
 def test_labels(spark):
     labels = ["pt-BR", "POR", "español", "EN", "en-IN", "??", "und", "", None, "nl", " deu "]
     df = spark.createDataFrame([(x,) for x in labels], "l string")
