@@ -60,6 +60,8 @@ _PROPERTY = re.compile(r"(?:colour|color|power|length|size|weight|volume|battery
 
 #: Weights of combinations from the title, from a labelled model, and from the rest of the description.
 TITLE, LABELLED, ELSEWHERE = 1.0, 0.9, 0.25
+#: A word or number that more listings than this, and than this share of all, have in title or label names no model.
+SHARED_ROWS, SHARED = 100, 0.02
 #: Different names of one number and set of properties up to which one task compares them; more are
 #: linked across the cluster, with the same result.
 NAMES_IN_TASK = 2_000
@@ -101,24 +103,31 @@ def read_properties(text: str, into: dict[str, set]) -> str:
     return text
 
 
+def combine(text: str, weight: float, combos: dict[tuple[str, str], float]) -> list[str]:
+    """The tokens of `text`, whose combinations are put into `combos`."""
+    tokens = [t for t in _TOKEN.findall(_BETWEEN.sub("", text)) if t not in _COLOUR]
+    for j, n in enumerate(tokens):
+        if not n.isdigit():
+            continue
+        for i, w in enumerate(tokens):
+            if w.isdigit() or len(w) < 2:
+                continue
+            gap = j - i if i < j else i - j + 2
+            combos[w, n] = max(combos.get((w, n), 0.0), weight / (1 + (gap - 1) / 4))
+    return tokens
+
+
 def read_listing(title: str | None, description: str | None) -> tuple[str, str, list[str], list[tuple[str, str, float]]]:
     """(properties in one canonical string, stated brand, title words, combinations with weight)."""
+    return _read(title, description)[:4]
+
+
+def _read(title: str | None, description: str | None) -> tuple[str, str, list[str], list[tuple[str, str, float]], list[str]]:
+    """The same, and the sentences with numbers that gave no combinations."""
     found: dict[str, set] = {}
     combos: dict[tuple[str, str], float] = {}
 
-    def combine(text: str, weight: float) -> list[str]:
-        tokens = [t for t in _TOKEN.findall(_BETWEEN.sub("", text)) if t not in _COLOUR]
-        for j, n in enumerate(tokens):
-            if not n.isdigit():
-                continue
-            for i, w in enumerate(tokens):
-                if w.isdigit() or len(w) < 2:
-                    continue
-                gap = j - i if i < j else i - j + 2
-                combos[w, n] = max(combos.get((w, n), 0.0), weight / (1 + (gap - 1) / 4))
-        return tokens
-
-    words = [t for t in combine(read_properties((title or "").lower(), found), TITLE) if not t.isdigit()]
+    words = [t for t in combine(read_properties((title or "").lower(), found), TITLE, combos) if not t.isdigit()]
     brand = ""
     in_title = dict(found)
     stated: dict[str, set] = {}
@@ -128,7 +137,7 @@ def read_listing(title: str | None, description: str | None) -> tuple[str, str,
         if m := _BRAND.fullmatch(low):
             brand = m.group(1) or m.group(2)
         elif m := _MODEL.match(low):
-            combine(low[m.end() :], LABELLED)
+            combine(low[m.end() :], LABELLED, combos)
         elif _TELLING.search(low):
             own: dict[str, set] = {}
             rest = read_properties(_PROPERTY.sub("", low, count=1), own)
@@ -138,15 +147,16 @@ def read_listing(title: str | None, description: str | None) -> tuple[str, str,
                     stated.setdefault(k, set()).update(v)
             else:
                 elsewhere.append(rest)
-    # Sentences of the description are asked only where neither title nor label names a model.
+    # Sentences of the description are asked at once only where neither title nor label gives a combination.
     if not combos:
         for rest in elsewhere:
-            combine(rest, ELSEWHERE)
+            combine(rest, ELSEWHERE, combos)
+        elsewhere = []
     for k, v in stated.items():
         if k not in in_title:
             found[k] = v
     props = ";".join(f"{k}={','.join(sorted(map(str, v)))}" for k, v in sorted(found.items()))
-    return props, brand, words, [(w, n, s) for (w, n), s in combos.items()]
+    return props, brand, words, [(w, n, s) for (w, n), s in combos.items()], [r for r in elsewhere if re.search(r"\d", r)]
 
 
 def slips(a: str, b: str, most: int) -> int:
@@ -201,6 +211,20 @@ def _combination_array(combos: list[list[tuple[str, str, float]]]) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["w", "n", "s"]))
 
 
+def _sentence_combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, w, n, s) of every combination of the sentences of each row."""
+    for b in batches:
+        rows = []
+        for row, sentences in zip(b.column("row").to_pylist(), b.column("sentences").to_pylist()):
+            combos: dict[tuple[str, str], float] = {}
+            for x in sentences:
+                combine(x, ELSEWHERE, combos)
+            rows += [(row, w, n, s) for (w, n), s in combos.items()]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["row", "w", "n", "s"])
+
+
 def _merged(at: tuple[str, str] | None, group: list[tuple[str, list[str]]]) -> list[tuple]:
     """(n, props, w, name, known brands) of the names of one group."""
     if not group:
@@ -295,7 +319,7 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [read_listing(t, d) for t, d in zip(b.column("t").to_pylist(), b.column("d").to_pylist())]
+            rows = [_read(t, d) for t, d in zip(b.column("t").to_pylist(), b.column("d").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("row"),
@@ -304,12 +328,13 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
                     pa.array([r[1] for r in rows], pa.string()),
                     pa.array([r[2] for r in rows], pa.list_(pa.string())),
                     _combination_array([r[3] for r in rows]),
+                    pa.array([r[4] for r in rows], pa.list_(pa.string())),
                 ],
-                names=["row", "k", "props", "brand", "words", "combos"],
+                names=["row", "k", "props", "brand", "words", "combos", "sentences"],
             )
 
     kind = base.schema["k"].dataType.simpleString()
-    listings = base.mapInArrow(read, f"row long, k {kind}, props string, brand string, words array<string>, combos array<struct<w:string,n:string,s:double>>")
+    listings = base.mapInArrow(read, f"row long, k {kind}, props string, brand string, words array<string>, combos array<struct<w:string,n:string,s:double>>, sentences array<string>")
     listings = checkpointed(listings)
     total = listings.count()
 
@@ -325,16 +350,28 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
     votes = (
         pairs.join(of_words, "w")
         .join(of_numbers, "n")
-        .select("w", "n", ((F.col("together") + 0.5) / (F.col("together") + 1) * rarity).alias("vote"))
+        .select("w", "n", ((F.col("together") + 0.5) / (F.col("together") + 1) * rarity).alias("vote"), F.greatest("with_w", "with_n").alias("shared"))
     )
     best = (
         combos.join(votes, ["w", "n"])
         .groupBy("row")
-        .agg(F.max(F.struct((F.col("vote") * F.col("s")).alias("score"), "w", "n")).alias("best"))
-        .select("row", F.col("best.w").alias("w"), F.col("best.n").alias("n"))
+        .agg(F.max(F.struct((F.col("vote") * F.col("s")).alias("score"), "w", "n", "shared")).alias("best"))
+        .select("row", F.col("best.w").alias("w"), F.col("best.n").alias("n"), F.col("best.shared").alias("shared"))
     )
     chosen = checkpointed(listings.drop("combos").join(best, "row", "left"))
 
+    # Where the best is noise, a word or number of very many listings, sentences may name the model: by a
+    # combination that titles or labels have too and that is no noise.
+    limit = max(SHARED_ROWS, SHARED * total)
+    poor = chosen.filter((F.col("shared") > limit) & (F.size("sentences") > 0)).select("row", "sentences")
+    asked = checkpointed(poor.mapInArrow(_sentence_combinations, "row long, w string, n string, s double"))
+    if not asked.isEmpty():
+        known = votes.join(asked.select("w", "n").distinct(), ["w", "n"], "left_semi").filter(F.col("shared") <= limit)
+        named = asked.join(known, ["w", "n"]).groupBy("row").agg(F.max(F.struct((F.col("vote") * F.col("s")).alias("score"), "w", "n")).alias("better"))
+        chosen = chosen.join(named, "row", "left").withColumns({c: F.coalesce(F.col(f"better.{c}"), F.col(c)) for c in ("w", "n")}).drop("better")
+        chosen = checkpointed(chosen)
+    chosen = chosen.drop("sentences", "shared")
+
     # Verification: different (name, stated brand) of one number and one set of properties.
     names = chosen.filter(F.col("w").isNotNull()).groupBy("n", "props", "w").agg(F.collect_set(F.nullif("brand", F.lit(""))).alias("brands"))
 

@@ -88,3 +88,12 @@ def test_edges(spark):
     got = L.group_listings(df, "id", "title", "about").collect()
     assert sorted(r.id for r in got) == ["1", "2", "3", "4"] and len({r.group_id for r in got}) == 4
     assert L.group_listings(df.limit(0), "id", "title", "about").count() == 0
+
+
+def test_noise_in_the_title_gives_way_to_a_model_in_a_sentence(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARED_ROWS", 8)
+    rows = [("x1", "Best Lamp 5 W White NEW 2024", "You get the bakuro 120 at its best."), ("x2", "Bakuro 120 Lamp 5 W White", None)]
+    rows += [(f"{n}{j}", f"{n} {200 + k} Lamp 5 W White" + " NEW 2024" * (j < 2), "Also next to the bakuro 120 at home.") for k, n in enumerate(NAMES[1:]) for j in range(3)]
+    df = spark.createDataFrame(rows, "id string, t string, d string")
+    pairs = {(r.id_a, r.id_b) for r in L.same_product_pairs(L.group_listings(df, "id", "t", "d"), "id").collect()}
+    assert ("x1", "x2") in pairs and len(pairs) == 1 + 3 * len(NAMES[1:])
