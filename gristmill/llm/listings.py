@@ -152,6 +152,14 @@ def _read(title: str | None, description: str | None) -> tuple[str, str, list[st
         for rest in elsewhere:
             combine(rest, ELSEWHERE, combos)
         elsewhere = []
+    # Without a number anywhere, pairs of title words stand in for it, in one order whatever that of the title.
+    if not combos:
+        named = [w for w in words if len(w) > 1]
+        for j, y in enumerate(named):
+            for i, x in enumerate(named[:j]):
+                if x != y:
+                    pair = max(x, y), min(x, y)
+                    combos[pair] = max(combos.get(pair, 0.0), TITLE / (1 + (j - i - 1) / 4))
     for k, v in stated.items():
         if k not in in_title:
             found[k] = v
@@ -307,8 +315,8 @@ def _merged_by_edges(names: DataFrame) -> DataFrame:
 def group_listings(df: DataFrame, key: str, title: str, description: str, names_in_task: int = NAMES_IN_TASK) -> DataFrame:
     """(key, group_id): the group of each listing; listings of one product share it.
 
-    Null and empty titles and descriptions are read as empty; a listing in which no word and number meet is
-    a group of its own. A repeated row counts once; a key that is stored with different texts may be in
+    Null and empty titles and descriptions are read as empty; a listing without a number goes by pairs of its title
+    words, and one without a title or a number is a group of its own. A repeated row counts once; a key that is stored with different texts may be in
     several groups. Long texts are read whole. Other columns are not read. An empty table gives no row.
     Every step meets rows by keys of their own: combinations are counted with map-side sums, and names
     are compared among the different names of one number and one set of properties only, in one task up to
@@ -370,7 +378,10 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
         named = asked.join(known, ["w", "n"]).groupBy("row").agg(F.max(F.struct((F.col("vote") * F.col("s")).alias("score"), "w", "n")).alias("better"))
         chosen = chosen.join(named, "row", "left").withColumns({c: F.coalesce(F.col(f"better.{c}"), F.col(c)) for c in ("w", "n")}).drop("better")
         chosen = checkpointed(chosen)
-    chosen = chosen.drop("sentences", "shared")
+    # Two words of very many listings name no model, nor does a single one: then only equal titles are one.
+    whole = F.array_join(F.array_sort("words"), " ")
+    weak = (F.size("words") > 0) & (F.col("w").isNull() | (~F.col("n").rlike(r"^\d+$") & (F.col("shared") > limit)))
+    chosen = chosen.withColumns({c: F.when(weak, whole).otherwise(F.col(c)) for c in ("w", "n")}).drop("sentences", "shared")
 
     # Verification: different (name, stated brand) of one number and one set of properties.
     names = chosen.filter(F.col("w").isNotNull()).groupBy("n", "props", "w").agg(F.collect_set(F.nullif("brand", F.lit(""))).alias("brands"))

@@ -97,3 +97,16 @@ def test_noise_in_the_title_gives_way_to_a_model_in_a_sentence(spark, monkeypatc
     df = spark.createDataFrame(rows, "id string, t string, d string")
     pairs = {(r.id_a, r.id_b) for r in L.same_product_pairs(L.group_listings(df, "id", "t", "d"), "id").collect()}
     assert ("x1", "x2") in pairs and len(pairs) == 1 + 3 * len(NAMES[1:])
+
+
+def test_listings_without_a_number(spark, monkeypatch):
+    rows = [
+        ("a", "Zeta Bakuro Reading Lamp White", None), ("b", "Zeta Bakuro Reading Lamp White", None), ("c", "White lamp bakuro Zeta", None),
+        ("d", "Zeta Bakuro Reading Lamp Red", None), ("e", "Zeta Fosane Reading Lamp White", None), ("f", "Sofa", None), ("g", "sofa", ""), ("h", None, None), ("i", None, None),
+    ]
+    find = lambda rows: {(r.id_a, r.id_b) for r in L.same_product_pairs(L.group_listings(spark.createDataFrame(rows, "id string, t string, d string"), "id", "t", "d"), "id").collect()}
+    got = find(rows)
+    assert {("a", "b"), ("f", "g")} <= got and got <= {("a", "b"), ("a", "c"), ("b", "c"), ("f", "g")}
+    # Words of very many listings: equal titles only.
+    monkeypatch.setattr(L, "SHARED_ROWS", 1)
+    assert find([("a", "Desk Lamp", None), ("b", "desk lamp", None), ("c", "Small desk lamp", None), ("d", "Desk lamp sale", None)]) == {("a", "b")}
