@@ -53,14 +53,61 @@ def test_copies_are_partners_of_each_other_and_of_others(spark):
     assert got == brute(x, 0.9)[1]
 
 
-def test_cells_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(V, "BLOCK", 40)
-    monkeypatch.setattr(V.fit_cells, "__defaults__", (V.ROUNDS, 40, 5))
+def test_exact_mode_in_blocks(spark):
     x = data(600)
-    got = {(r.id_a, r.id_b) for r in V.similar_pairs(frame(spark, x), "id", "v", 0.9, dim=16, probes=40, margin=9).collect()}
+    got = {(r.id_a, r.id_b) for r in V.similar_pairs(frame(spark, x), "id", "v", 0.9, dim=16, exact=True, block=40).collect()}
     assert got == brute(x, 0.9)[1]
 
 
+def crowded(n=3000, dim=16):
+    """A third of the vectors in one narrow area, as many in a wider one."""
+    rng = np.random.default_rng(3)
+    x = data(n, dim)
+    x[: n // 3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(n // 3, dim)) * 0.12
+    return x.astype(np.float32)
+
+
+def test_large_cells_are_divided(spark):
+    x = crowded()
+    s, want = brute(x, 0.985)
+    got = {(r.id_a, r.id_b) for r in V.similar_pairs(frame(spark, x), "id", "v", 0.985, dim=16, fit_rows=64, block=100).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_rows_of_a_cell_and_copies_stay_bounded(spark, monkeypatch):
+    x = crowded()
+    monkeypatch.setattr(V, "DIVIDED_ROWS", 300)  # several tasks divide one cell
+    base, total, _ = V._collapsed(frame(spark, x), "id", "v", 16, None)
+    assert total == len(x)
+    centres, _ = V._fit(base, total, 16, 64)
+    placed, large = V._divided(V._place(base, centres, 16, V.PROBES, V.MARGIN), 16, V.MARGIN, V.PROBES_BELOW, V.COPIES, 100)
+    rows = placed.select("id", "cell", "home").toPandas()
+    assert large.count() == 0 and rows[rows.home].groupby("cell").size().max() <= 200
+    assert sorted(rows[rows.home].id) == list(range(len(x))) and rows.groupby("id").size().max() <= V.COPIES
+    assert not rows.duplicated(["id", "cell"]).any()
+
+
+def test_cells_that_cannot_be_divided_are_cut_into_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = (np.ones((400, 16)) + rng.normal(size=(400, 16)) * 1e-4).astype(np.float32)
+    got = V.similar_pairs(frame(spark, x), "id", "v", 0.9, dim=16, fit_rows=8, block=30).count()
+    assert got == 400 * 399 // 2
+
+
+@pytest.mark.parametrize("total", [1, 10**6, 10**9, 10**10, 10**12, 10**15])
+def test_sample_and_cells_at_any_size(total):
+    """The share of hashes below the bound is that of the rows asked for, and never nothing."""
+    bound = V.hash_below(1.25 * V.FIT_ROWS, total)
+    expected = (bound + 2**63) / 2**64 * total
+    assert bound >= -(2**63) and expected >= min(total, V.FIT_ROWS) * 0.99 and expected <= 1.3 * V.FIT_ROWS
+    assert V.cells_for(min(total, V.FIT_ROWS), total) >= 1
+    # Divisions that bring the rows of a cell below two blocks, each by up to DIVIDED.
+    per_cell, depth = total / V.cells_for(min(total, V.FIT_ROWS), total), 0
+    while per_cell > 2 * V.BLOCK:
+        per_cell, depth = per_cell / min(V.DIVIDED, per_cell * 2 / V.BLOCK), depth + 1
+    assert depth <= V.DEPTH
+
+
 def test_nearest_recall(spark):
     x = data(1000)
     s, _ = brute(x, 2)
