@@ -42,3 +42,9 @@ def read_money(text: Column) -> Column:
     """The first number of a currency text with digit groups set off by commas; null where none stands."""
     number = F.regexp_extract(text, r"(\d[\d,]*(?:\.\d+)?)", 1)
     return F.regexp_replace(number, ",", "").try_cast("double")
+
+
+def hash_below(rows: float, total: int) -> int:
+    """The signed 64-bit number at or below which lie the hashes of about `rows` of `total` rows, at any size."""
+    share = min(1.0, rows / max(total, 1))
+    return min(-(2**63) + max(int(share * 2**64), 1 if rows > 0 else 0), 2**63 - 1)

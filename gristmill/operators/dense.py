@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.numbers import hash_below
 from gristmill.operators.sparse import top_k
 from gristmill.session import checkpointed
 
@@ -200,8 +201,7 @@ def enough_probes(placed: DataFrame, centres: np.ndarray, k: int, dim: int, reca
 
     The true ones come from an exact scan of all rows for the sample.
     """
-    share = min(1.0, asked / total)
-    sample = placed.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(F.col("doc_id").alias("query_id"), "v")
+    sample = placed.filter(F.xxhash64("doc_id") <= hash_below(asked, total)).select(F.col("doc_id").alias("query_id"), "v")
     best = scan_topk(placed.select("doc_id", "v"), sample, k, dim).select("query_id", "doc_id")
     home = best.join(placed.select("doc_id", "cell_id"), "doc_id").select("query_id", "cell_id").toArrow()
     if not home.num_rows:
