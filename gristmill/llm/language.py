@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Languages that are told apart, in the order of the model's columns.
+from gristmill.functions.numbers import hash_below
+
+#: Languages that are told apart if not stated otherwise, in the order of the model's columns.
 LANGUAGES = ("en", "pt", "es", "fr", "de", "it")
 #: Longest n-gram.
 ORDER = 5
@@ -44,12 +46,12 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _EDGE = "\x02"
 
 
-def label_language(label: Column) -> Column:
-    """The language a label names in any notation (`pt-BR`, `por`, `PT`); null where it names none of ours."""
+def label_language(label: Column, languages: Sequence[str] = LANGUAGES) -> Column:
+    """The language a label names in any notation (`pt-BR`, `por`, `PT`); null where it names none of `languages`."""
     head = F.regexp_extract(F.lower(F.trim(label)), r"^([\p{L}]+)", 1)
     out = F.lit(None).cast("string")
-    for code, others in NOTATIONS.items():
-        out = F.when(head.isin(code, *others), F.lit(code)).otherwise(out)
+    for code in languages:
+        out = F.when(head.isin(code, *NOTATIONS.get(code, [])), F.lit(code)).otherwise(out)
     return out
 
 
@@ -109,17 +111,18 @@ class Model:
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     back: list[np.ndarray]
+    languages: tuple[str, ...] = LANGUAGES
     temperature: float = 1.0
-    worst: np.ndarray = field(default_factory=lambda: np.full(len(LANGUAGES), np.inf, np.float32))
+    worst: np.ndarray = field(default_factory=lambda: np.array(np.inf, np.float32))
 
     def cross_entropy(self, texts: list[str]) -> np.ndarray:
         """Nats a character of each text under each language."""
         order = len(self.keys)
         if not texts:
-            return np.zeros((0, len(LANGUAGES)), np.float32)
+            return np.zeros((0, len(self.languages)), np.float32)
         grams, counts, owner = gram_hashes(texts, order)
         at = np.flatnonzero(counts)
-        total = np.zeros((len(at), len(LANGUAGES)), np.float32)
+        total = np.zeros((len(at), len(self.languages)), np.float32)
         left = np.arange(len(at))
         for m in range(order, 0, -1):
             place = at[left]
@@ -143,7 +146,7 @@ class Model:
         score = -(ce - ce.min(1, keepdims=True)) * lengths[:, None] / self.temperature if len(ce) else ce
         p = np.exp(score)
         sure = p.max(1) / p.sum(1) if len(ce) else np.empty(0)
-        rejected = ce[np.arange(len(ce)), best] > self.worst[best] if len(ce) else np.empty(0, bool)
+        rejected = ce[np.arange(len(ce)), best] > np.broadcast_to(self.worst, len(self.languages))[best] if len(ce) else np.empty(0, bool)
         return np.where(rejected, -1, best), np.where(rejected, 0.0, sure)
 
 
@@ -153,12 +156,12 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, keys[row] == wanted
 
 
-def _kneser_ney(texts: list[str], languages: np.ndarray, order: int = ORDER) -> Model:
-    """The models of `texts` (plain), each of the language in `languages`."""
-    width = len(LANGUAGES)
+def _kneser_ney(texts: list[str], labels: np.ndarray, order: int = ORDER, languages: tuple[str, ...] = LANGUAGES) -> Model:
+    """The models of `texts` (plain), each of the language at its place in `labels`."""
+    width = len(languages)
     grams, counts, owner = gram_hashes(texts, order)
     at = np.flatnonzero(counts)
-    lang = languages[owner[at]]
+    lang = labels[owner[at]]
     unique, first, inverse = zip(*(np.unique(g[at], return_index=True, return_inverse=True) for g in grams))
     tally: list[np.ndarray] = [None] * order  # type: ignore[list-item]
     tally[-1] = np.bincount(inverse[-1] * width + lang, minlength=len(unique[-1]) * width).reshape(-1, width).astype(float)
@@ -190,7 +193,7 @@ def _kneser_ney(texts: list[str], languages: np.ndarray, order: int = ORDER) ->
         share = np.where(known[:, None] & (total[context] > 0), np.maximum(c - discount, 0) / np.maximum(total[context], 1), 0.0)
         lower = share + w * lower[below]
         logp.append(np.log(np.maximum(lower, 1e-12)).astype(np.float32))
-    return Model(list(unique), logp, back)
+    return Model(list(unique), logp, back, languages)
 
 
 def _by_frequency(texts: list[str], votes: np.ndarray) -> np.ndarray:
@@ -206,7 +209,7 @@ def _by_frequency(texts: list[str], votes: np.ndarray) -> np.ndarray:
     return score.argmax(1)
 
 
-def train(texts: list[str], labels: list[int], order: int = ORDER) -> Model:
+def train(texts: list[str], labels: list[int], order: int = ORDER, languages: Sequence[str] = LANGUAGES) -> Model:
     """Models of labelled texts whose labels may be wrong and whose sentences may be mixed.
 
     A sentence that occurs several times takes the label it has most often (the first in order among equals),
@@ -215,14 +218,16 @@ def train(texts: list[str], labels: list[int], order: int = ORDER) -> Model:
     an n-gram model would learn them by heart. A tenth is
     held out to calibrate temperature and rejection.
     """
-    votes: dict[str, list[int]] = {}
+    languages, votes = tuple(languages), {}
     for t, y in zip(texts, labels):
         for s, e in segments_of(t):
             p = plain(t[s:e])
             if p.count(" ") + 1 >= MIN_WORDS:
-                votes.setdefault(p, [0] * len(LANGUAGES))[y] += 1
+                votes.setdefault(p, [0] * len(languages))[y] += 1
     if not votes:
-        return Model([np.zeros(1, np.uint64)] * order, [np.zeros((1, len(LANGUAGES)), np.float32)] * order, [np.zeros((1, len(LANGUAGES)), np.float32)] * (order - 1))
+        flat = np.zeros((1, len(languages)), np.float32)
+        # Nothing was learnt: every text is rejected.
+        return Model([np.zeros(1, np.uint64)] * order, [flat] * order, [flat] * (order - 1), languages, worst=np.full(len(languages), -np.inf, np.float32))
     parts, ys = list(votes), np.array([v.index(max(v)) for v in votes.values()])
 
     def fit(pick: np.ndarray) -> Model:
@@ -230,12 +235,12 @@ def train(texts: list[str], labels: list[int], order: int = ORDER) -> Model:
         flat = [unaccented(p) for p in chosen]
         both = chosen + [f for f, p in zip(flat, chosen) if f != p]
         y = np.concatenate([ys[pick], ys[pick][[f != p for f, p in zip(flat, chosen)]]])
-        return _kneser_ney(both, y, order)
+        return _kneser_ney(both, y, order, languages)
 
     right = np.flatnonzero(_by_frequency(parts, np.array(list(votes.values()))) == ys)
     model = fit(right)
     place = np.zeros(len(right), int)  # of each sentence among those of its language
-    for k in range(len(LANGUAGES)):
+    for k in range(len(languages)):
         place[ys[right] == k] = np.arange((ys[right] == k).sum())
     held = right[place % 10 == 1]
     if len(held):
@@ -252,7 +257,7 @@ def train(texts: list[str], labels: list[int], order: int = ORDER) -> Model:
         own = ce[np.arange(len(ce)), ys[held]]
         # Rejection: one nat a character above what nearly all held-out sentences of the language need.
         model.worst = np.array(
-            [np.quantile(own[ys[held] == k], 0.999) + 1.0 if (ys[held] == k).any() else np.inf for k in range(len(LANGUAGES))], np.float32
+            [np.quantile(own[ys[held] == k], 0.999) + 1.0 if (ys[held] == k).any() else np.inf for k in range(len(languages))], np.float32
         )
     return model
 
@@ -291,15 +296,15 @@ class Detector:
         return [[(s, e, *known[p]) for s, e, p in parts] for parts in cut]
 
 
-def train_on(df: DataFrame, key: str, text: str, label: str, rows: int = TRAIN_ROWS) -> Model:
+def train_on(df: DataFrame, key: str, text: str, label: str, rows: int = TRAIN_ROWS, languages: Sequence[str] = LANGUAGES) -> Model:
     """Models from the labelled rows of `df`, on a sample of at most `rows` texts by hash of the key."""
     labelled = df.select(
-        F.xxhash64(key).alias("h"), F.col(text).alias("t"), label_language(F.col(label)).alias("y")
+        F.xxhash64(key).alias("h"), F.col(text).alias("t"), label_language(F.col(label), languages).alias("y")
     ).filter((F.length("t") > 0) & F.col("y").isNotNull())
     total = labelled.count()
-    share = min(1.0, 1.2 * rows / max(total, 1))
-    got = labelled.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("h", "t").limit(rows).toArrow()
-    return train(got.column("t").to_pylist(), [LANGUAGES.index(y) for y in got.column("y").to_pylist()])
+    # A fifth more than asked for may pass the bound; the lowest hashes of them are taken.
+    got = labelled.filter(F.col("h") <= hash_below(1.2 * rows, total)).orderBy("h", "t").limit(rows).toArrow()
+    return train(got.column("t").to_pylist(), [list(languages).index(y) for y in got.column("y").to_pylist()], languages=languages)
 
 
 _PARTS = "array<struct<start:int,length:int,language:string,confidence:double>>"
@@ -320,7 +325,7 @@ def with_languages(df: DataFrame, text: str, to: str, model: Model) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(sent.value)
-        names = [*LANGUAGES, None]
+        names = [*detector.model.languages, None]
         for b in batches:
             found = detector.batch(b.column(text).to_pylist())
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -344,7 +349,7 @@ def languages_of(parts: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, lambda p: p["language"]), lambda x: x.isNotNull()))
 
 
-def mislabelled(label: Column, languages: Column) -> Column:
+def mislabelled(label: Column, languages: Column, known: Sequence[str] = LANGUAGES) -> Column:
     """True where a text has a language, and its label names none, another one, or the text has several."""
-    named = label_language(label)
+    named = label_language(label, known)
     return (F.size(languages) > 0) & (named.isNull() | (F.size(languages) > 1) | ~F.coalesce(F.array_contains(languages, named), F.lit(False)))

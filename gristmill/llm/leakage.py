@@ -4,6 +4,11 @@ A text is folded (see `folding`), lowered and cut into words. Of every window of
 words the smallest hash is kept, so any two texts that share `span` consecutive words share a kept
 hash (window = span - k + 1). Hits are extended to both sides over the words themselves; only runs of at
 least `span` words count, so a chance meeting of hashes adds nothing.
+
+A test side of bounded size is broadcast whole. A larger one leaves a bitmap of its fingerprints, of a
+fixed size at most, by which documents drop theirs before anything is shuffled; those left are extended
+to the windows of `span` words around them, and windows meet by two 64-bit hashes. So what is joined is
+what is found: a boilerplate shingle that very many texts share makes no pairs, and no text travels.
 """
 
 from __future__ import annotations
@@ -14,20 +19,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.folding import Folder
+from gristmill.session import checkpointed
 
 #: Words of a shingle, and of the shortest shared run that is found.
 K, SPAN = 5, 10
 #: Test words up to which the test side is broadcast; beyond it fingerprints meet in a shuffled join.
 BROADCAST_WORDS = 2_000_000
+#: Bits of the bitmap of fingerprints: so many for each of them, between these bounds (8 KB and 64 MB), in chunks.
+BITS_EACH, FEWEST_BITS, MOST_BITS, CHUNK = 16, 1 << 16, 1 << 29, 1 << 16
 #: Words whose hash a worker remembers before it starts over.
 REMEMBERED = 300_000
 
 _words = re.compile(r"[^\W_]+").findall
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE, _OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Words:
@@ -55,7 +63,7 @@ class Words:
         return np.array(flat, np.uint64), np.array(ends)
 
 
-def shingles(words: np.ndarray, k: int) -> np.ndarray:
+def shingles(words: np.ndarray, k: int, base: np.uint64 = _BASE) -> np.ndarray:
     """Hash of the k words that start at each place; shorter at the end by k - 1."""
     n = len(words) - k + 1
     if n <= 0:
@@ -63,7 +71,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            h = h * _BASE + words[j : j + n]
+            h = h * base + words[j : j + n]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
@@ -157,7 +165,7 @@ def leaked(
     `words` is the longest shared run. Null and empty texts and items of fewer words than `span` give no
     row; a repeated document or item counts once per id; very long texts are read whole. Other columns
     are not read. The test side is broadcast only while its size is below `broadcast_words` words; a
-    larger one is fingerprinted in the cluster and joined by hash, and each pair that met is checked.
+    larger one is joined by hash, see above, with the same result.
     """
     spark = corpus.sparkSession
     docs = corpus.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).filter(F.length("t") > 0)
@@ -193,22 +201,66 @@ def fingerprints(df: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
     return df.mapInArrow(run, "id long, h long").distinct()
 
 
-def _shuffled(docs: DataFrame, items: DataFrame, k: int, span: int) -> DataFrame:
-    of_docs = fingerprints(docs.withColumnRenamed("doc", "id"), k, span)
-    of_items = fingerprints(items.withColumnsRenamed({"item": "id", "q": "t"}), k, span)
-    pairs = of_docs.alias("d").join(of_items.alias("i"), "h").select(F.col("d.id").alias("doc"), F.col("i.id").alias("item")).distinct()
-    both = pairs.join(docs, "doc").join(items, "item")
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes (h) of a table, as bytes: made in the cluster chunk by chunk, of `MOST_BITS` at most."""
+    hashes = checkpointed(hashes.select("h").distinct())
+    size = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * hashes.count()).bit_length()))
+    at = hashes.select(F.pmod("h", F.lit(size)).alias("bit")).distinct()
+    chunks = at.select(F.floor(F.col("bit") / CHUNK).alias("chunk"), F.pmod("bit", F.lit(CHUNK)).cast("int").alias("bit"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        bits = np.zeros(CHUNK, bool)
+        bits[t.column("bit").to_numpy()] = True
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    found = np.zeros(size // 8, np.uint8)
+    got = chunks.groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").toArrow()
+    for chunk, bits in zip(got.column("chunk").to_pylist(), got.column("bits").to_pylist()):
+        found[chunk * (CHUNK // 8) : (chunk + 1) * (CHUNK // 8)] = np.frombuffer(bits, np.uint8)
+    return found
+
+
+def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes.view(np.int64) % np.int64(len(bits) * 8)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def windows(df: DataFrame, k: int = K, span: int = SPAN, known: np.ndarray | None = None) -> DataFrame:
+    """(id, text, start, key, other) of a table (id, t): the windows of `span` words around the kept shingles, those that the bitmap
+    `known` has, by two hashes; `text` tells different texts of one id apart. Any window of `span` words holds a kept shingle, so without a bitmap these are all windows."""
+    sent = None if known is None else df.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Words()
         for b in batches:
-            best: dict[tuple[int, int], int] = {}
             words, ends = read(b.column("t"))
-            for n, (d, i, q) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc", "item", "q")))):
-                one = TestSide([i], [q], k, span)
-                part = words[ends[n] : ends[n + 1]]
-                for pair, run in _meet(one, np.array([d]), part, np.array([0, len(part)]), k, span).items():
-                    best[pair] = max(run, best.get(pair, 0))
-            yield _rows(best)
-
-    return both.mapInArrow(check, _FOUND)
+            owner, place, hashes = winnow(words, ends, k, span)
+            if sent is not None:
+                some = _known(sent.value, hashes)
+                owner, place = owner[some], place[some]
+            start = place[:, None] - np.arange(span - k + 1)
+            start = np.unique(start[(start >= ends[owner][:, None]) & (start + span <= ends[owner + 1][:, None])])
+            of = np.searchsorted(ends, start, "right") - 1
+            both = [shingles(words, span, base)[start] if len(start) else np.empty(0, np.uint64) for base in (_BASE, _OTHER_BASE)]
+            ids = b.column("id").to_numpy()
+            text = np.zeros(len(ends) - 1, np.uint64)
+            for i in np.unique(of):
+                text[i] = xxhash.xxh64_intdigest(words[ends[i] : ends[i + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[of]), pa.array(text[of].view(np.int64)), pa.array((start - ends[of]).astype(np.int32)), *[pa.array(h.view(np.int64)) for h in both]], names=["id", "text", "start", "key", "other"]
+            )
+
+    return df.mapInArrow(run, "id long, text long, start int, key long, other long")
+
+
+def _shuffled(docs: DataFrame, items: DataFrame, k: int, span: int) -> DataFrame:
+    """(doc, item, words) of every run: equal windows that follow each other at one distance are one run."""
+    items = items.withColumnsRenamed({"item": "id", "q": "t"})
+    of_items = windows(items, k, span).withColumnsRenamed({"id": "item", "text": "of", "start": "at"})
+    of_docs = windows(docs.withColumnRenamed("doc", "id"), k, span, bitmap(fingerprints(items, k, span)))
+    pair = ["doc", "text", "item", "of", "apart"]
+    met = of_docs.join(of_items, ["key", "other"]).withColumns({"doc": F.col("id"), "apart": F.col("start") - F.col("at")}).select(*pair, "start").distinct()
+    # Starts that follow each other differ from their place in order by one number.
+    order = Window.partitionBy(*pair).orderBy("start")
+    runs = met.withColumn("run", F.col("start") - F.row_number().over(order)).groupBy(*pair, "run")
+    return runs.agg((F.count("*") + (span - 1)).cast("int").alias("words")).select("doc", "item", "words")

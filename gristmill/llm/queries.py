@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.numbers import read_count
 from gristmill.llm.bpe import corpus_ids
-from gristmill.llm.folding import same_look_pairs, with_folded
+from gristmill.llm.folding import fold_sql, same_look_classes, same_look_pairs, with_folded
 from gristmill.llm.language import languages_of, mislabelled, train_on, with_languages
 from gristmill.llm.leakage import leaked
 from gristmill.llm.listings import group_listings, same_product_pairs
@@ -120,6 +120,11 @@ def p9_texts(spark: SparkSession, sf: str) -> DataFrame:
     return with_folded(table(spark, sf, "documents").select("doc_id", "text"), "text", "folded").select("doc_id", "folded")
 
 
+def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of every document that looks the same as another one that is stored differently."""
+    return same_look_classes(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "class_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_ranking": p1_ranking,
@@ -134,6 +139,7 @@ QUERIES = {
     "p8_runs": p8_runs,
     "p9_found": p9_found,
     "p9_texts": p9_texts,
+    "p9_classes": p9_classes,
 }
 
 _P1 = """
@@ -153,7 +159,29 @@ _P1 = """
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY standing DESC, product_id) AS position FROM a)
 """
 
+_FOLDED = f"folded AS (SELECT doc_id, text, {fold_sql('text')} AS f FROM documents WHERE text <> '')"
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+#: Windows of ten words as one string each.
+_TENS = "unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(list_slice(w, i, i + 9), ' ')))"
+
 SQL = {
+    "p8_found": f"""
+        WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format(fold_sql("text"))} AS w FROM documents),
+        e AS (SELECT item_id, {_WORDS.format(fold_sql("question"))} AS w FROM eval_items),
+        dw AS (SELECT doc_id, {_TENS} AS ten FROM d WHERE len(w) >= 10), ew AS (SELECT item_id, {_TENS} AS ten FROM e WHERE len(w) >= 10)
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (ten)
+    """,
+    "p9_texts": f"SELECT doc_id, {fold_sql('text')} AS folded FROM documents",
+    "p9_found": f"""
+        WITH {_FOLDED}
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM folded a JOIN folded b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text
+        WHERE regexp_matches(a.f, '[^\\s]')
+    """,
+    "p9_classes": f"""
+        WITH {_FOLDED}
+        SELECT DISTINCT doc_id, md5(f) AS class_id FROM folded WHERE f IN (
+            SELECT f FROM folded WHERE regexp_matches(f, '[^\\s]') GROUP BY f HAVING count(DISTINCT text) > 1)
+    """,
     "p1_found": _P1 + "SELECT query_id, product_id FROM o WHERE position <= 5",
     "p1_ranking": _P1 + "SELECT query_id, product_id, position FROM o",
     "p2_found": """

@@ -8,15 +8,18 @@ import pyarrow as pa
 import pytest
 
 from gristmill.llm import leakage as K
-from gristmill.llm.folding import Folder, same_look_pairs, with_folded
+from gristmill.llm.folding import Folder, same_look_classes, same_look_pairs, with_folded
 
 SAME = [
     ("ｍｅ ＡＢＣ １２", "me ABC 12"), ("café", "café"), ("so­ft​ly﻿", "softly"), ("a b　c d", "a b c d"),
     ("ﬁne ﬂat", "fine flat"), ("раssіоn", "passion"), ("10 µm", "10 μm"), ("a\r\nb\rc", "a\nb\nc"), ("ⅰⅿ Ⅻ", "im XII"), ("K", "K"),
     ("e​́", "é"), ("ό", "ó"), ("qu‍ite", "quite"),
+    ("a\u2028b\x85c\x0bd\x0ce\u2029", "a\nb\nc\nd\ne\n"), ("a\u3164b\ufe00c\ufe0ed\u180be\U000e0041f\ufff9g", "abcdefg"), ("\u13aaB", "AB"), ("non\u2011stop", "non-stop"),
+    ("\ufee7\ufead", "\u0646\u0631"), ("\ufdf2", "\u0627\u0644\u0644\u0647"), ("12\ufe0f", "12"), ("\ua4d0\ua4ee", "BA"), ("\ufb13", "\u0574\u0576"),
 ]
 DIFFERENT = [
     ("m²", "m2"), ("½", "1/2"), ("Case", "case"), ("café", "cafe"), ("a b", "a\nb"), ("a  b", "a b"), ("👩‍🔧", "👩🔧"), ("a!", "a"), ("H₂O", "H2O"),
+    ("\u2764\ufe0f", "\u2764"), ("\U0001f3f4\U000e0067\U000e007f", "\U0001f3f4"), ("1\ufe0f\u20e3", "1\u20e3"), ("\u0424", "O"), ("a-b", "a\u2013b"),
 ]
 
 
@@ -50,6 +53,9 @@ def test_pairs(spark):
     got = {(r.id_a, r.id_b) for r in same_look_pairs(df, "id", "text").collect()}
     assert got == {(1, 2), (1, 3), (1, 8), (2, 8), (3, 8)}
     assert same_look_pairs(df.limit(0), "id", "text").count() == 0
+    rows = same_look_classes(df, "id", "text").collect()
+    assert sorted(r.id for r in rows) == [1, 2, 3, 8] and len({r.class_id for r in rows}) == 1
+    assert len({r.stored_id for r in rows}) == 3 - 1
 
 
 def test_column(spark):
