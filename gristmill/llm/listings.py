@@ -2,12 +2,14 @@
 
 1. A listing is read into words, code numbers and properties (power, length, volume, ... in one unit
    each, colour, pack), from its title and its description.
-2. Token combinations, here pairs of a word and a number, are made of each listing. A combination is
-   scored by how often it occurs, how rare its tokens are (their length in the sense of information),
-   and how close they stand; each listing is given its best one. Model name and number win by vote: no
-   list of models, brands, kinds of product or marketing phrases is needed.
+2. Token combinations, here pairs of a word and a number, are made of each listing: of its title, of a
+   labelled model, and of every sentence. A combination is scored by how often it occurs, how rare its
+   tokens are (their length in the sense of information), and how close they stand; each listing is given
+   its best one. Model name and number win by vote: no list of models, brands, kinds of product or
+   marketing phrases is needed.
 3. Listings with one number and equal properties are verified: model names are merged if they differ by
-   a slip of the pen, and split where descriptions name different brands.
+   a slip of the pen, and split where descriptions name different brands. A listing that states fewer
+   properties joins those of its model that state more, if all that agree with it agree with each other.
 
 Kind of product needs no list either: listings of one name and number that state the same kinds of
 property are of one kind.
@@ -26,11 +28,11 @@ from gristmill.session import checkpointed
 
 # Notations of units, by what is measured, with the factor to its base unit.
 UNITS = {
-    "power": {"w": 1, "watt": 1, "watts": 1},
+    "power": {"w": 1, "watt": 1, "watts": 1, "kw": 1000}, "voltage": {"volt": 1, "volts": 1},
     "battery": {"mah": 1, "ah": 1000},
     "length": {"mm": 1, "cm": 10, "m": 1000, "mtr": 1000, "meter": 1000, "metre": 1000, "ft": 304.8, "feet": 304.8, "inch": 25.4, "inches": 25.4, '"': 25.4},
     "volume": {"ml": 1, "cl": 10, "l": 1000, "litre": 1000, "liter": 1000, "ltr": 1000},
-    "weight": {"g": 1, "gm": 1, "gram": 1, "grams": 1, "kg": 1000},
+    "weight": {"g": 1, "gm": 1, "gram": 1, "grams": 1, "kg": 1000, "lb": 453.592, "lbs": 453.592, "oz": 28.3495},
     "capacity": {"gb": 1, "gigabyte": 1, "gigabytes": 1, "tb": 1024, "terabyte": 1024, "mb": 1 / 1024},
     "pack": {"pc": 1, "pcs": 1, "pack": 1, "pieces": 1},
 }
@@ -39,6 +41,7 @@ COLOURS = {
     "blue": ["blue", "blu"], "black": ["black", "blk"], "white": ["white", "wht"], "grey": ["grey", "gray", "gry"],
     "green": ["green", "grn"], "red": ["red"], "yellow": ["yellow", "ylw"], "pink": ["pink", "pnk"], "brown": ["brown", "brn"],
     "silver": ["silver", "slv"], "gold": ["gold", "gld"], "orange": ["orange", "org"], "purple": ["purple", "prp"],
+    **{c: [c] for c in "maroon violet beige ivory cream navy teal turquoise cyan magenta indigo crimson burgundy khaki olive lavender bronze peach coral amber".split()},
 }
 
 _MEASURE = {u: (what, factor) for what, units in UNITS.items() for u, factor in units.items()}
@@ -58,8 +61,8 @@ _BRAND = re.compile(r"(?:brand:?|made by) ([^\W\d_]+)|([^\W\d_]+) product")
 _MODEL = re.compile(r"(?:model name|model|series):? ?")
 _PROPERTY = re.compile(r"(?:colour|color|power|length|size|weight|volume|battery|capacity|contents):? ")
 
-#: Weights of combinations from the title, from a labelled model, and from the rest of the description.
-TITLE, LABELLED, ELSEWHERE = 1.0, 0.9, 0.25
+#: Weights of combinations from the title, from a labelled model, of two words of a title without a number, and from sentences.
+TITLE, LABELLED, WORDS, ELSEWHERE = 1.0, 0.9, 0.3, 0.25
 #: A word or number that more listings than this, and than this share of all, have in title or label names no model.
 SHARED_ROWS, SHARED = 100, 0.02
 #: Different names of one number and set of properties up to which one task compares them; more are
@@ -117,13 +120,11 @@ def combine(text: str, weight: float, combos: dict[tuple[str, str], float]) -> l
     return tokens
 
 
-def read_listing(title: str | None, description: str | None) -> tuple[str, str, list[str], list[tuple[str, str, float]]]:
-    """(properties in one canonical string, stated brand, title words, combinations with weight)."""
-    return _read(title, description)[:4]
+Combination = tuple[str, str, float, bool]
 
 
-def _read(title: str | None, description: str | None) -> tuple[str, str, list[str], list[tuple[str, str, float]], list[str]]:
-    """The same, and the sentences with numbers that gave no combinations."""
+def read_listing(title: str | None, description: str | None) -> tuple[str, str, list[str], list[Combination]]:
+    """(properties in one canonical string, stated brand, title words, combinations: word, number, weight, of title or label)."""
     found: dict[str, set] = {}
     combos: dict[tuple[str, str], float] = {}
 
@@ -131,7 +132,7 @@ def _read(title: str | None, description: str | None) -> tuple[str, str, list[st
     brand = ""
     in_title = dict(found)
     stated: dict[str, set] = {}
-    elsewhere: list[str] = []
+    sentences: list[str] = []
     for segment in _SEGMENT.split(description or ""):
         low = segment.strip().lower()
         if m := _BRAND.fullmatch(low):
@@ -146,25 +147,23 @@ def _read(title: str | None, description: str | None) -> tuple[str, str, list[st
                 for k, v in own.items():
                     stated.setdefault(k, set()).update(v)
             else:
-                elsewhere.append(rest)
-    # Sentences of the description are asked at once only where neither title nor label gives a combination.
-    if not combos:
-        for rest in elsewhere:
-            combine(rest, ELSEWHERE, combos)
-        elsewhere = []
-    # Without a number anywhere, pairs of title words stand in for it, in one order whatever that of the title.
+                sentences.append(rest)
+    # Where neither title nor label has a number, pairs of title words stand in, in one order whatever that of the title.
     if not combos:
         named = [w for w in words if len(w) > 1]
         for j, y in enumerate(named):
             for i, x in enumerate(named[:j]):
                 if x != y:
                     pair = max(x, y), min(x, y)
-                    combos[pair] = max(combos.get(pair, 0.0), TITLE / (1 + (j - i - 1) / 4))
+                    combos[pair] = max(combos.get(pair, 0.0), WORDS / (1 + (j - i - 1) / 4))
+    said: dict[tuple[str, str], float] = {}
+    for rest in sentences:
+        combine(rest, ELSEWHERE, said)
     for k, v in stated.items():
         if k not in in_title:
             found[k] = v
     props = ";".join(f"{k}={','.join(sorted(map(str, v)))}" for k, v in sorted(found.items()))
-    return props, brand, words, [(w, n, s) for (w, n), s in combos.items()], [r for r in elsewhere if re.search(r"\d", r)]
+    return props, brand, words, [(w, n, s, True) for (w, n), s in combos.items()] + [(w, n, s, False) for (w, n), s in said.items() if (w, n) not in combos]
 
 
 def slips(a: str, b: str, most: int) -> int:
@@ -210,27 +209,13 @@ def merge_names(names: list[str]) -> dict[str, str]:
     return {n: find(n) for n in names}
 
 
-def _combination_array(combos: list[list[tuple[str, str, float]]]) -> pa.ListArray:
+def _combination_array(combos: list[list[Combination]]) -> pa.ListArray:
     ends = [0]
     for c in combos:
         ends.append(ends[-1] + len(c))
     flat = [x for c in combos for x in c]
-    columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64()))]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["w", "n", "s"]))
-
-
-def _sentence_combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, w, n, s) of every combination of the sentences of each row."""
-    for b in batches:
-        rows = []
-        for row, sentences in zip(b.column("row").to_pylist(), b.column("sentences").to_pylist()):
-            combos: dict[tuple[str, str], float] = {}
-            for x in sentences:
-                combine(x, ELSEWHERE, combos)
-            rows += [(row, w, n, s) for (w, n), s in combos.items()]
-        columns = list(zip(*rows)) if rows else [()] * 4
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["row", "w", "n", "s"])
+    columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64(), pa.bool_()))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["w", "n", "s", "own"]))
 
 
 def _merged(at: tuple[str, str] | None, group: list[tuple[str, list[str]]]) -> list[tuple]:
@@ -304,7 +289,9 @@ def _merged_by_edges(names: DataFrame) -> DataFrame:
         near = links.join(labels.withColumnRenamed("w", "y"), [*at, "y"]).groupBy(*at, F.col("x").alias("w")).agg(F.min("name").alias("of_near"))
         step = labels.join(near, [*at, "w"], "left").select(*at, "w", F.least("name", "of_near").alias("name"), (F.col("of_near") < F.col("name")).alias("moved"))
         step = checkpointed(step)
-        labels = step.drop("moved")
+        # Each name takes the label of its label, so a chain of any length is followed in a number of rounds of its logarithm.
+        of_label = step.select(*at, F.col("w").alias("name"), F.col("name").alias("of_label"))
+        labels = checkpointed(step.join(of_label, [*at, "name"]).select(*at, "w", F.col("of_label").alias("name")))
         if step.filter("moved").isEmpty():
             break
     named = names.join(labels, [*at, "w"])
@@ -312,6 +299,58 @@ def _merged_by_edges(names: DataFrame) -> DataFrame:
     return named.join(known, [*at, "name"]).select(*at, "w", "name", "known")
 
 
+def _best_combinations(listings: DataFrame, total: int) -> DataFrame:
+    """(row, w, n, shared): the best combination of each listing, and how many listings have its word or number.
+
+    Only numbers travel: combinations go by the hashes of their tokens until the best of each listing is known.
+    """
+    hashes = [F.xxhash64("w").alias("hw"), F.xxhash64("n").alias("hn")]
+    combos = listings.select("row", F.posexplode("combos").alias("i", "c")).select("row", "i", "c.*").select("row", "i", F.col("s").cast("float").alias("s"), "own", *hashes)
+
+    def listed(token: str, to: str) -> DataFrame:
+        """(to, listings that have it, in title or label and anywhere): different within a listing before they are counted,
+        so sums combine map-side."""
+        each = F.inline(F.array_distinct(F.transform("combos", lambda c: F.struct(F.xxhash64(c[token]).alias(to), c["own"].alias("own")))))
+        return listings.select(each).groupBy(to).agg(F.count("*").alias(f"with_{to}"), F.count_if("own").alias(f"own_{to}"))
+
+    # Counted before they are joined: a combination meets its tokens' counts once, however many listings have it.
+    pairs = combos.groupBy("hw", "hn").agg(F.count("*").alias("together"), F.count_if("own").alias("own"))
+    rarity = F.log(F.lit(2.0 * total) / F.col("with_hw")) + F.log(F.lit(2.0 * total) / F.col("with_hn"))
+    votes = (
+        pairs.join(listed("w", "hw"), "hw")
+        .join(listed("n", "hn"), "hn")
+        .select("hw", "hn", ((F.col("together") + 0.5) / (F.col("together") + 1) * rarity).alias("vote"), F.greatest("own_hw", "own_hn").alias("shared"), (F.col("own") > 0).alias("named"))
+    )
+    # Noise, a word or number of very many titles and labels, names a model only where there is nothing else; so does a
+    # combination that no title or label has.
+    limit = max(SHARED_ROWS, SHARED * total)
+    order = F.struct((F.col("named") & (F.col("shared") <= limit)).alias("names"), (F.col("vote") * F.col("s")).alias("score"), "hw", "hn", "i", "shared")
+    best = combos.drop("own").join(votes, ["hw", "hn"]).groupBy("row").agg(F.max(order).alias("best"))
+    return best.select("row", F.col("best.i").alias("i"), F.col("best.shared").alias("shared"))
+
+
+def _joined_by_properties(groups: DataFrame) -> DataFrame:
+    """(n, name, of, props, into): the sets of properties that are part of a larger set of the same model, where all larger
+    ones agree with each other, and the largest of them. `groups` is the different (n, name, of, props).
+
+    A set meets larger ones by its rarest property within the model, so sets that only share a common one never meet.
+    """
+    model = ["n", "name", "of"]
+    sets = groups.withColumn("all", F.array_append(F.filter(F.split("props", ";"), lambda p: p != ""), F.lit("")))
+    uneven = sets.groupBy(*model).agg(F.min(F.size("all")).alias("lo"), F.max(F.size("all")).alias("hi")).filter("lo < hi").select(*model)
+    sets = checkpointed(sets.join(uneven, model, "left_semi"))
+    each = sets.select(*model, "props", "all", F.explode("all").alias("one"))
+    counts = each.groupBy(*model, "one").agg(F.count("*").alias("sets"))
+    rarest = each.join(counts, [*model, "one"]).groupBy(*model, "props").agg(F.min(F.struct("sets", "one"))["one"].alias("one"))
+    larger = each.select(*model, "one", F.col("props").alias("into"), F.col("all").alias("larger"))
+    met = rarest.join(sets, [*model, "props"]).join(larger, [*model, "one"])
+    met = met.filter((F.size("larger") > F.size("all")) & (F.size(F.array_except("all", "larger")) == 0))
+    said = met.select(*model, "props", "into", F.size("larger").alias("size"), F.explode("larger").alias("one")).withColumn("what", F.substring_index("one", "=", 1))
+    agreed = said.groupBy(*model, "props", "what").agg((F.min("one") == F.max("one")).alias("agree"), F.max(F.struct("size", "into")).alias("best"))
+    found = agreed.groupBy(*model, "props").agg(F.every("agree").alias("agree"), F.max("best")["into"].alias("into"))
+    return found.filter("agree").drop("agree")
+
+
 def group_listings(df: DataFrame, key: str, title: str, description: str, names_in_task: int = NAMES_IN_TASK) -> DataFrame:
     """(key, group_id): the group of each listing; listings of one product share it.
 
@@ -320,72 +359,31 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
     several groups. Long texts are read whole. Other columns are not read. An empty table gives no row.
     Every step meets rows by keys of their own: combinations are counted with map-side sums, and names
     are compared among the different names of one number and one set of properties only, in one task up to
-    `names_in_task` of them.
+    `names_in_task` of them. Group ids are hashes of 128 bits.
     """
     base = df.select(F.col(key).alias("k"), F.col(title).cast("string").alias("t"), F.col(description).cast("string").alias("d")).distinct()
-    base = base.withColumn("row", F.xxhash64("k", "t", "d"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_read(t, d) for t, d in zip(b.column("t").to_pylist(), b.column("d").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("row"),
-                    b.column("k"),
-                    pa.array([r[0] for r in rows], pa.string()),
-                    pa.array([r[1] for r in rows], pa.string()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                    _combination_array([r[3] for r in rows]),
-                    pa.array([r[4] for r in rows], pa.list_(pa.string())),
-                ],
-                names=["row", "k", "props", "brand", "words", "combos", "sentences"],
-            )
+            rows = [read_listing(t, d) for t, d in zip(b.column("t").to_pylist(), b.column("d").to_pylist())]
+            kinds = [pa.string(), pa.string(), pa.list_(pa.string())]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), *columns, _combination_array([r[3] for r in rows])], names=["k", "props", "brand", "words", "combos"])
 
     kind = base.schema["k"].dataType.simpleString()
-    listings = base.mapInArrow(read, f"row long, k {kind}, props string, brand string, words array<string>, combos array<struct<w:string,n:string,s:double>>, sentences array<string>")
-    listings = checkpointed(listings)
+    listings = base.mapInArrow(read, f"k {kind}, props string, brand string, words array<string>, combos array<struct<w:string,n:string,s:double,own:boolean>>")
+    # Numbered and written: a row keeps its number whatever is computed again.
+    listings = checkpointed(listings.withColumn("row", F.monotonically_increasing_id()))
     total = listings.count()
-
-    def listed(token: str) -> DataFrame:
-        """(token, listings that have it): different within a listing before they are counted, so sums combine map-side."""
-        each = F.explode(F.array_distinct(F.transform("combos", lambda c: c[token])))
-        return listings.select(each.alias(token)).groupBy(token).agg(F.count("*").alias(f"with_{token}"))
-
-    combos = listings.select("row", F.inline("combos"))
-    pairs = combos.groupBy("w", "n").agg(F.count("*").alias("together"))
-    of_words, of_numbers = listed("w"), listed("n")
-    rarity = F.log(F.lit(2.0 * total) / F.col("with_w")) + F.log(F.lit(2.0 * total) / F.col("with_n"))
-    votes = (
-        pairs.join(of_words, "w")
-        .join(of_numbers, "n")
-        .select("w", "n", ((F.col("together") + 0.5) / (F.col("together") + 1) * rarity).alias("vote"), F.greatest("with_w", "with_n").alias("shared"))
-    )
-    best = (
-        combos.join(votes, ["w", "n"])
-        .groupBy("row")
-        .agg(F.max(F.struct((F.col("vote") * F.col("s")).alias("score"), "w", "n", "shared")).alias("best"))
-        .select("row", F.col("best.w").alias("w"), F.col("best.n").alias("n"), F.col("best.shared").alias("shared"))
-    )
-    chosen = checkpointed(listings.drop("combos").join(best, "row", "left"))
-
-    # Where the best is noise, a word or number of very many listings, sentences may name the model: by a
-    # combination that titles or labels have too and that is no noise.
-    limit = max(SHARED_ROWS, SHARED * total)
-    poor = chosen.filter((F.col("shared") > limit) & (F.size("sentences") > 0)).select("row", "sentences")
-    asked = checkpointed(poor.mapInArrow(_sentence_combinations, "row long, w string, n string, s double"))
-    if not asked.isEmpty():
-        known = votes.join(asked.select("w", "n").distinct(), ["w", "n"], "left_semi").filter(F.col("shared") <= limit)
-        named = asked.join(known, ["w", "n"]).groupBy("row").agg(F.max(F.struct((F.col("vote") * F.col("s")).alias("score"), "w", "n")).alias("better"))
-        chosen = chosen.join(named, "row", "left").withColumns({c: F.coalesce(F.col(f"better.{c}"), F.col(c)) for c in ("w", "n")}).drop("better")
-        chosen = checkpointed(chosen)
+    chosen = listings.join(_best_combinations(listings, total), "row", "left").withColumn("best", F.get("combos", F.col("i")))
+    chosen = chosen.select("row", "k", "props", "brand", "words", "best.w", "best.n", "shared")
     # Two words of very many listings name no model, nor does a single one: then only equal titles are one.
     whole = F.array_join(F.array_sort("words"), " ")
-    weak = (F.size("words") > 0) & (F.col("w").isNull() | (~F.col("n").rlike(r"^\d+$") & (F.col("shared") > limit)))
-    chosen = chosen.withColumns({c: F.when(weak, whole).otherwise(F.col(c)) for c in ("w", "n")}).drop("sentences", "shared")
+    weak = (F.size("words") > 0) & (F.col("w").isNull() | (~F.col("n").rlike(r"^\d+$") & (F.col("shared") > max(SHARED_ROWS, SHARED * total))))
+    chosen = checkpointed(chosen.withColumns({c: F.when(weak, whole).otherwise(F.col(c)) for c in ("w", "n")}).drop("shared"))
 
     # Verification: different (name, stated brand) of one number and one set of properties.
     names = chosen.filter(F.col("w").isNotNull()).groupBy("n", "props", "w").agg(F.collect_set(F.nullif("brand", F.lit(""))).alias("brands"))
-
     large = checkpointed(names.groupBy("n", "props").agg(F.count("*").alias("names")).filter(F.col("names") > names_in_task)).select("n", "props")
     if large.isEmpty():
         merged = _merged_in_tasks(names)
@@ -395,8 +393,11 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
     # Where a name belongs to several brands, a listing that states none takes the one its title names.
     of_title = F.get(F.array_intersect("words", "known"), F.lit(0))
     brand = F.when(F.size("known") > 1, F.coalesce(F.nullif("brand", F.lit("")), of_title, F.lit(""))).otherwise(F.lit(""))
-    group = F.when(F.col("name").isNotNull(), F.xxhash64("name", "n", "props", brand)).otherwise(F.xxhash64("k", "row"))
-    return placed.select(F.col("k").alias(key), group.alias("group_id")).distinct()
+    placed = checkpointed(placed.select("row", "k", "n", "name", brand.alias("of"), "props"))
+    joined = checkpointed(_joined_by_properties(placed.filter("name IS NOT NULL").select("n", "name", "of", "props").distinct()))
+    placed = placed.join(joined, ["n", "name", "of", "props"], "left").withColumn("props", F.coalesce("into", "props"))
+    mark = F.when(F.col("name").isNotNull(), F.concat_ws("\x00", F.lit("model"), "name", "n", "props", "of")).otherwise(F.concat_ws("\x00", F.lit("row"), F.col("row").cast("string")))
+    return placed.select(F.col("k").alias(key), F.md5(mark).alias("group_id")).distinct()
 
 
 def same_product_pairs(groups: DataFrame, key: str) -> DataFrame:

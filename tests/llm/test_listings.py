@@ -110,3 +110,31 @@ def test_listings_without_a_number(spark, monkeypatch):
     # Words of very many listings: equal titles only.
     monkeypatch.setattr(L, "SHARED_ROWS", 1)
     assert find([("a", "Desk Lamp", None), ("b", "desk lamp", None), ("c", "Small desk lamp", None), ("d", "Desk lamp sale", None)]) == {("a", "b")}
+
+
+def pairs_of(spark, rows):
+    df = spark.createDataFrame(rows, "id string, t string, d string")
+    return {(r.id_a, r.id_b) for r in L.same_product_pairs(L.group_listings(df, "id", "t", "d"), "id").collect()}
+
+
+def test_no_digit_other_colours_and_more_properties(spark):
+    rows = [
+        ("a", "Acme Breeze Ceiling Fan White", None), ("b", "ACME Breeze ceiling fan, white", None),
+        ("c", "Acme Breeze 100 Fan 50 W maroon", None), ("d", "Acme Breeze 100 Fan 50 W violet", None),
+        ("e", "Acme Gustora 300 Fan 50 W", None), ("f", "Acme Gustora 300 Fan 50 W", "Weight: 3 kg"), ("g", "Acme Gustora 300 Fan 0.05 kW", "Weight: 3 kg | Colour: red"),
+        ("h", "Acme Windler 400 Fan 50 W", None), ("i", "Acme Windler 400 Fan 50 W red", None), ("j", "Acme Windler 400 Fan 50 W blue", None),
+    ]
+    # One that states less joins the others only where those agree.
+    assert pairs_of(spark, rows) == {("a", "b"), ("e", "f"), ("e", "g"), ("f", "g")}
+
+
+def test_group_ids_have_128_bits(spark):
+    rows = [("a", "Acme Breeze 100", None), ("b", None, None)]
+    assert {len(r.group_id) for r in L.group_listings(spark.createDataFrame(rows, "id string, t string, d string"), "id", "t", "d").collect()} == {32}
+
+
+def test_a_chain_of_slips(spark):
+    names = ["abcdefgh", "abcdefgx", "abcdefyx", "abcdezyx", "abcdwzyx", "abcvwzyx", "abuvwzyx", "atuvwzyx"]
+    rows = [(str(i), f"Acme {w} 120 Lamp 5 W", None) for i, w in enumerate(names)] + [("9", "Acme qqqqqqqq 120 Lamp 5 W", None)]
+    df = spark.createDataFrame(rows, "id string, t string, d string")
+    assert len(L.same_product_pairs(L.group_listings(df, "id", "t", "d", names_in_task=1), "id").collect()) == len(names) * (len(names) - 1) // 2
