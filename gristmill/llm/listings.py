@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.session import checkpointed
@@ -63,6 +63,8 @@ _PROPERTY = re.compile(r"(?:colour|color|power|length|size|weight|volume|battery
 
 #: Weights of combinations from the title, from a labelled model, of two words of a title without a number, and from sentences.
 TITLE, LABELLED, WORDS, ELSEWHERE = 1.0, 0.9, 0.3, 0.25
+#: Steps of a weight where it travels; different tokens up to which their counts are broadcast (16 MB).
+WEIGHTS, BROADCAST_TOKENS = 10_000, 500_000
 #: A word or number that more listings than this, and than this share of all, have in title or label names no model.
 SHARED_ROWS, SHARED = 100, 0.02
 #: Different names of one number and set of properties up to which one task compares them; more are
@@ -209,13 +211,15 @@ def merge_names(names: list[str]) -> dict[str, str]:
     return {n: find(n) for n in names}
 
 
-def _combination_array(combos: list[list[Combination]]) -> pa.ListArray:
-    ends = [0]
-    for c in combos:
-        ends.append(ends[-1] + len(c))
-    flat = [x for c in combos for x in c]
-    columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64(), pa.bool_()))]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["w", "n", "s", "own"]))
+def _packed(combos: list[Combination]) -> tuple[list[str], list[int]]:
+    """The different tokens of a listing's combinations, and each combination as one number: place of its word, place of its
+    number, weight and whether it is of title or label."""
+    tokens: dict[str, int] = {}
+    codes = []
+    for w, n, s, own in combos:
+        i, j = tokens.setdefault(w, len(tokens)), tokens.setdefault(n, len(tokens))
+        codes.append(i << 39 | j << 15 | max(1, round(s * WEIGHTS)) << 1 | own)
+    return list(tokens), codes
 
 
 def _merged(at: tuple[str, str] | None, group: list[tuple[str, list[str]]]) -> list[tuple]:
@@ -300,33 +304,46 @@ def _merged_by_edges(names: DataFrame) -> DataFrame:
 
 
 def _best_combinations(listings: DataFrame, total: int) -> DataFrame:
-    """(row, w, n, shared): the best combination of each listing, and how many listings have its word or number.
+    """(row, i, names): the best combination of each listing, and whether it names a model: noise, a word or number that
+    very many titles and labels have, does so only where there is nothing else, and so does what no title or label has.
 
-    Only numbers travel: combinations go by the hashes of their tokens until the best of each listing is known.
+    Only numbers travel: combinations go by hashes of their tokens until the best of each listing is known.
     """
-    hashes = [F.xxhash64("w").alias("hw"), F.xxhash64("n").alias("hn")]
-    combos = listings.select("row", F.posexplode("combos").alias("i", "c")).select("row", "i", "c.*").select("row", "i", F.col("s").cast("float").alias("s"), "own", *hashes)
-
-    def listed(token: str, to: str) -> DataFrame:
-        """(to, listings that have it, in title or label and anywhere): different within a listing before they are counted,
-        so sums combine map-side."""
-        each = F.inline(F.array_distinct(F.transform("combos", lambda c: F.struct(F.xxhash64(c[token]).alias(to), c["own"].alias("own")))))
-        return listings.select(each).groupBy(to).agg(F.count("*").alias(f"with_{to}"), F.count_if("own").alias(f"own_{to}"))
-
+    hashed = listings.select("row", "codes", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    # (token, listings that have it): different within a listing before they are counted, so sums combine map-side.
+    said = F.filter("codes", lambda c: c.bitwiseAND(1) == 1)
+    places = lambda codes: F.concat(F.transform(codes, _word), F.transform(codes, _number))
+    own = F.transform(F.array_distinct(places(said)), lambda i: F.get("hashes", i))
+    tokens = hashed.select(F.explode("hashes").alias("h"), own.alias("own")).groupBy("h").agg(F.count("*").alias("listings"), F.count_if(F.array_contains("own", F.col("h"))).alias("titles"))
+    tokens = checkpointed(tokens)
+    known = F.broadcast(tokens) if tokens.count() <= BROADCAST_TOKENS else tokens
+
+    each = hashed.select("row", "hashes", F.posexplode("codes").alias("i", "code"))
+    hw, hn = F.get("hashes", _word(F.col("code"))), F.get("hashes", _number(F.col("code")))
+    weight = F.shiftrightunsigned(F.col("code"), 1).bitwiseAND((1 << 14) - 1)
+    mark = F.xxhash64(hw, hn)
     # Counted before they are joined: a combination meets its tokens' counts once, however many listings have it.
-    pairs = combos.groupBy("hw", "hn").agg(F.count("*").alias("together"), F.count_if("own").alias("own"))
+    pairs = each.select(mark.alias("c"), hw.alias("hw"), hn.alias("hn"), F.col("code").bitwiseAND(1).alias("own"))
+    pairs = pairs.groupBy("c").agg(F.count("*").alias("together"), F.max("own").alias("named"), F.min("hw").alias("hw"), F.min("hn").alias("hn"))
+    for h in ("hw", "hn"):
+        pairs = pairs.join(known.select(F.col("h").alias(h), F.col("listings").alias(f"with_{h}"), F.col("titles").alias(f"own_{h}")), h)
     rarity = F.log(F.lit(2.0 * total) / F.col("with_hw")) + F.log(F.lit(2.0 * total) / F.col("with_hn"))
-    votes = (
-        pairs.join(listed("w", "hw"), "hw")
-        .join(listed("n", "hn"), "hn")
-        .select("hw", "hn", ((F.col("together") + 0.5) / (F.col("together") + 1) * rarity).alias("vote"), F.greatest("own_hw", "own_hn").alias("shared"), (F.col("own") > 0).alias("named"))
-    )
-    # Noise, a word or number of very many titles and labels, names a model only where there is nothing else; so does a
-    # combination that no title or label has.
-    limit = max(SHARED_ROWS, SHARED * total)
-    order = F.struct((F.col("named") & (F.col("shared") <= limit)).alias("names"), (F.col("vote") * F.col("s")).alias("score"), "hw", "hn", "i", "shared")
-    best = combos.drop("own").join(votes, ["hw", "hn"]).groupBy("row").agg(F.max(order).alias("best"))
-    return best.select("row", F.col("best.i").alias("i"), F.col("best.shared").alias("shared"))
+    names = (F.col("named") > 0) & (F.greatest("own_hw", "own_hn") <= max(SHARED_ROWS, SHARED * total))
+    votes = pairs.select("c", ((F.col("together") + 0.5) / (F.col("together") + 1) * rarity).cast("float").alias("vote"), names.alias("names"))
+    # One number orders them: naming before score before hash; the place of the combination is its tail.
+    place = (F.col("i").cast("long") * (1 << 14)) + weight
+    score = F.least((F.col("vote") * F.col("place").bitwiseAND((1 << 14) - 1) * ((1 << 30) / WEIGHTS / 64)).cast("long"), F.lit((1 << 30) - 1))
+    order = F.col("names").cast("long") * (1 << 62) + score * (1 << 32) + F.pmod("c", F.lit(1 << 8)) * (1 << 24) + F.shiftrightunsigned("place", 14)
+    best = each.select("row", mark.alias("c"), place.alias("place")).join(votes, "c").groupBy("row").agg(F.max(order).alias("best"))
+    return best.select("row", F.col("best").bitwiseAND((1 << 24) - 1).cast("int").alias("i"), (F.col("best") >= (1 << 62)).alias("names"))
+
+
+def _word(code: Column) -> Column:
+    return F.shiftrightunsigned(code, 39).cast("int")
+
+
+def _number(code: Column) -> Column:
+    return F.shiftrightunsigned(code, 15).bitwiseAND((1 << 24) - 1).cast("int")
 
 
 def _joined_by_properties(groups: DataFrame) -> DataFrame:
@@ -368,19 +385,22 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
             rows = [read_listing(t, d) for t, d in zip(b.column("t").to_pylist(), b.column("d").to_pylist())]
             kinds = [pa.string(), pa.string(), pa.list_(pa.string())]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), *columns, _combination_array([r[3] for r in rows])], names=["k", "props", "brand", "words", "combos"])
+            packed = [_packed(r[3]) for r in rows]
+            columns += [pa.array([t for t, _ in packed], pa.list_(pa.string())), pa.array([c for _, c in packed], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("k"), *columns], names=["k", "props", "brand", "words", "tokens", "codes"])
 
     kind = base.schema["k"].dataType.simpleString()
-    listings = base.mapInArrow(read, f"k {kind}, props string, brand string, words array<string>, combos array<struct<w:string,n:string,s:double,own:boolean>>")
+    listings = base.mapInArrow(read, f"k {kind}, props string, brand string, words array<string>, tokens array<string>, codes array<long>")
     # Numbered and written: a row keeps its number whatever is computed again.
     listings = checkpointed(listings.withColumn("row", F.monotonically_increasing_id()))
     total = listings.count()
-    chosen = listings.join(_best_combinations(listings, total), "row", "left").withColumn("best", F.get("combos", F.col("i")))
-    chosen = chosen.select("row", "k", "props", "brand", "words", "best.w", "best.n", "shared")
+    chosen = listings.join(_best_combinations(listings, total), "row", "left").withColumn("code", F.get("codes", F.col("i")))
+    w, n = F.get("tokens", _word(F.col("code"))), F.get("tokens", _number(F.col("code")))
+    chosen = chosen.select("row", "k", "props", "brand", "words", w.alias("w"), n.alias("n"), "names")
     # Two words of very many listings name no model, nor does a single one: then only equal titles are one.
     whole = F.array_join(F.array_sort("words"), " ")
-    weak = (F.size("words") > 0) & (F.col("w").isNull() | (~F.col("n").rlike(r"^\d+$") & (F.col("shared") > max(SHARED_ROWS, SHARED * total))))
-    chosen = checkpointed(chosen.withColumns({c: F.when(weak, whole).otherwise(F.col(c)) for c in ("w", "n")}).drop("shared"))
+    weak = (F.size("words") > 0) & (F.col("w").isNull() | (~F.col("n").rlike(r"^\d+$") & ~F.col("names")))
+    chosen = checkpointed(chosen.withColumns({c: F.when(weak, whole).otherwise(F.col(c)) for c in ("w", "n")}).drop("names"))
 
     # Verification: different (name, stated brand) of one number and one set of properties.
     names = chosen.filter(F.col("w").isNotNull()).groupBy("n", "props", "w").agg(F.collect_set(F.nullif("brand", F.lit(""))).alias("brands"))
