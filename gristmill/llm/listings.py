@@ -211,15 +211,18 @@ def merge_names(names: list[str]) -> dict[str, str]:
     return {n: find(n) for n in names}
 
 
-def _packed(combos: list[Combination]) -> tuple[list[str], list[int]]:
-    """The different tokens of a listing's combinations, and each combination as one number: place of its word, place of its
-    number, weight and whether it is of title or label."""
+def _packed(combos: list[Combination]) -> tuple[list[str], int, list[int]]:
+    """The different tokens of a listing's combinations, those of title or label first; how many those are; and each
+    combination as one number: place of its word, place of its number, weight and whether it is of title or label."""
     tokens: dict[str, int] = {}
-    codes = []
+    for w, n, _, own in combos:
+        if own:
+            tokens.setdefault(w, len(tokens)), tokens.setdefault(n, len(tokens))
+    owned, codes = len(tokens), []
     for w, n, s, own in combos:
         i, j = tokens.setdefault(w, len(tokens)), tokens.setdefault(n, len(tokens))
         codes.append(i << 39 | j << 15 | max(1, round(s * WEIGHTS)) << 1 | own)
-    return list(tokens), codes
+    return list(tokens), owned, codes
 
 
 def _merged(at: tuple[str, str] | None, group: list[tuple[str, list[str]]]) -> list[tuple]:
@@ -309,17 +312,14 @@ def _best_combinations(listings: DataFrame, total: int) -> DataFrame:
 
     Only numbers travel: combinations go by hashes of their tokens until the best of each listing is known.
     """
-    hashed = listings.select("row", "codes", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
-    # (token, listings that have it): different within a listing before they are counted, so sums combine map-side.
-    said = F.filter("codes", lambda c: c.bitwiseAND(1) == 1)
-    places = lambda codes: F.concat(F.transform(codes, _word), F.transform(codes, _number))
-    own = F.transform(F.array_distinct(places(said)), lambda i: F.get("hashes", i))
-    tokens = hashed.select(F.explode("hashes").alias("h"), own.alias("own")).groupBy("h").agg(F.count("*").alias("listings"), F.count_if(F.array_contains("own", F.col("h"))).alias("titles"))
+    # Tokens differ within a listing before they are counted, so sums combine map-side.
+    tokens = listings.select("owned", F.posexplode("tokens").alias("at", "token")).select(F.xxhash64("token").alias("h"), (F.col("at") < F.col("owned")).alias("own"))
+    tokens = tokens.groupBy("h").agg(F.count("*").alias("listings"), F.count_if("own").alias("titles"))
     tokens = checkpointed(tokens)
     known = F.broadcast(tokens) if tokens.count() <= BROADCAST_TOKENS else tokens
 
-    each = hashed.select("row", "hashes", F.posexplode("codes").alias("i", "code"))
-    hw, hn = F.get("hashes", _word(F.col("code"))), F.get("hashes", _number(F.col("code")))
+    each = listings.select("row", "tokens", F.posexplode("codes").alias("i", "code"))
+    hw, hn = F.xxhash64(F.get("tokens", _word(F.col("code")))), F.xxhash64(F.get("tokens", _number(F.col("code"))))
     weight = F.shiftrightunsigned(F.col("code"), 1).bitwiseAND((1 << 14) - 1)
     mark = F.xxhash64(hw, hn)
     # Counted before they are joined: a combination meets its tokens' counts once, however many listings have it.
@@ -386,11 +386,12 @@ def group_listings(df: DataFrame, key: str, title: str, description: str, names_
             kinds = [pa.string(), pa.string(), pa.list_(pa.string())]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             packed = [_packed(r[3]) for r in rows]
-            columns += [pa.array([t for t, _ in packed], pa.list_(pa.string())), pa.array([c for _, c in packed], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("k"), *columns], names=["k", "props", "brand", "words", "tokens", "codes"])
+            kinds = [pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64())]
+            columns += [pa.array([x[i] for x in packed], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), *columns], names=["k", "props", "brand", "words", "tokens", "owned", "codes"])
 
     kind = base.schema["k"].dataType.simpleString()
-    listings = base.mapInArrow(read, f"k {kind}, props string, brand string, words array<string>, tokens array<string>, codes array<long>")
+    listings = base.mapInArrow(read, f"k {kind}, props string, brand string, words array<string>, tokens array<string>, owned int, codes array<long>")
     # Numbered and written: a row keeps its number whatever is computed again.
     listings = checkpointed(listings.withColumn("row", F.monotonically_increasing_id()))
     total = listings.count()
