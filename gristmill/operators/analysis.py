@@ -77,42 +77,77 @@ def analyse(query: Column) -> Column:
     return F.struct(product_type(query).alias("product_type"), key_features(query).alias("key_features"), upper_bound(query).alias("price_constraint"))
 
 
+# The lexemes of loosely written JSON, in this order: a string with its escapes; a comma that nothing but a closing bracket
+# follows; a bare name before a colon; one of Python's constants; a run of anything else.
+_LEXEMES = (
+    r'"(?:[^"\\]|\\.)*+"'
+    r"|,(?=\s*[}\]])"
+    r"|[\p{L}_][\p{L}\p{N}_]*+(?=\s*:)"
+    r"|\b(?:True|False|None)\b"
+    r'|[\p{L}_][\p{L}\p{N}_]*+|[^",\p{L}_]++|.'
+)
+
+
 def repair_json(text: Column) -> Column:
-    """Trailing commas dropped, bare keys quoted, True, False and None as JSON has them."""
-    t = F.regexp_replace(F.regexp_replace(text, r",\s*\}", "}"), r",\s*\]", "]")
-    t = F.regexp_replace(t, r"([{,])\s*([A-Za-z_][A-Za-z0-9_]*)\s*:", r'$1"$2":')
-    for word, json in (("True", "true"), ("False", "false"), ("None", "null")):
-        t = F.regexp_replace(t, rf":\s*{word}", f":{json}")
-    return t
+    """Loosely written JSON made strict: commas before closing brackets dropped, bare keys quoted, Python's constants renamed.
+
+    The text is cut into lexemes and each is written anew, so what stands inside a string is never touched. Null stays null.
+    """
+    strict = {"True": "true", "False": "false", "None": "null"}
+
+    def written(lexeme: Column, after: Column) -> Column:
+        out = F.when((lexeme == ",") & after.rlike(r"^\s*[}\]]"), F.lit(""))
+        out = out.when(lexeme.rlike(r"^[\p{L}_]") & after.rlike(r"^\s*:"), F.concat(F.lit('"'), lexeme, F.lit('"')))
+        for loose, right in strict.items():
+            out = out.when(lexeme == loose, F.lit(right))
+        return out.otherwise(lexeme)
+
+    found = F.regexp_extract_all(text, F.lit(f"(?s){_LEXEMES}"), 0)
+    following = F.transform(found, lambda _, i: F.coalesce(F.get(found, i + 1), F.lit("")))
+    return F.array_join(F.zip_with(found, following, written), "")
+
+
+def json_objects(text: Column) -> Column:
+    """The innermost `{...}` parts of a text in order, each repaired; those that are no JSON even so are left out."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"\{[^{}]*+\}"), 0), repair_json)
+    return F.filter(parts, lambda p: F.try_parse_json(p).isNotNull())
 
 
 def first_number(text: Column) -> Column:
     """The first number in a text; null where there is none."""
-    return F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    return F.regexp_extract(text, r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double")
+
+
+def named_field(text: Column, name: str) -> Column:
+    """The rest of the line after a field's name (any case, `_` as a blank) and a colon, quote or blank; empty where it is not named."""
+    return F.regexp_extract(text, rf"(?i)\b{name.replace(' ', '[ _]')}\b[\"' ]*[: ][\"' ]*([^\n]*)", 1)
 
 
 _ANSWER = "product_type string, key_features array<string>, score double"
 
 
 def parse_answer(text: Column) -> Column:
-    """A model's answer as STRUCT(product_type, key_features, score), by the first of these that gives one.
+    """A model's answer as STRUCT(product_type, key_features, score), by the first of these rungs that gives one, else null.
 
-    The text as JSON; its innermost `{...}` blocks, repaired; the first number, if it speaks of a rate or
-    score; single fields by keyword. Null where none does.
+    1. The whole text, if it is a JSON object. 2. The first of its innermost objects that is JSON once repaired. 3. The first
+    number, as the score, if the text speaks of a rate or score. 4. Fields named in running text: the words after "product
+    type", the items in brackets after "features".
     """
-    whole = F.when(F.trim(text).startswith("{") & F.try_parse_json(F.trim(text)).isNotNull(), F.from_json(F.trim(text), _ANSWER))
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)(\{[^{]*?\})"), 1)
-    block = F.get(
-        F.filter(F.transform(blocks, lambda b: F.when(F.try_parse_json(repair_json(b)).isNotNull(), F.from_json(repair_json(b), _ANSWER))), lambda s: s.isNotNull()),
-        F.lit(0),
-    )
-    none = F.lit(None)
-    number = F.when(F.lower(text).rlike("rate|score") & first_number(text).isNotNull(), F.struct(none.cast("string").alias("product_type"), none.cast("array<string>").alias("key_features"), first_number(text).alias("score")))
-    kind = F.nullif(F.trim(F.regexp_extract(text, r"(?i)product[_\s]type[\s:\"']+([\w\s]+)", 1)), F.lit(""))
-    listed = F.regexp_extract(text, r"(?is)features[\s:\"']+\[(.*?)\]", 1)
-    items = F.regexp_extract_all(listed, F.lit(r"[\"']([^\"',]+)[\"']"), 1)
-    fields = F.when(kind.isNotNull() | (F.size(items) > 0), F.struct(kind.alias("product_type"), F.when(F.size(items) > 0, items).alias("key_features"), none.cast("double").alias("score")))
-    return F.coalesce(whole, block, number, fields)
+    whole = F.trim(text)
+    objects = F.concat(F.array(F.when(whole.startswith("{") & F.try_parse_json(whole).isNotNull(), whole)), json_objects(text))
+    from_object = F.from_json(F.get(F.filter(objects, lambda o: o.isNotNull()), F.lit(0)), _ANSWER)
+
+    def answer(kind: Column | None = None, features: Column | None = None, score: Column | None = None) -> Column:
+        fields = zip(("product_type", "key_features", "score"), (kind, features, score), ("string", "array<string>", "double"))
+        return F.struct(*[(F.lit(None) if c is None else c).cast(t).alias(n) for n, c, t in fields])
+
+    number = F.when(F.lower(text).rlike("rate|score") & first_number(text).isNotNull(), answer(score=first_number(text)))
+    kind = F.nullif(F.trim(F.regexp_extract(named_field(text, "product type"), r"^[\p{L}\p{N}_ ]+", 0)), F.lit(""))
+    inside = F.regexp_extract(text, r"(?is)features[^\[\n]*\[([^\]]*)\]", 1)
+    items = F.filter(F.transform(F.split(inside, ","), lambda i: F.btrim(i, F.lit(" \n\"'"))), lambda i: i != "")
+    listed = F.when(F.size(items) > 0, items)
+    fields = F.when(kind.isNotNull() | listed.isNotNull(), answer(kind, listed))
+    return F.coalesce(from_object, number, fields)
 
 
 def listing_kind(text: Column) -> Column:

@@ -89,6 +89,17 @@ def test_answers(spark):
     assert one(spark, "nothing here", A.parse_answer) is None and one(spark, None, A.parse_answer) is None
 
 
+def test_loose_json(spark):
+    fixed = lambda t: one(spark, t, A.repair_json)
+    assert fixed('{a: 1, "b": [1, 2, ], c_d: True, e: None,}') == '{"a": 1, "b": [1, 2 ], "c_d": true, "e": null}'
+    assert fixed('{"k": "x, } y: True"}') == '{"k": "x, } y: True"}' and fixed("") == "" and fixed(None) is None
+    r = one(spark, 'Here {broken} it is: {product_type: "usb", key_features: ["a", "b",], score: 3} ok', A.parse_answer)
+    assert (r.product_type, r.key_features, r.score) == ("usb", ["a", "b"], 3.0)
+    r = one(spark, "Product Type: usb cable\nKey features: ['fast', \"long\"]", A.parse_answer)
+    assert r.product_type == "usb cable" and r.key_features == ["fast", "long"] and r.score is None
+    assert one(spark, "x" * 200_000, A.parse_answer) is None
+
+
 def test_wording_boost(spark):
     assert one(spark, "wireless with excellent noise cancellation", A.wording_boost) == 3.0
     assert one(spark, "high performance", A.wording_boost) == 0.5 and one(spark, None, A.wording_boost) == 0.0 and one(spark, "balance", A.wording_boost) == 0.5
