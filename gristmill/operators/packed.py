@@ -10,6 +10,9 @@ whole and the next is tried from the same place:
     bracketed <- blank* '[' [^\\]]* ']' blank* &(DELIM / END)         (only where `brackets` is set)
     bare   <- (!DELIM .)*
 
+Each alternative is a group of the pattern, so what kind a value is says the alternative that matched. Where
+`escapes` is set, a backslash in a quoted value takes the next character as it is.
+
 A quote that is never closed, or that closes before more text, makes `quoted` fail; the value is then
 read as bare from its first character, and flagged.
 """
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Packing:
-    """How a field is packed: the delimiter pattern, and whether square brackets enclose values."""
+    """How a field is packed: the delimiter pattern, whether square brackets enclose values, and whether backslashes escape in quotes."""
 
     delimiter: str
     brackets: bool = False
+    escapes: bool = False
 
 
 #: Levels of a path: commas and ampersands belong to the value.
@@ -38,16 +42,19 @@ REVIEWS = Packing(r"\|+|;;+|~~+|[\t\r\n]+")
 #: Blanks of any width and kind, line breaks among them.
 _SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]"
 #: Blanks that a delimiter of line breaks or tabs never consists of.
-_BLANK = r"[ \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]"
+_BLANK = r"[ \x0b\f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]"
+#: Groups of the pattern.
+QUOTED, BRACKETED, BARE = 1, 2, 3
 
 
 def grammar(packing: Packing) -> str:
-    """The pattern of one item together with the delimiter, or the opening mark, before it."""
+    """The pattern of one item together with the delimiter, or the opening mark, before it; a group for each alternative."""
     d = f"(?:{packing.delimiter})"
-    ends = rf"(?={_BLANK}*+(?:{d}|\z))"
-    quoted = rf'{_SPACE}*+"[^"]*+(?:""[^"]*+)*+"{ends}{_BLANK}*+'
-    bracketed = rf"{_SPACE}*+\[[^\]]*+\]{ends}{_BLANK}*+|" if packing.brackets else ""
-    return rf"(?s)(?:\A\x00|{d})(?:{quoted}|{bracketed}(?:(?!{d}).)*+)"
+    ends = rf"(?={_BLANK}*+(?:{d}|\z)){_BLANK}*+"
+    inside = r'[^"\\]*+(?:(?:""|\\.)[^"\\]*+)*+' if packing.escapes else r'[^"]*+(?:""[^"]*+)*+'
+    quoted = rf'{_SPACE}*+("{inside}"){ends}'
+    bracketed = rf"{_SPACE}*+(\[[^\]]*+\]){ends}" if packing.brackets else r"(?!)()"
+    return rf"(?s)(?:\A\x00|{d})(?:{quoted}|{bracketed}|((?:(?!{d}).)*+))"
 
 
 def strip(text: Column) -> Column:
@@ -59,31 +66,30 @@ def split_values(text: Column, packing: Packing) -> Column:
     """ARRAY<STRUCT<item_value, kind, malformed>> of the non-empty values in order.
 
     Null gives an empty array, as do empty and blank fields and fields of delimiters alone.
-    `kind` is quoted, bracketed or bare; `malformed` marks bare values that begin with a quote or hold
-    an odd number of them at their edges.
+    `kind` is quoted, bracketed or bare, as the alternative that matched; `malformed` marks bare values that
+    begin or end with a quote.
     """
-    lead = rf"\A(?:\x00|{packing.delimiter})"
-
-    def shape(raw: Column) -> Column:
-        body = strip(F.regexp_replace(raw, lead, ""))
-        is_quoted = body.rlike(r'(?s)\A"[^"]*+(?:""[^"]*+)*+"\z')
-        is_bracketed = body.rlike(r"(?s)\A\[[^\]]*+\]\z") if packing.brackets else F.lit(False)
-        inner = body.substr(F.lit(2), F.greatest(F.length(body) - 2, F.lit(0)))
-        value = (
-            F.when(is_quoted, strip(F.regexp_replace(inner, '""', '"')))
-            .when(is_bracketed, strip(inner))
-            .otherwise(body)
-        )
-        kind = F.when(is_quoted, "quoted").when(is_bracketed, "bracketed").otherwise("bare")
-        return F.struct(
-            value.alias("item_value"),
-            kind.alias("kind"),
-            (~is_quoted & body.startswith('"')).alias("malformed"),
-        )
-
     # Every item is read with the delimiter before it, so the first is given one of its own.
-    raws = F.regexp_extract_all(F.concat(F.lit("\x00"), F.coalesce(text, F.lit(""))), F.lit(grammar(packing)), 0)
-    return F.filter(F.transform(raws, shape), lambda v: v["item_value"] != "")
+    marked = F.concat(F.lit("\x00"), F.coalesce(text, F.lit("")))
+    found = {group: F.regexp_extract_all(marked, F.lit(grammar(packing)), group) for group in (BARE, QUOTED, *([BRACKETED] if packing.brackets else []))}
+
+    def inner(c: Column) -> Column:
+        return c.substr(F.lit(2), F.length(c) - 2)
+
+    def shape(bare: Column, quoted: Column, bracketed: Column) -> Column:
+        plain = strip(bare)
+        # One pass: of a doubled quote or an escaped character the second is kept.
+        unescaped = F.regexp_replace(inner(quoted), r'(?s)\\(.)|"(")' if packing.escapes else '"(")', "$1$2" if packing.escapes else "$1")
+        value = F.when(quoted != "", strip(unescaped)).when(bracketed != "", strip(inner(bracketed))).otherwise(plain)
+        kind = F.when(quoted != "", "quoted").when(bracketed != "", "bracketed").otherwise("bare")
+        odd = (kind == "bare") & (plain.startswith('"') | plain.endswith('"'))
+        return F.struct(value.alias("item_value"), kind.alias("kind"), odd.alias("malformed"))
+
+    if packing.brackets:
+        items = F.transform(F.arrays_zip(*[found[g].alias(n) for g, n in ((BARE, "a"), (QUOTED, "b"), (BRACKETED, "c"))]), lambda z: shape(z["a"], z["b"], z["c"]))
+    else:
+        items = F.zip_with(found[BARE], found[QUOTED], lambda a, b: shape(a, b, F.lit("")))
+    return F.filter(items, lambda v: v["item_value"] != "")
 
 
 def unpack(df: DataFrame, key: str, fields: dict[str, Packing]) -> DataFrame:

@@ -106,3 +106,15 @@ def test_flags(spark):
     df = spark.createDataFrame([(1, '"a"|"b c|d')], "id int, f string")
     rows = sorted(unpack(df, "id", {"f": REVIEWS}).collect(), key=lambda r: r.pos)
     assert [(r.item_value, r.kind, r.malformed) for r in rows] == [("a", "quoted", False), ('"b c', "bare", True), ("d", "bare", False)]
+
+
+def test_flags_follow_the_alternative(spark):
+    rows = [(1, 'tail"|"a" b|"x""y"|14" x'), (2, '"' + '""' * 60_000 + '"')]
+    got = sorted(unpack(spark.createDataFrame(rows, "id int, f string"), "id", {"f": REVIEWS}).collect(), key=lambda r: (r.id, r.pos))
+    assert [(r.item_value, r.kind, r.malformed) for r in got[:4]] == [('tail"', "bare", True), ('"a" b', "bare", True), ('x"y', "quoted", False), ('14" x', "bare", False)]
+    assert got[4].kind == "quoted" and got[4].item_value == '"' * 60_000
+
+
+def test_escapes(spark):
+    texts = [r'"a \"b\" \\"|c', r'"a ""b"" \| c"|d', r'a\"b|c']
+    assert values(spark, texts, Packing(r"\|", escapes=True)) == [['a "b" \\', "c"], ['a "b" | c', "d"], [r'a\"b', "c"]]
