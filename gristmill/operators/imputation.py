@@ -1,25 +1,29 @@
-"""Filling missing numbers from similar records by k-prototypes clusters.
+"""Filling missing numbers and categories from similar records by k-prototypes clusters.
 
 1. `fit_on` fits k prototypes (numeric centres and categorical modes) on all rows: each round assigns every
    row and sums up by prototype before the shuffle; a bounded sample gives the starting points only. Numeric
-   distance runs over the features a row has, so rows with gaps take part.
-2. `impute` assigns every row to its nearest prototype and takes, over all rows, the median of each
-   cluster; a gap is filled from the cluster, else from its parent (the first categorical feature),
-   else from the whole table, and each value carries the method that gave it.
+   distance runs over the features a row has, categorical distance over the categories it has, so rows with
+   gaps take part.
+2. `impute` assigns every row to its nearest prototype and takes, over all rows, the median or the mode of each
+   cluster within its parent (the first categorical feature but the field itself); a gap is filled from
+   there if `LEAST` rows are, else from the parent, else from the cluster at large, else from the whole
+   table, and each value carries the method that gave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from gristmill.functions.numbers import hash_below
 from gristmill.session import checkpointed
 
 #: Rows the starting prototypes are drawn from; scaling, rounds, assignment and medians cover all rows.
@@ -28,6 +32,8 @@ FIT_ROWS = 20_000
 CLUSTERS, ROUNDS = 32, 12
 #: Weight of one differing category against one standard deviation squared.
 GAMMA = 0.5
+#: Known values that a cluster within a parent must have for its median or mode to be taken.
+LEAST = 20
 #: Accuracy of the medians: at most one part in this of the rows off in rank.
 MEDIAN_ACCURACY = 10_000
 
@@ -55,14 +61,14 @@ class Prototypes:
         d *= (x.shape[1] / np.maximum(w.sum(1), 1.0))[:, None]
         for j in range(words.shape[1]):
             code, values = pd.factorize(words[:, j])
-            d += self.gamma * (values[:, None] != self.modes[:, j][None, :])[code]
+            d += self.gamma * ((values[:, None] != self.modes[:, j][None, :]) & (values != "")[:, None])[code]
         return d.argmin(1).astype(np.int32)
 
 
 def fit_prototypes(
     sample: pd.DataFrame, numeric: list[str], categorical: list[str], clusters: int = CLUSTERS, gamma: float = GAMMA, seed: int = 7
 ) -> Prototypes:
-    """K-prototypes on the rows of `sample`; null categories are a category of their own.
+    """K-prototypes on the rows of `sample`; null and empty categories are gaps.
 
     With fewer different rows than `clusters` there are as many prototypes as rows; an empty sample
     gives one prototype at the origin.
@@ -88,8 +94,9 @@ def fit_prototypes(
             n = seen.sum(0)
             centres[k] = np.where(n > 0, np.where(seen, z[own], 0).sum(0) / np.maximum(n, 1), centres[k])
             for j in range(words.shape[1]):
-                values, counts = np.unique(words[own, j].astype(str), return_counts=True)
-                modes[k, j] = values[counts.argmax()]
+                values, counts = np.unique(words[own & (words[:, j] != ""), j].astype(str), return_counts=True)
+                if len(values):
+                    modes[k, j] = values[counts.argmax()]
         if np.array_equal(centres, model.centres) and np.array_equal(modes, model.modes):
             break
         model = Prototypes(numeric, categorical, mean, scale, centres, modes, gamma)
@@ -142,7 +149,8 @@ def _round(base: DataFrame, model: Prototypes) -> list:
                 which, n = np.unique(at * np.int64(len(values)) + code, return_counts=True)
                 for i, more in zip(which.tolist(), n.tolist()):
                     key = i // len(values), values[i % len(values)]
-                    of[key] = of.get(key, 0) + more
+                    if key[1] != "":
+                        of[key] = of.get(key, 0) + more
         rows = [(int(k), int(j), None, float(sums[k, j]), int(counts[k, j])) for k, j in zip(*np.nonzero(counts))]
         rows += [(k, len(names) + j, v, None, n) for j, of in enumerate(seen) for (k, v), n in of.items()]
         columns = list(zip(*rows)) if rows else [()] * 5
@@ -161,6 +169,33 @@ def _features(b: pa.RecordBatch, names: list[str], words: list[str]) -> tuple[np
     return x, w
 
 
+def _modes(seen: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __found, __rows): the most frequent value of each group, the smaller among equals; counted map-side."""
+    counts = seen.groupBy(*keys, "__value").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("__value").alias("v")))["v"]
+    return counts.groupBy(*keys).agg(best.alias("__found"), F.sum("n").alias("__rows"))
+
+
+def _medians(seen: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __found, __rows): the median of each group, by map-side sketches."""
+    return seen.groupBy(*keys).agg(F.percentile_approx("__value", 0.5, MEDIAN_ACCURACY).alias("__found"), F.count("*").alias("__rows"))
+
+
+def _filled(long: DataFrame, typical: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """(__key, field_name, value, method, __cluster) of (__key, __cluster, __parent, field_name, __value)."""
+    # Small tables by cluster, parent and target. The parents are as many as the data have, so those tables
+    # are joined by whatever strategy their size allows.
+    seen = long.filter(F.col("__value").isNotNull())
+    levels = {"cluster": ["__cluster", "__parent"], "parent": ["__parent"], "wide_cluster": ["__cluster"], "global": []}
+    found, value, method = long, F.col("__value"), F.when(F.col("__value").isNotNull(), "observed")
+    for name, by in levels.items():
+        keys = [*by, "field_name"]
+        table = typical(seen, keys).filter(F.col("__rows") >= (LEAST if name == "cluster" else 1)).drop("__rows")
+        found = found.join(table.withColumnRenamed("__found", f"__of_{name}"), keys, "left")
+        value, method = F.coalesce(value, f"__of_{name}"), method.when(F.col(f"__of_{name}").isNotNull(), name)
+    return found.select("__key", "field_name", value.alias("value"), method.otherwise("none").alias("method"), "__cluster")
+
+
 def impute(
     df: DataFrame,
     key: str,
@@ -169,69 +204,72 @@ def impute(
     categorical: list[str],
     clusters: int = CLUSTERS,
     fit_rows: int = FIT_ROWS,
+    words: list[str] = (),
 ) -> DataFrame:
     """(key, field_name, value, method, cluster): one row per row of `df` and target field.
 
-    `numeric` holds double columns, targets among them if they are to steer the clusters. `method` is
-    `observed`, `cluster`, `parent` (the first of `categorical`), `global`, or `none` where the whole
-    column is null; NaN counts as null. Rows are not removed: repeated keys give a row each. Null
-    categories form a category. An empty table gives an empty result. Medians are taken per cluster
-    with map-side sketches, so one cluster may hold any share of the rows.
+    `targets` are number fields, `words` text fields filled with the most frequent value; where there are `words`, a
+    column `text_value` holds theirs. `numeric` holds double columns; a target among them steers the
+    clusters, which costs accuracy (see `masked_error`); `categorical` may hold targets. `method` is `observed`, `cluster` (within the parent), `parent` (the
+    first of `categorical` but the target itself), `wide_cluster` (of all parents), `global`, or `none` where the whole column is null; NaN counts as null, an
+    empty category as a gap. Rows are not removed: repeated keys give a row each. An empty table gives an empty
+    result. Medians and modes are taken with map-side sums, so one cluster may hold any share of the rows.
     """
     spark = df.sparkSession
     columns = list(dict.fromkeys([*numeric, *targets]))
     base = df.select(
         F.col(key).alias("__key"),
         *[F.when(~F.isnan(c), F.col(c).cast("double")).alias(f"__n_{c}") for c in columns],
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__c_{c}") for c in categorical],
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__c_{c}") for c in dict.fromkeys([*categorical, *words])],
     )
-    names, words = [f"__n_{c}" for c in numeric], [f"__c_{c}" for c in categorical]
-    sample = base.select(*names, *words).orderBy(F.xxhash64("__key"), *names, *words).limit(fit_rows).toPandas()
-    start = fit_prototypes(sample, names, words, clusters)
+    names, kinds = [f"__n_{c}" for c in numeric], [f"__c_{c}" for c in categorical]
+    sample = base.select(*names, *kinds).orderBy(F.xxhash64("__key"), *names, *kinds).limit(fit_rows).toPandas()
+    start = fit_prototypes(sample, names, kinds, clusters)
     # Written once: every round reads it, and the assignment.
     base = checkpointed(base)
-    model = spark.sparkContext.broadcast(fit_on(base, names, words, start) if len(sample) else start)
+    model = spark.sparkContext.broadcast(fit_on(base, names, kinds, start) if len(sample) else start)
 
     schema = StructType([*base.schema.fields, StructField("__cluster", IntegerType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            x, w = _features(b, names, words)
+            x, w = _features(b, names, kinds)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.assign(x, w))], names=[*b.schema.names, "__cluster"])
 
-    parent = words[0] if words else None
-    placed = base.mapInArrow(assign, schema).select(
-        "__key", "__cluster", (F.col(parent) if parent else F.lit("")).alias("__parent"), *[f"__n_{t}" for t in targets]
-    )
-    # Written once: three medians and the filling read it.
-    long = checkpointed(placed).select(
-        "__key",
-        "__cluster",
-        "__parent",
-        F.inline(F.array(*[F.struct(F.lit(t).alias("field_name"), F.col(f"__n_{t}").alias("__value")) for t in targets])),
-    )
-    median = F.percentile_approx("__value", 0.5, MEDIAN_ACCURACY)
-    # Three small tables: clusters x targets, parents x targets, targets. The parents are as many as the
-    # data have, so that table is joined by whatever strategy its size allows.
-    seen = long.filter(F.col("__value").isNotNull())
-    by_cluster = seen.groupBy("__cluster", "field_name").agg(median.alias("__of_cluster"))
-    by_parent = seen.groupBy("__parent", "field_name").agg(median.alias("__of_parent"))
-    overall = seen.groupBy("field_name").agg(median.alias("__of_all"))
-    filled = (
-        long.join(by_cluster, ["__cluster", "field_name"], "left")
-        .join(by_parent, ["__parent", "field_name"], "left")
-        .join(overall, ["field_name"], "left")
-    )
-    return filled.select(
-        F.col("__key").alias(key),
-        "field_name",
-        F.coalesce("__value", "__of_cluster", "__of_parent", "__of_all").alias("value"),
-        F.when(F.col("__value").isNotNull(), "observed")
-        .when(F.col("__of_cluster").isNotNull(), "cluster")
-        .when(F.col("__of_parent").isNotNull(), "parent")
-        .when(F.col("__of_all").isNotNull(), "global")
-        .otherwise("none")
-        .alias("method"),
-        F.col("__cluster").alias("cluster"),
-    )
+    def parent(target: str) -> Column:
+        others = [c for c in categorical if c != target]
+        return F.nullif(F.col(f"__c_{others[0]}"), F.lit("")) if others else F.lit(None).cast("string")
+
+    def long(fields: list[str], prefix: str, empty: Column) -> DataFrame:
+        cells = [F.struct(F.lit(t).alias("field_name"), F.nullif(F.col(f"{prefix}{t}"), empty).alias("__value"), parent(t).alias("__parent")) for t in fields]
+        return placed.select("__key", "__cluster", F.inline(F.array(*cells)))
+
+    # Written once: the medians, the modes and the filling read it.
+    placed = checkpointed(base.mapInArrow(assign, schema).select("__key", "__cluster", *[c for c in base.columns if c != "__key"]))
+    out = []
+    if targets:
+        out.append(_filled(long(targets, "__n_", F.lit(None).cast("double")), _medians))
+    if words:
+        texts = _filled(long(list(words), "__c_", F.lit("")), _modes).withColumnRenamed("value", "text_value")
+        out = [d.withColumn("text_value", F.lit(None).cast("string")) for d in out]
+        out.append(texts.withColumn("value", F.lit(None).cast("double")))
+    filled = functools.reduce(DataFrame.unionByName, out)
+    return filled.select(F.col("__key").alias(key), "field_name", "value", *(["text_value"] if words else []), "method", F.col("__cluster").alias("cluster"))
+
+
+def masked_error(df: DataFrame, key: str, target: str, numeric: list[str], categorical: list[str], of_target: list[str] = (), share: float = 0.1) -> DataFrame:
+    """(field_name, way, n, error): how far filled values are from known ones that were hidden from the operator.
+
+    About `share` of the known values of `target`, by hash of the key, are taken away and filled; `way` is `filled` for the
+    operator's values and `parent` for the median of the first categorical feature alone. The error is the mean absolute one.
+    `of_target` are features computed from the target, hidden with it.
+    """
+    hide = F.col(target).isNotNull() & (F.xxhash64(F.lit("masked"), F.col(key).cast("string")) <= hash_below(share * 2**32, 2**32))
+    kept = checkpointed(df.withColumns({"__known": F.col(target), **{c: F.when(~hide, F.col(c)) for c in (target, *of_target)}}))
+    got = impute(kept, key, [target], numeric, categorical).filter("method <> 'observed'").select(key, F.col("value").alias("filled"))
+    medians = kept.groupBy(F.col(categorical[0]).alias("__p")).agg(F.percentile_approx(target, 0.5, MEDIAN_ACCURACY).alias("parent"))
+    hidden = kept.filter(F.col("__known").isNotNull() & F.col(target).isNull()).select(key, "__known", F.col(categorical[0]).alias("__p"))
+    both = hidden.join(got, key).join(medians, "__p", "left")
+    cells = F.array(*[F.struct(F.lit(w).alias("way"), F.abs(F.col(w) - F.col("__known")).alias("e")) for w in ("filled", "parent")])
+    return both.select(F.inline(cells)).groupBy("way").agg(F.count("e").alias("n"), F.round(F.avg("e"), 4).alias("error")).select(F.lit(target).alias("field_name"), "way", "n", "error")

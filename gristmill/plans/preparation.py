@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.numbers import read_count, read_money, read_rating
-from gristmill.operators.imputation import impute
+from gristmill.operators.imputation import impute, masked_error
 from gristmill.operators.packed import CATEGORY, REVIEWS, split_values, unpack
 from gristmill.sources.tables import table
 
@@ -30,15 +30,25 @@ def _offers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The fields to be filled steer no cluster: clusters that differ by them would be told apart by chance where they are missing.
+FEATURES, KINDS = ["log_price", "log_list_price"], ["leaf_category", "top_category"]
+
+
 def p5_filled(spark: SparkSession, sf: str) -> DataFrame:
     """Every rating and rating_count of the catalogue, read or filled, with the method that gave it."""
-    return impute(
-        _offers(spark, sf),
-        "product_id",
-        ["rating", "rating_count"],
-        ["log_price", "log_list_price", "rating", "log_count"],
-        ["leaf_category", "top_category"],
-    )
+    return impute(_offers(spark, sf), "product_id", ["rating", "rating_count"], FEATURES, KINDS)
+
+
+def p5_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """The category levels and the rating of every offer, read or filled with the mode or median of its cluster."""
+    return impute(_offers(spark, sf), "product_id", ["rating"], FEATURES, KINDS, words=KINDS)
+
+
+def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean absolute error of filled values where a tenth of the known ones was hidden, beside that of category medians."""
+    offers = _offers(spark, sf)
+    counts = masked_error(offers, "product_id", "log_count", FEATURES, KINDS)
+    return masked_error(offers, "product_id", "rating", FEATURES, KINDS).unionByName(counts)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +66,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_values(spark, sf).select("product_id", "field_name", "pos", "item_value")
 
 
-QUERIES = {"p5_found": p5_found, "p5_filled": p5_filled, "p6_found": p6_found, "p6_values": p6_values}
+QUERIES = {"p5_found": p5_found, "p5_filled": p5_filled, "p5_categories": p5_categories, "p5_masked": p5_masked, "p6_found": p6_found, "p6_values": p6_values}
 
 SQL = {
     "p5_found": """

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gristmill.functions.numbers import has_digit, read_count, read_money, read_rating
-from gristmill.operators.imputation import fit_on, fit_prototypes, impute
+from gristmill.operators.imputation import fit_on, fit_prototypes, impute, masked_error
 
 SCHEMA = "k string, kind string, price double, rating double, value string"
 
@@ -80,3 +80,23 @@ def test_numbers(spark):
     assert [r.c for r in df.select(read_rating(F.col("t")).alias("c")).collect()] == [4.0, 3.7, 4.2, 4.0, 4.1, None, None]
     df = spark.createDataFrame([("₹1,099",), ("free",), (None,)], "t string")
     assert [tuple(r) for r in df.select(read_money(F.col("t")), has_digit(F.col("t"))).collect()] == [(1099.0, True), (None, False), (None, False)]
+
+
+def test_categories_are_filled_by_mode(spark):
+    rows = [(str(i), "dear" if i % 2 else "cheap", 100.0 + 900 * (i % 2) + i % 5, 1.0, "gold" if i % 2 and i % 10 != 1 else "tin") for i in range(200)]
+    rows += [("gap1", None, 1001.0, None, None), ("gap0", None, 101.0, 1.0, ""), ("half", "dear", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.k, r.field_name): r for r in impute(df, "k", ["rating"], ["price"], ["kind", "value"], clusters=4, words=["value", "kind"]).collect()}
+    assert len(got) == 3 * len(rows) and got["gap1", "rating"].value == 1.0 and got["gap1", "rating"].text_value is None
+    assert (got["gap1", "kind"].text_value, got["gap0", "kind"].text_value) == ("dear", "cheap") and got["gap1", "kind"].method == "wide_cluster"
+    assert (got["gap1", "value"].text_value, got["gap0", "value"].text_value, got["half", "value"].text_value) == ("gold", "tin", "gold")
+    assert got["1", "value"].method == "observed" and got["1", "value"].text_value == "tin" and got["1", "value"].value is None
+    empty = impute(df.limit(0), "k", ["rating"], ["price"], ["kind"], words=["value"])
+    assert empty.count() == 0 and empty.columns == ["k", "field_name", "value", "text_value", "method", "cluster"]
+
+
+def test_masked_error_is_no_worse_than_the_parents(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(i), "ab"[i % 2], float(i % 4 > 1) * 100, (i % 2) * 2.0 + (i % 4 > 1) * 1.0 + float(rng.normal(0, 0.05)), "") for i in range(2000)]
+    got = {r.way: r for r in masked_error(spark.createDataFrame(rows, SCHEMA), "k", "rating", ["price", "rating"], ["kind"]).collect()}
+    assert got["filled"].n == got["parent"].n > 100 and got["filled"].error < 0.1 < got["parent"].error
