@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,10 @@ def run_chunks(df: DataFrame, key: str, chunk: int, folder: str, work: Callable[
     spark = df.sparkSession
     try:
         done = spark.read.parquet(folder).select("chunk_id").distinct()
-    except Exception:  # nothing written yet
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        # Nothing is written yet.
         done = spark.createDataFrame([], "chunk_id bigint")
     left = pending_chunks(df, key, chunk, done)
     n = left.count()

@@ -16,6 +16,7 @@ from gristmill.operators import relational as R
 from gristmill.operators import reviews as V
 from gristmill.plans import texts as X
 from gristmill.sources import files
+from gristmill.session import shared_folder
 from gristmill.sources.tables import table
 from gristmill.streaming import events as E
 
@@ -229,7 +230,7 @@ def cache_keys(s, sf):
 
 
 def _folder(s: SparkSession, name: str) -> str:
-    shared = s.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    shared = shared_folder(s)
     return f"{shared.rstrip('/')}/{name}-{s.sparkContext.applicationId}" if shared else tempfile.mkdtemp(prefix=f"gristmill-{name}-")
 
 

@@ -20,12 +20,23 @@ def build_session(app: str = "gristmill", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.ui.showConsoleProgress": "false",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (defaults | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder for intermediate data that all executors share, `spark.checkpoint.dir`; None where it is unset on one machine."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if configured is None and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return configured
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder the cluster names.
 
@@ -35,10 +46,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-        if configured is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gristmill-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="gristmill-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
