@@ -223,10 +223,10 @@ def impute(
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__c_{c}") for c in dict.fromkeys([*categorical, *words])],
     )
     names, kinds = [f"__n_{c}" for c in numeric], [f"__c_{c}" for c in categorical]
+    # Written once: the sample, every round and the assignment read it.
+    base = checkpointed(base)
     sample = base.select(*names, *kinds).orderBy(F.xxhash64("__key"), *names, *kinds).limit(fit_rows).toPandas()
     start = fit_prototypes(sample, names, kinds, clusters)
-    # Written once: every round reads it, and the assignment.
-    base = checkpointed(base)
     model = spark.sparkContext.broadcast(fit_on(base, names, kinds, start) if len(sample) else start)
 
     schema = StructType([*base.schema.fields, StructField("__cluster", IntegerType())])
