@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,41 +32,59 @@ WEIGHTS = {"word_list": 1.0, "deep": 1.5, "cloud": 1.2, "cloud_failed": 0.0}
 _AFTER = r"($|[^\p{L}\p{N}_])"
 
 
-def _matches(low: Column, weights: dict[str, float], patterns: list[str]) -> tuple[Column, Column, Column]:
-    """(sum of weights, number of matches, number of patterns) of the different words and patterns of a text."""
-    different = F.array_distinct(words(low))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hits(low: Column, lists: list[list[str]]) -> Column:
+    """The different words of a text that stand in any of the lists; one look at the text for all of them."""
+    every = list(dict.fromkeys(w for ws in lists for w in ws))
+    return F.array_intersect(F.split(low, " "), F.array(*[F.lit(w) for w in every]))
+
+
+def _matches(low: Column, hits: Column, weights: dict[str, float], patterns: list[str]) -> tuple[Column, Column, Column]:
+    """(sum of weights, number of matches, number of patterns) of the words hit and the patterns of a text."""
     by_weight: dict[float, list[str]] = {}
     for w, x in weights.items():
         by_weight.setdefault(x, []).append(w)
     total, count, hit = F.lit(0.0), F.lit(0), F.lit(0)
     for x, ws in by_weight.items():
-        n = F.size(F.array_intersect(different, F.array(*[F.lit(w) for w in ws])))
+        n = F.size(F.array_intersect(hits, F.array(*[F.lit(w) for w in ws])))
         total, count = total + n * F.lit(x), count + n
-    for p in [*[p + _AFTER for p in patterns], ACCENTS]:
-        hit = hit + low.rlike(p).cast("int")
+    for p in patterns:
+        # The plain search is cheap and rules out most texts.
+        hit = hit + (low.contains(p) & low.rlike(p + _AFTER)).cast("int")
+    hit = hit + low.rlike(ACCENTS).cast("int")
     return total + hit * F.lit(0.8), count + hit, hit
 
 
 def word_list(text: Column) -> Column:
     """STRUCT(language, confidence, method_used): pt by weighted words and endings, else en by two English words."""
-    low = collapsed(F.lower(text_of(text)))
-    total, count, hit = _matches(low, PORTUGUESE, PATTERNS)
-    mean = F.when(count > 0, total / count).otherwise(F.lit(0.0))
-    pt = F.when((hit > 0) & (count > 2), F.least(mean + 0.1, F.lit(1.0))).otherwise(mean)
-    english = F.size(F.array_intersect(F.array_distinct(words(low)), F.array(*[F.lit(w) for w in ENGLISH])))
-    language = F.when(pt > 0.5, "pt").when(english > 1, "en").otherwise("unknown")
-    confidence = F.when(pt > 0.5, pt).when(english > 1, english * F.lit(0.1) + 0.6).otherwise(F.lit(0.0))
-    return F.struct(language.alias("language"), confidence.alias("confidence"), F.lit("word_list").alias("method_used"))
+
+    def judged(low: Column, hits: Column) -> Column:
+        total, count, hit = _matches(low, hits, PORTUGUESE, PATTERNS)
+        mean = F.when(count > 0, total / count).otherwise(F.lit(0.0))
+        pt = F.when((hit > 0) & (count > 2), F.least(mean + 0.1, F.lit(1.0))).otherwise(mean)
+        english = F.size(F.array_intersect(hits, F.array(*[F.lit(w) for w in ENGLISH])))
+        language = F.when(pt > 0.5, "pt").when(english > 1, "en").otherwise("unknown")
+        confidence = F.when(pt > 0.5, pt).when(english > 1, english * F.lit(0.1) + 0.6).otherwise(F.lit(0.0))
+        return F.struct(language.alias("language"), confidence.alias("confidence"), F.lit("word_list").alias("method_used"))
+
+    return _bound(collapsed(F.lower(text_of(text))), lambda low: _bound(_hits(low, [[*PORTUGUESE], ENGLISH]), lambda hits: judged(low, hits)))
 
 
 def word_list_v1(text: Column) -> Column:
     """The older detector: pt above 0.3, else en; unknown for blank texts."""
-    low = F.trim(F.lower(text_of(text)))
-    total, count, _ = _matches(low, PORTUGUESE_V1, PATTERNS_V1)
-    blank = collapsed(low) == ""
-    confidence = F.when(~blank & (count > 0), total / count).otherwise(F.lit(0.0))
-    language = F.when(blank, "unknown").when(confidence > 0.3, "pt").otherwise("en")
-    return F.struct(language.alias("language"), confidence.alias("confidence"), F.lit("word_list").alias("method_used"))
+
+    def judged(low: Column, hits: Column) -> Column:
+        total, count, _ = _matches(low, hits, PORTUGUESE_V1, PATTERNS_V1)
+        blank = collapsed(low) == ""
+        confidence = F.when(~blank & (count > 0), total / count).otherwise(F.lit(0.0))
+        language = F.when(blank, "unknown").when(confidence > 0.3, "pt").otherwise("en")
+        return F.struct(language.alias("language"), confidence.alias("confidence"), F.lit("word_list").alias("method_used"))
+
+    return _bound(F.trim(F.lower(text_of(text))), lambda low: _bound(_hits(collapsed(low), [[*PORTUGUESE_V1]]), lambda hits: judged(low, hits)))
 
 
 def indicator_share(text: Column) -> Column:

@@ -91,13 +91,26 @@ def review_boost(candidates: DataFrame, reviews: DataFrame, top: int = 20, weigh
     return r.withColumn(score, F.when(F.col("rank") <= top, F.col(score) + gain).otherwise(F.col(score)))
 
 
-def rerank(candidates: DataFrame, semantic: Column, top: int = 10, share: float = 0.3, score: str = "hybrid_score") -> DataFrame:
-    """The first `top` of each query by share * (score scaled to 0..10) + (1 - share) * semantic; the rest are dropped."""
-    first = head(candidates, score, top).drop("rank").withColumn("normalized_score", minmax(score, scale=10.0)).withColumn("semantic_score", semantic)
+def rerank(candidates: DataFrame, semantic: Column, top: int = 10, share: float = 0.3, score: str = "hybrid_score", places: str | None = None) -> DataFrame:
+    """The first `top` of each query by share * (score scaled to 0..10) + (1 - share) * semantic; the rest are dropped.
+
+    Who is first says the score, or the column `places`."""
+    first = candidates.filter(F.col(places) <= top).drop(places) if places else head(candidates, score, top).drop("rank")
+    first = first.withColumn("normalized_score", minmax(score, scale=10.0)).withColumn("semantic_score", semantic)
     final = F.col("normalized_score") * share + F.col("semantic_score") * (1 - share)
     return ranked(first.withColumn("final_score", F.round(final, 6)), "final_score")
 
 
+def below(value: Column, bound: Column) -> Column:
+    """True where a value is below a bound, strictly; a bound of null or 0 is none, and a null or NaN value fails any other."""
+    return bound.isNull() | (bound == 0) | F.coalesce((value < bound) & ~F.isnan(value), F.lit(False))
+
+
+def within(value: Column, low: float, high: float) -> Column:
+    """The value clamped to [low, high]; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+
+
 def hit_at_k(results: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, reciprocal_rank, hit): where each query's target (query_id, doc_id) came out; 0 where it didn't."""
     found = targets.join(results.select(*KEYS, "rank"), KEYS, "left").groupBy("query_id").agg(F.min("rank").alias("rank"))

@@ -44,21 +44,33 @@ class Captioner(Protocol):
 
 
 class HashingEncoder:
-    """Feature-hashed bag of words of unit length; empty texts give the zero vector. Needs no model."""
+    """Feature-hashed bag of words of unit length; empty texts give the zero vector. Needs no model.
 
-    def __init__(self, dim: int = 64):
-        self.dim = dim
+    The first 32 bits of a word's MD5 give its dimension (modulo `dim`) and, by bit 16, its sign, so SQL can say the same.
+    """
+
+    def __init__(self, dim: int = 64, remembered: int = 300_000):
+        self.dim, self.remembered = dim, remembered
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def place(self, word: str) -> tuple[int, float]:
+        """(dimension, sign) of a word."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > self.remembered:
+                self.known.clear()
+            h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+            found = self.known[word] = h % self.dim, 1.0 if h >> 16 & 1 else -1.0
+        return found
 
     def encode(self, items: list) -> list[list[float] | None]:
-        out = []
-        for t in items:
-            v = np.zeros(self.dim)
+        x = np.zeros((len(items), self.dim))
+        for i, t in enumerate(items):
             for w in re.findall(r"\w+", (t or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % self.dim] += 1.0 if (h >> 40) & 1 else -1.0
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).tolist())
-        return out
+                d, sign = self.place(w)
+                x[i, d] += sign
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return (x / np.where(n > 0, n, 1.0)).tolist()
 
 
 class ConstantScorer:
