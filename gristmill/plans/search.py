@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions import vectors as V
-from gristmill.functions.numbers import read_count, read_rating
+from gristmill.functions.numbers import read_count, read_money, read_rating
 from gristmill.operators import analysis as A
 from gristmill.operators import dense, fusion, sparse
 from gristmill.operators.plugins import encode
@@ -79,9 +80,9 @@ def _counts_sql(tok: str) -> str:
 _QUERIES_SQL = "queries AS (SELECT DISTINCT query_id, query_text AS text FROM search_results)"
 
 
-def _bm25_sql(frequency: str = "cf") -> str:
+def _bm25_sql(frequency: str = "cf", before: str = "", queries: str = _QUERIES_SQL) -> str:
     return f"""
-    WITH {_counts_sql(_STOK)},
+    WITH {before} {_counts_sql(_STOK)},
     n AS (SELECT count(*)::DOUBLE AS n FROM documents),
     vocabulary AS (
         SELECT term, cf, df, ln(((SELECT n FROM n) + 1.0::DOUBLE) / ({frequency} + 0.5::DOUBLE)) AS idf
@@ -90,7 +91,7 @@ def _bm25_sql(frequency: str = "cf") -> str:
     docs AS (
         SELECT d.doc_id, coalesce(l.dl, 0)::BIGINT AS dl FROM documents d
         LEFT JOIN (SELECT doc_id, sum(tf) AS dl FROM postings GROUP BY doc_id) l USING (doc_id)),
-    {_QUERIES_SQL},
+    {queries},
     terms AS (SELECT DISTINCT query_id, unnest({_STOK}) AS term FROM queries),
     scored AS (
         SELECT query_id, doc_id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avg(dl) FROM docs)))), 6) AS score
@@ -134,9 +135,8 @@ def self_retrieval(s, sf):
 
 
 def unit_norm_check(s, sf):
-    df = table(s, sf, "combined_embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
-    u = table(s, sf, "combined_embeddings").select("vec_id", F.round(V.norm(V.unit(F.col("embedding"))), 6).alias("unit_norm"))
-    return df.join(u, "vec_id")
+    v = F.col("embedding")
+    return table(s, sf, "combined_embeddings").select("vec_id", F.round(V.norm(v), 6).alias("norm"), F.round(V.norm(V.unit(v)), 6).alias("unit_norm"))
 
 
 def pair_similarity(s, sf):
@@ -246,9 +246,9 @@ def boosted_search(s, sf):
     return fusion.head(c, "hybrid_score", K).select("query_id", "doc_id", F.col("hybrid_score").alias("score"), "rank")
 
 
-def _numbered_offers(s: SparkSession, sf: str) -> DataFrame:
+def _numbered_offers(s: SparkSession, sf: str, *more: str) -> DataFrame:
     """Every offer under a number, `doc_id`, in the order of its product_id, with the text that is searched."""
-    offers = table(s, sf, "catalog_raw").select("product_id", "product_name", "category", "about_product", "review_content", "rating", "rating_count").distinct()
+    offers = table(s, sf, "catalog_raw").select("product_id", "product_name", "category", "about_product", "review_content", "rating", "rating_count", *more).distinct()
     text = F.concat_ws(" ", "product_name", "category", "about_product")
     return checkpointed(offers.orderBy("product_id").select(F.monotonically_increasing_id().alias("doc_id"), "*", text.alias("text")))
 
@@ -283,6 +283,30 @@ def hybrid_search(s, sf):
     return _for_all_who_ask(s, sf, fusion.head(c, "score", K), texts)
 
 
+def hybrid_reranked(s, sf):
+    """The whole course of a search: analysis, two pools of all offers, keep-first merging, the bound of the query, boosts,
+    rules, reviews on the first 20, reranking of the first 10."""
+    offers, texts = _numbered_offers(s, sf, "discounted_price"), checkpointed(_texts(s, sf))
+    words = sparse.search_bm25(sparse.fit_bm25(offers, "doc_id", "text"), texts, POOL)
+    words = words.select("query_id", "doc_id", F.col("score").alias("bm25_score"))
+    near = _nearest(offers, texts, "text", POOL, "vector_score")
+    c = fusion.fuse(fusion.merge_candidates(words, near), {"bm25_score": 0.4, "vector_score": 0.6})
+    asked = texts.select("query_id", A.analyse(F.col("text")).alias("a"))
+    c = c.join(asked, "query_id").join(offers.drop("text", "rating_count"), "doc_id")
+    c = c.filter(fusion.below(read_money(F.col("discounted_price")), F.col("a.price_constraint")))
+    everything = F.concat_ws(" ", "product_name", "category", "about_product", "review_content")
+    gain = fusion.path_boost(F.col("category"), A.category_terms(F.col("a.product_type"))) + fusion.feature_boost(everything, F.col("a.key_features"))
+    scored = c.select("query_id", "doc_id", F.round(F.col("hybrid_score") + gain, 9).alias("hybrid_score"))
+    # Rules are data: the first offer of all is pinned to every query that asks for a cable.
+    first = offers.select(F.min("doc_id")).scalar()
+    rules = asked.filter("a.product_type = 'cable'").select("query_id", first.alias("doc_id"), F.lit(3.0).alias("boost"))
+    scored = fusion.rule_boost(scored, rules, offers.select("doc_id"))
+    reviews = offers.select("doc_id", (read_rating(F.col("rating")) / 5).alias("review_score"))
+    scored = fusion.review_boost(scored, reviews).drop("review_score").join(offers.select("doc_id", "product_name", "about_product"), "doc_id")
+    top = fusion.rerank(scored, A.wording_boost(F.concat_ws(" ", "product_name", "about_product")), places="rank")
+    return _for_all_who_ask(s, sf, top.filter(F.col("rank") <= 5).withColumn("score", F.col("final_score")).join(offers.select("doc_id", "product_id"), "doc_id"), texts)
+
+
 def rule_boost(s, sf):
     """Rules as data: each query's last candidate by id is lifted, and an offer of every second query comes in."""
     c = _hybrid(s, sf, "outer")
@@ -295,7 +319,7 @@ def rule_boost(s, sf):
 
 
 def review_boost(s, sf):
-    ratings = table(s, sf, "catalog_raw").select(F.col("product_id").alias("doc_id"), (F.regexp_extract("rating", r"^(\d\.\d)$", 1).try_cast("double") / 5).alias("r"))
+    ratings = table(s, sf, "catalog_raw").select(F.col("product_id").alias("doc_id"), (read_rating(F.col("rating")) / 5).alias("r"))
     ratings = ratings.groupBy("doc_id").agg(F.max("r").alias("review_score"))
     out = fusion.review_boost(_hybrid(s, sf, "outer"), ratings)
     return out.select("query_id", "doc_id", F.round("hybrid_score", 9).alias("score"), "rank")
@@ -316,28 +340,14 @@ def custom_boost(s, sf):
     return table(s, sf, "documents").select("doc_id", A.wording_boost(F.col("text")).alias("boost"))
 
 
-def multimodal_search(s, sf):
-    """Two dense lists, weighted 1.5 and 0.5, with popularity over the largest of the query."""
-    df = table(s, sf, "search_results").distinct()
-    c = fusion.merge_candidates(
-        df.select("query_id", F.col("product_id").alias("doc_id"), F.col("vector_score").alias("text_score"), F.col("price_usd")),
-        df.select("query_id", F.col("product_id").alias("doc_id"), F.col("bm25_score_norm").alias("image_score")),
-        "outer",
-    ).filter(F.col("price_usd").isNotNull())
-    score = F.coalesce("text_score", F.lit(0.0)) * 1.5 + F.coalesce("image_score", F.lit(0.0)) * 0.5 + fusion.over_max("price_usd", "query_id") * 0.5
-    c = c.withColumn("score", F.round(score, 9))
-    return fusion.head(c, "score", 5).select("query_id", "doc_id", "score", "rank")
-
-
-def multimodal_improved(s, sf):
-    """Two dense pools over all offers, weighted 1.5 and 0.5, with gains by category, keywords, rating and popularity.
+def _multimodal(s: SparkSession, sf: str, pools: tuple[int, int], categories: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, Column]:
+    """Candidates of two dense pools over all offers with their facts, the query texts, and the score both multimodal searches share.
 
     The first pool is by the whole text; the second by the name, which stands for the picture. Without price terms.
     """
-    k = 5
     offers, texts = _numbered_offers(s, sf), checkpointed(_texts(s, sf))
-    pools = _nearest(offers, texts, "text", 50 * k, "text_score"), _nearest(offers, texts, "product_name", 20 * k, "image_score")
-    c = checkpointed(fusion.merge_candidates(*pools))
+    found = _nearest(offers, texts, "text", pools[0], "text_score"), _nearest(offers, texts, "product_name", pools[1], "image_score")
+    c = checkpointed(fusion.merge_candidates(*found))
     w, v = sparse.fit_tfidf(offers, "doc_id", "text", T.is_long_token, 5000)
     keyword = sparse.score_tfidf(w, v, texts, T.is_long_token, c).withColumnRenamed("score", "keyword_score")
     kinds = texts.select("query_id", A.product_type(F.col("text")).alias("kind"))
@@ -345,23 +355,46 @@ def multimodal_improved(s, sf):
     c = c.join(keyword, fusion.KEYS, "left").join(kinds, "query_id").join(facts, "doc_id")
     zero = F.lit(0.0)
     score = F.coalesce("text_score", zero) * 1.5 + F.coalesce("image_score", zero) * 0.5
-    score += fusion.path_boost(F.col("category"), A.multimodal_categories(F.col("kind"))) + F.coalesce("keyword_score", zero) * 1.5
+    score += fusion.path_boost(F.col("category"), categories(F.col("kind"))) + F.coalesce("keyword_score", zero) * 1.5
+    return c, texts, score
+
+
+def multimodal_search(s, sf):
+    """Both pools of 250, the narrow category lists, keywords."""
+    c, texts, score = _multimodal(s, sf, (250, 250), lambda kind: F.slice(A.multimodal_categories(kind), 1, 1))
+    return _for_all_who_ask(s, sf, fusion.head(c.withColumn("score", F.round(score, 9)), "score", 5), texts)
+
+
+def multimodal_improved(s, sf):
+    """Pools of 250 and 100, wide category lists, keywords, rating and popularity."""
+    c, texts, score = _multimodal(s, sf, (250, 100), A.multimodal_categories)
     score += F.col("rating") / 5 + fusion.over_max("count", "query_id") * 0.5
-    return _for_all_who_ask(s, sf, fusion.head(c.withColumn("score", F.round(score, 9)), "score", k), texts)
+    return _for_all_who_ask(s, sf, fusion.head(c.withColumn("score", F.round(score, 9)), "score", 5), texts)
 
 
 def demo_search(s, sf):
-    """Keyword score plus boosts with labels of relevance, over all offers."""
+    """Keyword score plus boosts with labels of relevance, over all offers; an offer without either does not come out.
+
+    Offers without a keyword differ only in the kinds and features they have, so of each such profile the first five can
+    come out at most; they meet the queries through what both have.
+    """
+    queries, k = _queries(s, sf), 5
     offers = _offers(s, sf).select("doc_id", "category", F.concat_ws(" ", "product_name", "category", "about_product").alias("text"))
+    kinds, features = [name for name, _ in A.DEMO_TYPES], [name for name, _ in A.DEMO_FEATURES]
+    has = [F.when(F.coalesce(F.contains(F.lower("category"), F.lit(x)), F.lit(False)), F.lit(x)) for x in kinds]
+    has += [F.when(F.contains(F.lower("text"), F.lit(x)), F.lit(x)) for x in features]
+    profiles = checkpointed(offers.select("doc_id", F.array_compact(F.array(*has)).alias("has")))
+    kind = F.nullif(A.product_type(F.col("text"), A.DEMO_TYPES), F.lit(""))
+    wants = checkpointed(queries.select("query_id", F.array_compact(F.array_append(A.key_features(F.col("text"), A.DEMO_FEATURES), kind)).alias("wants")))
     w, v = sparse.fit_tfidf(offers, "doc_id", "text", T.is_long_token, 5000)
-    top = sparse.search_tfidf(w, v, _queries(s, sf), T.is_long_token, 100).withColumnRenamed("rank", "keyword_rank")
-    q = _queries(s, sf).select("query_id", A.product_type(F.col("text"), A.DEMO_TYPES).alias("kind"), A.key_features(F.col("text"), A.DEMO_FEATURES).alias("features"))
-    c = top.join(q, "query_id").join(offers, "doc_id")
-    kind = F.when((F.col("kind") != "") & F.coalesce(F.contains(F.lower("category"), F.col("kind")), F.lit(False)), 2.0).otherwise(0.0)
-    semantic = kind + fusion.feature_boost(F.col("text"), F.col("features"))
-    c = c.withColumn("semantic", semantic).withColumn("final_score", F.round(F.col("score") + F.col("semantic"), 6))
-    c = fusion.head(c, "final_score", 5)
-    return c.select(
+    hits = sparse.hits_tfidf(w, v, queries, T.is_long_token)
+    first = sparse.top_k(profiles.filter(F.size("has") > 0), "has", [F.col("doc_id")], k)
+    met = wants.select("query_id", F.explode("wants").alias("one")).join(first.select("doc_id", F.explode("has").alias("one")), "one")
+    c = hits.unionByName(met.select("query_id", "doc_id", F.lit(0.0).alias("score"))).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    both = c.join(wants, "query_id").join(profiles, "doc_id").withColumn("both", F.array_intersect("has", "wants"))
+    semantic = F.aggregate("both", F.lit(0.0), lambda a, x: a + F.when(x.isin(kinds), 2.0).otherwise(0.5))
+    c = both.withColumn("semantic", semantic).withColumn("final_score", F.round(F.col("score") + F.col("semantic"), 6)).filter("final_score > 0")
+    return fusion.head(c, "final_score", k).select(
         "query_id", "doc_id", "final_score", "rank",
         fusion.relevance_label(F.col("score"), 0.1, 0.2).alias("keyword_label"), fusion.relevance_label(F.col("semantic"), 1, 2).alias("semantic_label"),
     )
@@ -411,7 +444,7 @@ QUERIES = {
     "l2_topk": partial(vector_topk, metric="l2"), "self_retrieval": self_retrieval, "unit_norm_check": unit_norm_check,
     "pair_similarity": pair_similarity, "zscore_stats": zscore_stats, "zscore_concat": zscore_concat, "ivf_topk": ivf_topk, "ivf_recall": ivf_recall,
     "hybrid_keep_first": partial(hybrid, how="keep_first"), "hybrid_outer": partial(hybrid, how="outer"), "category_boost": category_boost,
-    "feature_boost": feature_boost, "boosted_search": boosted_search, "hybrid_search": hybrid_search, "rule_boost_inject": rule_boost, "review_boost": review_boost,
+    "feature_boost": feature_boost, "boosted_search": boosted_search, "hybrid_search": hybrid_search, "hybrid_reranked": hybrid_reranked, "rule_boost_inject": rule_boost, "review_boost": review_boost,
     "rerank_fusion": rerank_fusion, "constant_rerank": constant_rerank, "custom_boost": custom_boost, "multimodal_search": multimodal_search, "multimodal_improved": multimodal_improved,
     "demo_search": demo_search, "rank_of_target": rank_of_target, "union_dedup_keep_first": union_dedup_keep_first,
     "query_analysis_rules": query_analysis_rules, "price_constraint_extract": price_constraint_extract, "json_repair_parse": json_repair_parse,
@@ -462,6 +495,94 @@ _RERANK = f""", first AS (
 
 _OUTER = _fused_sql("merged_outer")
 
+_RATING = "try_cast(replace(nullif(regexp_extract(rating, '([0-9]+([.,][0-9]{1,2})?)', 1), ''), ',', '.') AS DOUBLE)"
+_COUNT = """(try_cast(regexp_replace(nullif(regexp_extract(lower(rating_count), '([0-9]+([,\\s][0-9]+)*([.][0-9]+)?)', 1), ''), '[,\\s]', '', 'g') AS DOUBLE)
+    * CASE regexp_extract(lower(rating_count), '[0-9]\\s*(k|m|lakh)\\b', 1) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'lakh' THEN 100000 ELSE 1 END)"""
+_MONEY = "try_cast(replace(nullif(regexp_extract(discounted_price, '([0-9][0-9,]*([.][0-9]+)?)', 1), ''), ',', '') AS DOUBLE)"
+#: All offers as documents, and the different query texts.
+_ALL_OFFERS = """documents AS (
+        SELECT product_id AS doc_id, concat_ws(' ', product_name, category, about_product) AS text, * FROM (
+            SELECT DISTINCT product_id, product_name, category, about_product, review_content, rating, rating_count, discounted_price FROM catalog_raw)),"""
+_ALL_TEXTS = "queries AS (SELECT query_text AS text, min(query_id) AS query_id FROM search_results GROUP BY query_text)"
+
+
+def _encoded_sql(source: str, key: str, column: str, to: str) -> str:
+    """The hashing encoder in SQL: components `<to>_v` and lengths `<to>_n` of the vectors of a column."""
+    return f"""{to}_h AS (
+        SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT {key}, unnest(regexp_extract_all(lower(coalesce({column}, '')), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {source})),
+    {to}_v AS (SELECT {key}, h % 64 AS d, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM {to}_h GROUP BY ALL),
+    {to}_n AS (SELECT {key}, sqrt(sum(x * x)) AS n FROM {to}_v GROUP BY {key} HAVING sum(x * x) > 0)"""
+
+
+def _dense_sql(source: str, column: str, to: str = "documents") -> str:
+    """`<to>_sims`: the cosine of every query text and every document."""
+    return f"""{_encoded_sql("queries", "query_id", "text", f"{to}_q")}, {_encoded_sql(source, "doc_id", column, to)},
+    {to}_dots AS (SELECT query_id, doc_id, sum(a.x * b.x) AS s FROM {to}_q_v a JOIN {to}_v b USING (d) GROUP BY ALL),
+    {to}_sims AS (
+        SELECT query_id, doc_id, round(coalesce(s, 0) / (a.n * b.n), 6) + 0.0 AS score
+        FROM {to}_q_n a CROSS JOIN {to}_n b LEFT JOIN {to}_dots USING (query_id, doc_id))"""
+
+
+_FUSED_POOLS = """fused AS (
+        SELECT query_id, doc_id,
+            coalesce(CASE WHEN max(bm25_score) OVER q > min(bm25_score) OVER q THEN (bm25_score - min(bm25_score) OVER q) / (max(bm25_score) OVER q - min(bm25_score) OVER q) ELSE bm25_score END, 0) * 0.4::DOUBLE
+            + coalesce(CASE WHEN max(vector_score) OVER q > min(vector_score) OVER q THEN (vector_score - min(vector_score) OVER q) / (max(vector_score) OVER q - min(vector_score) OVER q) ELSE vector_score END, 0) * 0.6::DOUBLE AS h
+        FROM merged WINDOW q AS (PARTITION BY query_id))"""
+_DEMO_WANTS = """list_filter([
+                CASE WHEN contains(t, 'quality') THEN 'high quality' END,
+                CASE WHEN contains(t, 'fast') AND contains(t, 'charging') THEN 'fast charging' END,
+                CASE WHEN contains(t, 'noise') AND contains(t, 'cancel') THEN 'noise cancellation' END,
+                CASE WHEN contains(t, 'warranty') THEN 'warranty' END, CASE WHEN contains(t, 'wireless') THEN 'wireless' END,
+                CASE WHEN contains(t, 'battery') THEN 'long battery life' END], lambda f: f IS NOT NULL)"""
+_WANTS = """list_filter([
+                CASE WHEN contains(t, 'quality') THEN 'high quality' END, CASE WHEN contains(t, 'fast') AND contains(t, 'charging') THEN 'fast charging' END,
+                CASE WHEN contains(t, 'noise') AND contains(t, 'cancelling') THEN 'noise cancelling' END, CASE WHEN contains(t, 'warranty') THEN 'warranty' END,
+                CASE WHEN regexp_matches(t, 'warranty|guarantee|year') THEN 'warranty' END, CASE WHEN contains(t, 'iphone') THEN 'iphone compatible' END],
+                lambda x: x IS NOT NULL)"""
+
+
+def _gains_sql(wants: str) -> str:
+    return f"""joined AS (
+        SELECT f.*, d.category, {_MONEY} AS price, lower(concat_ws(' ', product_name, category, about_product, review_content)) AS everything, {wants} AS features,
+            try_cast(nullif(regexp_extract(t, 'under ([0-9]+([.][0-9]+)?)\\s*usd', 1), '') AS DOUBLE) AS bound,
+            CASE WHEN regexp_matches(t, 'cable|charger|cord') THEN ['cable', 'charger', 'usb', 'lightning']
+                 WHEN regexp_matches(t, 'headset|headphone|earphone|earbud') THEN ['headphone', 'headset', 'earphone', 'earbuds'] ELSE [] END AS terms
+        FROM fused f JOIN (SELECT query_id, lower(text) AS t FROM queries) USING (query_id) JOIN documents d USING (doc_id)),
+    gains AS (
+        SELECT *, CASE WHEN len(list_filter(terms, lambda x: contains(lower(category), x))) > 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS category_gain,
+            len(list_filter(features, lambda x: contains(everything, x))) * 0.5::DOUBLE AS feature_gain FROM joined)"""
+
+
+def _multimodal_sql(images: int, cable: str, headphone: str, more: str) -> str:
+    return f"""
+    WITH {_ALL_OFFERS} {_ALL_TEXTS}, {_dense_sql("documents", "text")}, {_dense_sql("documents", "product_name", "names")},
+    a AS ({_top("documents_sims", 250)}), b AS ({_top("names_sims", images)}),
+    c AS (
+        SELECT query_id, doc_id, score AS text_score, NULL::DOUBLE AS image_score FROM a
+        UNION ALL SELECT query_id, doc_id, NULL, score FROM b ANTI JOIN a USING (query_id, doc_id)),
+    {_counts_sql(_TOK)},
+    vocabulary AS (
+        SELECT term, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM (
+            SELECT term, sum(tf) AS cf, count(*) AS df FROM counted GROUP BY term ORDER BY cf DESC, term LIMIT 5000)),
+    raw AS (SELECT doc_id, term, tf * idf AS x FROM counted JOIN vocabulary USING (term)),
+    weights AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS w FROM raw),
+    q AS (
+        SELECT query_id, term, count(*) * any_value(idf) AS x
+        FROM (SELECT query_id, unnest({_TOK}) AS term FROM queries) JOIN vocabulary USING (term) GROUP BY query_id, term),
+    qw AS (SELECT query_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS qw FROM q),
+    keyword AS (SELECT query_id, doc_id, round(sum(w * qw), 6) AS k FROM qw JOIN weights USING (term) GROUP BY query_id, doc_id),
+    joined AS (
+        SELECT c.*, k, rating, rating_count, lower(category) AS category, CASE WHEN regexp_matches(lower(q.text), 'cable|charger|cord') THEN {cable}
+            WHEN regexp_matches(lower(q.text), 'headset|headphone|earphone|earbud') THEN {headphone} ELSE [] END AS terms
+        FROM c JOIN queries q USING (query_id) JOIN documents d USING (doc_id) LEFT JOIN keyword USING (query_id, doc_id)),
+    final AS (
+        SELECT query_id, doc_id, round(coalesce(text_score, 0) * 1.5::DOUBLE + coalesce(image_score, 0) * 0.5::DOUBLE
+            + CASE WHEN len(list_filter(terms, lambda x: contains(category, x))) > 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END
+            + coalesce(k, 0) * 1.5::DOUBLE {more}, 9) AS score FROM joined)
+    SELECT s.query_id, doc_id, score, rank FROM ({_top("final", 5)}) r
+    JOIN queries t USING (query_id) JOIN (SELECT DISTINCT query_id, query_text FROM search_results) s ON s.query_text = t.text"""
+
+
 SQL = {
     "tokenize_counts": f"WITH {_counts_sql(_STOK)} SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM counted GROUP BY term",
     "term_stats": _bm25_sql() + "SELECT term, cf, df, round(idf, 6) AS idf FROM vocabulary",
@@ -484,9 +605,7 @@ SQL = {
         SELECT term, round(sum(w), 4) AS total FROM weights GROUP BY term) ORDER BY total DESC, term LIMIT 20""",
     "inner_product_topk": _vector_sql("list_inner_product(q.v, c.v)"),
     "cosine_topk": _vector_sql("list_cosine_similarity(q.v, c.v)"),
-    "l2_topk": _vector_sql("list_inner_product(q.v, q.v) - 2 * list_inner_product(q.v, c.v) + list_inner_product(c.v, c.v)", K, "score, doc_id").replace(
-        "AS score FROM c", "AS score FROM c"
-    ),
+    "l2_topk": _vector_sql("list_inner_product(q.v, q.v) - 2 * list_inner_product(q.v, c.v) + list_inner_product(c.v, c.v)", K, "score, doc_id"),
     "self_retrieval": "SELECT query_id, score FROM (" + _vector_sql("list_cosine_similarity(q.v, c.v)", 1) + ")",
     "unit_norm_check": """
         SELECT vec_id, round(n, 6) AS norm, CASE WHEN n > 0 THEN 1.0::DOUBLE END AS unit_norm
@@ -520,7 +639,7 @@ SQL = {
     """
     + _top("(SELECT query_id, doc_id, h, round(h, 6) AS score FROM boosted)", 5, "h DESC, doc_id"),
     "review_boost": _OUTER
-    + """, ratings AS (SELECT product_id AS doc_id, max(try_cast(nullif(regexp_extract(rating, '^([0-9][.][0-9])$', 1), '') AS DOUBLE) / 5) AS r FROM catalog_raw GROUP BY 1),
+    + """, ratings AS (SELECT product_id AS doc_id, max(""" + _RATING + """ / 5) AS r FROM catalog_raw GROUP BY 1),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, doc_id) AS rank FROM fused)
     SELECT query_id, doc_id, round(CASE WHEN rank <= 20 THEN h + (coalesce(r, 0.5) - 0.5::DOUBLE) * 0.4::DOUBLE ELSE h END, 9) AS score, rank
     FROM ranked LEFT JOIN ratings USING (doc_id)""",
@@ -530,9 +649,39 @@ SQL = {
     + _RERANK,
     "constant_rerank": _OUTER + ", cand AS (SELECT query_id, doc_id, h, 0.0::DOUBLE AS semantic FROM fused)" + _RERANK,
     "custom_boost": f"SELECT doc_id, {_WORDING} AS boost FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)",
-    "multimodal_search": "WITH r AS (SELECT query_id, product_id AS doc_id, max(vector_score) AS t, max(price_usd) AS p, max(bm25_score_norm) AS i FROM search_results GROUP BY ALL), "
-    "s AS (SELECT query_id, doc_id, round(coalesce(t, 0) * 1.5::DOUBLE + coalesce(i, 0) * 0.5::DOUBLE + coalesce(p / nullif(max(p) OVER (PARTITION BY query_id), 0), 0) * 0.5::DOUBLE, 9) AS score FROM r WHERE p IS NOT NULL) "
-    + _top("s", 5),
+    "hybrid_search": _bm25_sql(before=_ALL_OFFERS, queries=_ALL_TEXTS)
+    + f""", words AS ({_top("scored", 100)}), {_dense_sql("documents", "text")}, near AS ({_top("documents_sims", 100)}),
+    merged AS (SELECT query_id, doc_id, w.score AS bm25_score, n.score AS vector_score FROM words w FULL JOIN near n USING (query_id, doc_id)),
+    {_FUSED_POOLS}, {_gains_sql(_DEMO_WANTS)}
+    SELECT s.query_id, doc_id, score, rank FROM ({_top("(SELECT query_id, doc_id, round(h + category_gain + feature_gain, 9) AS score FROM gains)", K)}) r
+    JOIN queries t USING (query_id) JOIN (SELECT DISTINCT query_id, query_text FROM search_results) s ON s.query_text = t.text""",
+    "hybrid_reranked": _bm25_sql(before=_ALL_OFFERS, queries=_ALL_TEXTS)
+    + f""", words AS ({_top("scored", 100)}), {_dense_sql("documents", "text")}, near AS ({_top("documents_sims", 100)}),
+    merged AS (
+        SELECT query_id, doc_id, score AS bm25_score, NULL::DOUBLE AS vector_score FROM words
+        UNION ALL SELECT query_id, doc_id, NULL, score FROM near ANTI JOIN words USING (query_id, doc_id)),
+    {_FUSED_POOLS}, {_gains_sql(_WANTS)},
+    bounded AS (SELECT * FROM gains WHERE bound IS NULL OR bound = 0 OR coalesce(price < bound, false)),
+    scored1 AS (SELECT query_id, doc_id, round(h + category_gain + feature_gain, 9) AS h FROM bounded),
+    rules AS (SELECT query_id, (SELECT min(doc_id) FROM documents) AS doc_id, 3.0::DOUBLE AS boost FROM queries WHERE regexp_matches(lower(text), 'cable|charger|cord')),
+    scored2 AS (
+        SELECT query_id, doc_id, h + coalesce(boost, 0) AS h FROM scored1 LEFT JOIN rules USING (query_id, doc_id)
+        UNION ALL SELECT query_id, doc_id, boost * 2 FROM rules ANTI JOIN scored1 USING (query_id, doc_id)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, doc_id) AS place FROM scored2),
+    reviewed AS (
+        SELECT query_id, doc_id, h + (coalesce({_RATING} / 5, 0.5) - 0.5::DOUBLE) * 0.4::DOUBLE AS h, {_WORDING.replace("t, ", "t2, ")} AS semantic
+        FROM (SELECT *, lower(concat_ws(' ', product_name, about_product)) AS t2 FROM placed JOIN documents USING (doc_id) WHERE place <= 10)),
+    final AS (
+        SELECT query_id, doc_id, round(CASE WHEN max(h) OVER q > min(h) OVER q
+            THEN (h - min(h) OVER q) / (max(h) OVER q - min(h) OVER q) * 10.0::DOUBLE ELSE h END * 0.3::DOUBLE + semantic * 0.7::DOUBLE, 6) AS score
+        FROM reviewed WINDOW q AS (PARTITION BY query_id))
+    SELECT s.query_id, doc_id, score, rank FROM ({_top("final", 5)}) r
+    JOIN queries t USING (query_id) JOIN (SELECT DISTINCT query_id, query_text FROM search_results) s ON s.query_text = t.text""",
+    "multimodal_search": _multimodal_sql(250, "['usbcables']", "['pcheadsets']", ""),
+    "multimodal_improved": _multimodal_sql(
+        100, "['usbcables', 'cable', 'charger']", "['pcheadsets', 'headphones', 'earbuds']",
+        f"+ coalesce({_RATING}, 0) / 5 + coalesce({_COUNT} / nullif(max({_COUNT}) OVER (PARTITION BY query_id), 0), 0) * 0.5::DOUBLE",
+    ),
     "demo_search": f"""
         WITH offers AS (
             SELECT DISTINCT product_id AS doc_id, category, concat_ws(' ', product_name, category, about_product) AS text,
@@ -549,7 +698,6 @@ SQL = {
             FROM (SELECT query_id, unnest({_TOK}) AS term FROM queries) JOIN vocabulary USING (term) GROUP BY query_id, term),
         qw AS (SELECT query_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS qw FROM q),
         scored AS (SELECT query_id, doc_id, round(sum(w * qw), 6) AS score FROM qw JOIN weights USING (term) GROUP BY query_id, doc_id),
-        top AS ({_top("scored", 100)}),
         asked AS (
             SELECT query_id, lower(text) AS t, CASE WHEN regexp_matches(t, 'cable|charger|cord') THEN 'cable'
                 WHEN regexp_matches(t, 'headset|headphone|earphone|earbud') THEN 'headphone' WHEN contains(t, 'mouse') THEN 'mouse' ELSE '' END AS kind,
@@ -560,13 +708,13 @@ SQL = {
                     CASE WHEN contains(t, 'warranty') THEN 'warranty' END, CASE WHEN contains(t, 'wireless') THEN 'wireless' END,
                     CASE WHEN contains(t, 'battery') THEN 'long battery life' END], lambda f: f IS NOT NULL) AS features FROM queries),
         joined AS (
-            SELECT top.query_id, top.doc_id, score,
+            SELECT asked.query_id, o.doc_id, coalesce(score, 0) AS score,
                 CASE WHEN kind <> '' AND contains(lower(category), kind) THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END
                     + len(list_filter(features, lambda x: contains(lower(o.text), x))) * 0.5::DOUBLE AS semantic
-            FROM top JOIN asked USING (query_id) JOIN offers o USING (doc_id)),
+            FROM asked CROSS JOIN offers o LEFT JOIN scored USING (query_id, doc_id)),
         final AS (
             SELECT *, round(score + semantic, 6) AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY round(score + semantic, 6) DESC, doc_id) AS rank
-            FROM joined)
+            FROM joined WHERE round(score + semantic, 6) > 0)
         SELECT query_id, doc_id, final_score, rank,
             CASE WHEN score > 0.2 THEN 'High' WHEN score > 0.1 THEN 'Medium' ELSE 'Low' END AS keyword_label,
             CASE WHEN semantic > 2 THEN 'High' WHEN semantic > 1 THEN 'Medium' ELSE 'Low' END AS semantic_label
