@@ -48,3 +48,14 @@ def hash_below(rows: float, total: int) -> int:
     """The signed 64-bit number at or below which lie the hashes of about `rows` of `total` rows, at any size."""
     share = min(1.0, rows / max(total, 1))
     return min(-(2**63) + max(int(share * 2**64), 1 if rows > 0 else 0), 2**63 - 1)
+
+
+def strict_number(text: Column) -> Column:
+    """The text as a number; a text that is none fails the query, whatever the session says of ANSI. Null stays null."""
+    wrong = F.concat(F.lit("not a number: "), text)
+    return F.when(text.isNotNull(), F.coalesce(text.try_cast("double"), F.raise_error(wrong).cast("double")))
+
+
+def interpolated(value: Column, low: Column, high: Column, to_low: float, to_high: float) -> Column:
+    """The value's place between `low` and `high` carried over to [to_low, to_high]; `to_low` where both are equal."""
+    return F.when(high == low, F.lit(to_low)).otherwise(F.lit(to_low) + (value - low) / F.nullif(high - low, F.lit(0.0)) * (to_high - to_low))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +18,6 @@ STOP_WORDS = (
     "now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
 ).split()
 
-# Latin letters with their unaccented letter.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A run of letters, digits and underscores of any script.
@@ -64,9 +64,43 @@ def search_tokens(c: Column) -> Column:
     return F.filter(tokens(c), is_search_token)
 
 
+@functools.cache
+def plain_letters(ascii_only: bool) -> tuple[dict[str, str], dict[str, str]]:
+    """(character -> one character, character -> several) of all characters that lose a mark, by rule from Unicode.
+
+    Canonical decomposition without its nonspacing marks; with `ascii_only` compatibility decomposition, of which only ASCII is
+    left. Hangul syllables stay composed.
+    """
+    one, several = {}, {}
+    for cp in [*range(0x80, 0xAC00), *range(0xF900, 0x10000)]:
+        ch = chr(cp)
+        if ascii_only:
+            to = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
+        else:
+            to = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
+        if to and to != ch:
+            (one if len(to) == 1 else several)[ch] = to
+    return one, several
+
+
+def _spelt(c: Column, ascii_only: bool) -> Column:
+    one, several = plain_letters(ascii_only)
+    t = F.translate(c, "".join(one), "".join(one.values()))
+    # Characters are looked at one by one only in texts that hold one of those that become several.
+    known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    each = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.when((F.octet_length(t) > F.length(t)) & t.rlike(f"[{''.join(several)}]"), each).otherwise(t)
+
+
 def strip_accents(c: Column) -> Column:
-    """Latin letters without accents; other letters stay."""
-    return F.translate(c, ACCENTED + ACCENTED.upper().replace("Ÿ", ""), UNACCENTED + UNACCENTED.upper()[: len(ACCENTED) - 1])
+    """Letters of any script without their marks; other characters, `ß` and `ø` among them, stay."""
+    t = _spelt(c, ascii_only=False)
+    return F.when(F.octet_length(t) > F.length(t), F.regexp_replace(t, r"\p{Mn}+", "")).otherwise(t)
+
+
+def to_ascii(c: Column) -> Column:
+    """The ASCII of the compatibility decomposition: marks and what has no ASCII form are dropped, `ﬁ` is `fi`, `²` is `2`."""
+    return F.regexp_replace(_spelt(c, ascii_only=True), r"[^\x00-\x7F]", "")
 
 
 def strip_punctuation(c: Column) -> Column:
@@ -78,7 +112,7 @@ def clean(c: Column, accents: bool = False, special: bool = False, min_length: i
     """Lower-case words: accents and signs removed unless kept, words below `min_length` dropped."""
     t = F.lower(stripped(text_of(c)))
     if not accents:
-        t = F.regexp_replace(strip_accents(t), r"[^\x00-\x7F]", "")
+        t = to_ascii(t)
     if not special:
         t = F.regexp_replace(t, r"[^a-zA-Z0-9\s]", " ")
     return F.array_join(F.filter(words(t), lambda w: F.length(w) >= min_length), " ")

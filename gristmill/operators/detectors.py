@@ -136,6 +136,22 @@ def vote(results: list[Column], weights: dict[str, float] = WEIGHTS) -> Column:
     return F.struct(best["language"].alias("language"), F.coalesce(best["confidence"], F.lit(0.0)).alias("confidence"), method.alias("method_used"))
 
 
+def slowest(results: list[Column], time: str = "time_ms") -> Column:
+    """The longest time that any of the detectors took; null where none says."""
+    return F.array_max(F.array(*[r[time] for r in results]))
+
+
+def asked_again(df: DataFrame, result: str, limit: float, further: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`df` with `result` replaced where it was less sure than `limit` and a further detector is surer.
+
+    Only the unsure rows go to the further detector, which gives its own result in the same column; the sure ones never do.
+    """
+    sure = F.coalesce(F.col(f"{result}.confidence") >= limit, F.lit(False))
+    unsure = df.filter(~sure).withColumn("__before", F.col(result))
+    second = further(unsure).withColumn(result, F.when(F.col(f"{result}.confidence") > F.coalesce("__before.confidence", F.lit(-1.0)), F.col(result)).otherwise(F.col("__before")))
+    return df.filter(sure).unionByName(second.drop("__before"))
+
+
 def statistics(df: DataFrame, result: str) -> DataFrame:
     """(language, n, share, mean_confidence) of a column of results."""
     by = df.groupBy(F.col(f"{result}.language").alias("language")).agg(F.count("*").alias("n"), F.avg(f"{result}.confidence").alias("c"))

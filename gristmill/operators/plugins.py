@@ -7,6 +7,7 @@ once and not per row.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -43,6 +44,19 @@ class Captioner(Protocol):
     def caption(self, images: list[bytes]) -> list[str | None]: ...
 
 
+class Prompter(Protocol):
+    """Prompts -> answers of a language model."""
+
+    def answer(self, prompts: list[str]) -> list[str]: ...
+
+
+class NoPrompter:
+    """Where no model is there: every call fails, and the operator says so."""
+
+    def answer(self, prompts: list[str]) -> list[str]:
+        raise OSError("no model is loaded")
+
+
 class HashingEncoder:
     """Feature-hashed bag of words of unit length; empty texts give the zero vector. Needs no model.
 
@@ -109,6 +123,29 @@ def score(df: DataFrame, query: str, text: str, to: str, factory: Callable[[], S
     return df.mapInArrow(run, schema)
 
 
+def prompted(df: DataFrame, prompt: str, to: str, factory: Callable[[], Prompter] = NoPrompter) -> DataFrame:
+    """`df` with the answer to each prompt in a new column `to`; where the model fails, a JSON object that names the error."""
+    schema = df.select("*", F.lit(None).cast("string").alias(to)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = factory()
+        for b in batches:
+            prompts = [p or "" for p in b.column(prompt).to_pylist()]
+            try:
+                answers = model.answer(prompts)
+            except Exception as e:
+                answers = [json.dumps({"error": str(e)})] * len(prompts)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], names=[*b.schema.names, to])
+
+    return df.mapInArrow(run, schema)
+
+
+def percent_score(answer: Column) -> Column:
+    """The first whole number of a model's answer as a score from 0 to 100; 0 where it gives none."""
+    found = F.regexp_extract(answer, r"[0-9]+", 0).try_cast("double")
+    return F.coalesce(F.least(found, F.lit(100.0)), F.lit(0.0))
+
+
 def detect(df: DataFrame, text: str, to: str, factory: Callable[[], Detector]) -> DataFrame:
     """`df` with a detector's STRUCT(language, confidence, method_used) of `text` in a new column `to`.
 

@@ -235,14 +235,23 @@ QUERIES = {
     )
 }
 
-_A, _U = T.ACCENTED + T.ACCENTED.upper().replace("Ÿ", ""), T.UNACCENTED + T.UNACCENTED.upper()[: len(T.ACCENTED) - 1]
+def _spelt_sql(t: str, ascii_only: bool) -> str:
+    one, several = T.plain_letters(ascii_only)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = f"MAP([{', '.join(map(quoted, several))}], [{', '.join(map(quoted, several.values()))}])"
+    held = "".join(f"\\x{{{ord(c):04X}}}" for c in several)
+    each = f"array_to_string(list_transform(regexp_extract_all(x.t, '(?s).'), lambda c: coalesce({known}[c], c)), '')"
+    t = f"translate({t}, {quoted(''.join(one))}, {quoted(''.join(one.values()))})"
+    return f"list_transform([{{'t': {t}}}], lambda x: CASE WHEN regexp_matches(x.t, '[{held}]') THEN {each} ELSE x.t END)[1]"
+
+
 _PUNCT = T.PUNCTUATION.replace("'", "''")
 
 
 def clean_sql(text: str, accents: bool, least: int) -> str:
     t = f"lower(trim(coalesce({text}, ''), E' \\t\\n\\r\\f\\x0b'))"
     if not accents:
-        t = f"regexp_replace(translate({t}, '{_A}', '{_U}'), '[^\\x00-\\x7F]', '', 'g')"
+        t = f"regexp_replace({_spelt_sql(t, ascii_only=True)}, '[^\\x00-\\x7F]', '', 'g')"
     t = f"regexp_replace({t}, '[^a-zA-Z0-9\\s]', ' ', 'g')"
     return f"array_to_string(list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: length(w) >= {least}), ' ')"
 
@@ -292,7 +301,7 @@ SQL = {
     "clean_text_basic": f"SELECT doc_id, {clean_sql('text', False, 2)} AS cleaned FROM documents",
     "clean_text_multilingual": f"SELECT doc_id, {clean_sql('text', True, 3)} AS cleaned FROM documents",
     "clean_text_unicode": f"SELECT doc_id, trim(regexp_replace(translate(lower(trim(coalesce(text, ''), E' \\t\\n\\r\\f\\x0b')), '{_PUNCT}', ''), '\\s+', ' ', 'g')) AS cleaned FROM documents",
-    "strip_accents": f"SELECT doc_id, translate(lower(text), '{_A}', '{_U}') AS plain FROM documents",
+    "strip_accents": f"SELECT doc_id, regexp_replace({_spelt_sql('lower(text)', ascii_only=False)}, '\\p{{Mn}}+', '', 'g') AS plain FROM documents",
     "strip_punct": f"SELECT doc_id, translate(text, '{_PUNCT}', '') AS plain FROM documents",
     "text_metadata": f"""
         WITH o AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS original FROM documents),

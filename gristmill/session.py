@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,21 @@ def build_session(app: str = "gristmill", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+@contextlib.contextmanager
+def interactive(spark: SparkSession, partitions: int = 2) -> Iterator[None]:
+    """Settings for single searches on an index in memory, where scheduling outweighs the work: few shuffle partitions, no
+    adaptive planning. Those of the session come back afterwards."""
+    few = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder for intermediate data that all executors share, `spark.checkpoint.dir`; None where it is unset on one machine."""
     sc = spark.sparkContext

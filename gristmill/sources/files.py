@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gristmill.session import checkpointed
 from gristmill.sources.tables import require
 
 
@@ -50,7 +51,8 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFra
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(row, embedding) of a matrix file; the file is mapped, not read whole, by the tasks that hold its parts."""
+    """(row, embedding) of a matrix file; the file is mapped, not read whole, by the tasks that hold its parts. The path is one
+    that every machine sees."""
     shape = np.load(path, mmap_mode="r").shape
     rows = spark.range(shape[0]).withColumnRenamed("id", "row")
 
@@ -64,17 +66,33 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_npy(df: DataFrame, order: str, vector: str, path: str) -> None:
-    """A matrix file of the vectors in the order of a column; streamed partition by partition."""
-    n = df.count()
-    out = None
-    for i, r in enumerate(df.select(order, vector).orderBy(order).toLocalIterator()):
-        if out is None:
-            out = np.lib.format.open_memmap(path, "w+", np.float32, (n, len(r[vector])))
-        out[i] = r[vector]
-    if out is None:
+    """A matrix file of the vectors in the order of a column; an empty table leaves an empty matrix.
+
+    The driver lays out the file, and each task writes its rows into their place in it; a task that runs again writes the same
+    bytes. The path is one that every machine sees.
+    """
+    ranged = df.select(F.col(order).alias("o"), F.col(vector).alias("v")).repartitionByRange("o").withColumn("part", F.spark_partition_id())
+    placed = checkpointed(ranged.sortWithinPartitions("o"))
+    facts = placed.groupBy("part").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).orderBy("part").collect()  # a row for each partition
+    if not facts:
         np.save(path, np.empty((0, 0), np.float32))
-    else:
+        return
+    shape = sum(r.n for r in facts), max(r.dim for r in facts)
+    starts = dict(zip((r.part for r in facts), np.cumsum([0, *[r.n for r in facts]]).tolist()))
+    del facts
+    np.lib.format.open_memmap(path, "w+", np.float32, shape).flush()
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at = np.load(path, mmap_mode="r+"), None
+        for b in batches:
+            if b.num_rows:
+                at = starts[b.column("part")[0].as_py()] if at is None else at
+                out[at : at + b.num_rows] = np.array(b.column("v").to_pylist(), np.float32)
+                at += b.num_rows
         out.flush()
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+    placed.mapInArrow(save, "n long").agg(F.sum("n")).collect()
 
 
 def read_state(path: str, default: dict) -> dict:
@@ -136,23 +154,30 @@ class _Images(html.parser.HTMLParser):
             self.inside -= 1
 
 
+# What tells the main image of a product page, the most telling first: attribute, comparison, value.
+IMAGE_SIGNS = [
+    ("id", "is", "landingImage"), ("data-a-dynamic-image", "stands", ""), ("class", "word", "a-dynamic-image"), ("class", "word", "imgTagWrapper"),
+    ("class", "word", "image-item"), ("alt", "part", "product"), ("", "wrapped", ""), ("data-old-hires", "stands", ""),
+]
+
+
+def _shows(attributes: dict, wrapped: bool, sign: tuple[str, str, str]) -> bool:
+    name, how, value = sign
+    held = attributes.get(name)
+    if how == "wrapped":
+        return wrapped
+    if held is None:
+        return False
+    return {"is": held == value, "stands": True, "word": value in held.split(), "part": value in held.lower()}[how]
+
+
 def image_of_page(page: str | None) -> str | None:
-    """The url of a page's main image: the first image that the most telling of eight signs finds."""
+    """The url of a page's main image: the first image that the most telling of the signs finds."""
     p = _Images()
     p.feed(page or "")
-    signs = [
-        lambda a, w: a.get("id") == "landingImage",
-        lambda a, w: "data-a-dynamic-image" in a,
-        lambda a, w: "a-dynamic-image" in a.get("class", "").split(),
-        lambda a, w: "imgTagWrapper" in a.get("class", "").split(),
-        lambda a, w: "image-item" in a.get("class", "").split(),
-        lambda a, w: "product" in a.get("alt", "").lower(),
-        lambda a, w: w,
-        lambda a, w: "data-old-hires" in a,
-    ]
-    for sign in signs:
+    for sign in IMAGE_SIGNS:
         for a, wrapped in p.images:
-            if sign(a, wrapped):
+            if _shows(a, wrapped, sign):
                 if "data-a-dynamic-image" in a:
                     try:
                         return next(iter(json.loads(a["data-a-dynamic-image"])), None)
