@@ -29,6 +29,13 @@ def read_count(text: Column) -> Column:
     return value * factor
 
 
+def read_count_sql(column: str) -> str:
+    """`read_count` in the SQL of DuckDB."""
+    number = f"nullif(regexp_extract(lower({column}), '([0-9]+([,\\s][0-9]+)*([.][0-9]+)?)', 1), '')"
+    factors = " ".join(f"WHEN '{unit}' THEN {by:.0f}" for unit, by in SUFFIXES.items())
+    return f"(try_cast(regexp_replace({number}, '[,\\s]', '', 'g') AS DOUBLE) * CASE regexp_extract(lower({column}), '[0-9]\\s*(k|m|lakh)\\b', 1) {factors} ELSE 1 END)"
+
+
 def read_rating(text: Column) -> Column:
     """The first number as a rating; a single comma before at most two digits is a decimal comma.
 

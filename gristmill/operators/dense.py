@@ -56,11 +56,13 @@ def scan_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, metric: s
 def _in_blocks(queries: DataFrame, dim: int, search: Callable[[np.ndarray, np.ndarray], DataFrame], k: int, ascending: bool = False) -> DataFrame:
     """The `k` best of what `search` finds for each block of (ids, vectors) of the queries."""
     asked = queries.select(F.col("query_id").cast("long"), "v")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    # A single block comes in one job; only where there are more are they counted.
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()
+    blocks = 1 if few.num_rows <= QUERY_BLOCK else -(-asked.count() // QUERY_BLOCK)
     found = None
     for i in range(blocks):
         # The driver holds one block at a time; with several, each block's results are written before the next.
-        got = (asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow()
+        got = few if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
         at, q = _matrix(got.column("v"), dim)
         block = search(got.column("query_id").to_numpy()[at], q)
         block = checkpointed(block) if blocks > 1 else block

@@ -143,7 +143,7 @@ def prompted(df: DataFrame, prompt: str, to: str, factory: Callable[[], Prompter
 def percent_score(answer: Column) -> Column:
     """The first whole number of a model's answer as a score from 0 to 100; 0 where it gives none."""
     found = F.regexp_extract(answer, r"[0-9]+", 0).try_cast("double")
-    return F.coalesce(F.least(found, F.lit(100.0)), F.lit(0.0))
+    return F.when(found.isNull(), F.lit(0.0)).otherwise(F.least(found, F.lit(100.0)))
 
 
 def detect(df: DataFrame, text: str, to: str, factory: Callable[[], Detector]) -> DataFrame:

@@ -68,7 +68,35 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"p5_found": p5_found, "p5_filled": p5_filled, "p5_categories": p5_categories, "p5_masked": p5_masked, "p6_found": p6_found, "p6_values": p6_values}
 
+_BLANKS = "\\x{0B}\\f\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+
+
+def _items_sql(field: str, delimiter: str) -> str:
+    """(product_id, field_name, n, value) of a packed field, one value a step: a quoted one, if a delimiter or the end follows, else a bare one."""
+    quoted = f"regexp_extract(rest, '^[\\s{_BLANKS}]*(\"(?:[^\"]|\"\")*\")[ {_BLANKS}]*(?:(?:{delimiter})|\\z)', 1)"
+    whole = f"regexp_extract(rest, '^[\\s{_BLANKS}]*\"(?:[^\"]|\"\")*\"[ {_BLANKS}]*')"
+    bare = f"regexp_extract(rest, '(?s)^(.*?)(?:(?:{delimiter})|\\z)', 1)"
+    strip = lambda t: f"regexp_replace({t}, '^[\\s\\x{{0B}}\\x{{A0}}\\x{{3000}}]+|[\\s\\x{{0B}}\\x{{A0}}\\x{{3000}}]+$', '', 'g')"
+    return f"""
+        {field}_steps(product_id, source, n, value, rest) AS (
+            SELECT product_id, source, 0, NULL::VARCHAR, {field} FROM (SELECT product_id, {field} || coalesce(md5({"review_content" if field == "category" else "category"}), '') AS source, {field} FROM once) WHERE {field} IS NOT NULL
+            UNION ALL
+            SELECT product_id, source, n + 1, value, CASE WHEN left_over <> '' THEN regexp_replace(left_over, '^(?:{delimiter})', '') END FROM (
+                SELECT product_id, source, n,
+                    CASE WHEN q <> '' THEN {strip("replace(substr(q, 2, length(q) - 2), '\"\"', '\"')")} ELSE {strip("b")} END AS value,
+                    substr(rest, length(CASE WHEN q <> '' THEN w ELSE b END) + 1) AS left_over
+                FROM (SELECT *, {quoted} AS q, {whole} AS w, {bare} AS b FROM {field}_steps WHERE rest IS NOT NULL))),
+        {field}_values AS (
+            SELECT DISTINCT product_id, '{field}' AS field_name, row_number() OVER (PARTITION BY product_id, source ORDER BY n)::INT AS pos, value AS item_value
+            FROM {field}_steps WHERE value <> '')"""
+
+
 SQL = {
+    "p6_found": f"""
+        WITH RECURSIVE once AS (SELECT DISTINCT product_id, category, review_content FROM catalog_raw),
+        {_items_sql("category", CATEGORY.delimiter)}, {_items_sql("review_content", REVIEWS.delimiter)}
+        SELECT * FROM category_values UNION ALL SELECT * FROM review_content_values
+    """,
     "p5_found": """
         SELECT DISTINCT product_id, 'rating' AS field_name FROM catalog_raw
         WHERE NOT regexp_matches(coalesce(rating, ''), '[0-9]')

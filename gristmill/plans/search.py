@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.functions import vectors as V
-from gristmill.functions.numbers import read_count, read_money, read_rating
+from gristmill.functions.numbers import read_count, read_count_sql, read_money, read_rating
 from gristmill.operators import analysis as A
 from gristmill.operators import dense, fusion, sparse
 from gristmill.operators.plugins import encode
@@ -496,8 +496,7 @@ _RERANK = f""", first AS (
 _OUTER = _fused_sql("merged_outer")
 
 _RATING = "try_cast(replace(nullif(regexp_extract(rating, '([0-9]+([.,][0-9]{1,2})?)', 1), ''), ',', '.') AS DOUBLE)"
-_COUNT = """(try_cast(regexp_replace(nullif(regexp_extract(lower(rating_count), '([0-9]+([,\\s][0-9]+)*([.][0-9]+)?)', 1), ''), '[,\\s]', '', 'g') AS DOUBLE)
-    * CASE regexp_extract(lower(rating_count), '[0-9]\\s*(k|m|lakh)\\b', 1) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'lakh' THEN 100000 ELSE 1 END)"""
+_COUNT = read_count_sql("rating_count")
 _MONEY = "try_cast(replace(nullif(regexp_extract(discounted_price, '([0-9][0-9,]*([.][0-9]+)?)', 1), ''), ',', '') AS DOUBLE)"
 #: All offers as documents, and the different query texts.
 _ALL_OFFERS = """documents AS (
