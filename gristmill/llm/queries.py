@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions.numbers import read_count
+from gristmill.functions.numbers import read_count, read_count_sql
 from gristmill.llm.bpe import corpus_ids
 from gristmill.llm.folding import fold_sql, same_look_classes, same_look_pairs, with_folded
 from gristmill.llm.language import languages_of, mislabelled, train_on, with_languages
@@ -142,14 +142,14 @@ QUERIES = {
     "p9_classes": p9_classes,
 }
 
-_P1 = """
+_P1 = f"""
     WITH c AS (
         SELECT query_id, product_id, max(hybrid_score) AS h, max(-price_usd) AS p,
-            max(try_cast(replace(nullif(regexp_extract(rating_count, '([0-9][0-9,]*)', 1), ''), ',', '') AS DOUBLE)) AS r
+            max({read_count_sql("rating_count")}) AS r
         FROM search_results GROUP BY query_id, product_id),
     l AS (
         SELECT query_id, product_id, s.d AS d, coalesce(s.v, '-inf'::DOUBLE) AS v
-        FROM (SELECT query_id, product_id, unnest([{'d': 1, 'v': h}, {'d': 2, 'v': r}, {'d': 3, 'v': p}]) AS s FROM c)),
+        FROM (SELECT query_id, product_id, unnest([{{'d': 1, 'v': h}}, {{'d': 2, 'v': r}}, {{'d': 3, 'v': p}}]) AS s FROM c)),
     s AS (
         SELECT query_id, product_id,
             (rank() OVER (PARTITION BY query_id, d ORDER BY v) - 1 + count(*) OVER (PARTITION BY query_id, d, v) / 2.0)
