@@ -24,6 +24,17 @@ def upsert(state: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     return state.join(changed.select(key), key, "left_anti").unionByName(changed)
 
 
+def update_snapshot(state: DataFrame, df: DataFrame, key: str, modified: str, since: Column, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(the new state, one row of history: at, new, updated): rows that the state lacks or that changed after `since` come in.
+
+    The state is a snapshot to be written anew; an index over it is fitted on the new one.
+    """
+    fresh, changed = new_rows(df, state, key), updated_rows(df, state, key, modified, since)
+    both = fresh.withColumn("__new", F.lit(1)).unionByName(changed.withColumn("__new", F.lit(0)))
+    history = both.agg(F.coalesce(F.sum("__new"), F.lit(0)).alias("new"), F.coalesce(F.sum(1 - F.col("__new")), F.lit(0)).alias("updated"))
+    return upsert(state, both.drop("__new"), key), history.select(at.alias("at"), "new", "updated")
+
+
 def valid_entries(cache: DataFrame, now: Column, ttl_seconds: float, at: str = "ts") -> DataFrame:
     """Entries younger than the time to live; `at` is seconds since 1970."""
     return cache.filter(now - F.col(at) < ttl_seconds)

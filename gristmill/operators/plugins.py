@@ -61,10 +61,11 @@ class HashingEncoder:
     """Feature-hashed bag of words of unit length; empty texts give the zero vector. Needs no model.
 
     The first 32 bits of a word's MD5 give its dimension (modulo `dim`) and, by bit 16, its sign, so SQL can say the same.
+    `words` is how many words of a text are read, as models read a limited number of tokens; all by default.
     """
 
-    def __init__(self, dim: int = 64, remembered: int = 300_000):
-        self.dim, self.remembered = dim, remembered
+    def __init__(self, dim: int = 64, words: int | None = None, remembered: int = 300_000):
+        self.dim, self.words, self.remembered = dim, words, remembered
         self.known: dict[str, tuple[int, float]] = {}
 
     def place(self, word: str) -> tuple[int, float]:
@@ -80,7 +81,7 @@ class HashingEncoder:
     def encode(self, items: list) -> list[list[float] | None]:
         x = np.zeros((len(items), self.dim))
         for i, t in enumerate(items):
-            for w in re.findall(r"\w+", (t or "").lower()):
+            for w in re.findall(r"\w+", (t or "").lower())[: self.words]:
                 d, sign = self.place(w)
                 x[i, d] += sign
         n = np.sqrt((x * x).sum(1, keepdims=True))

@@ -13,7 +13,7 @@ from gristmill.functions import text as T
 from gristmill.functions import vectors as V
 from gristmill.operators import analysis as A
 from gristmill.operators import dense, detectors, etl, fusion, incremental, plugins, relational
-from gristmill.plans import tables, texts
+from gristmill.plans import search, tables, texts
 from gristmill.session import shared_folder
 from gristmill.sources import files
 from gristmill.sources.tables import table
@@ -174,33 +174,13 @@ def _as_files(s: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
 
 
-class ByteEncoder:
-    """Share of the bytes of a file in each of four quarters of their range, at unit length: stands where an image model would."""
-
-    def encode(self, items: list) -> list[list[float] | None]:
-        import numpy as np
-
-        out = []
-        for c in items:
-            v = np.bincount(np.frombuffer(c, np.uint8) >> 6, minlength=4).astype(float)
-            out.append((v / np.linalg.norm(v)).tolist())
-        return out
-
-
-class SizeCaptioner:
-    """A caption that says what can be said without a model."""
-
-    def caption(self, images: list[bytes]) -> list[str | None]:
-        return [f"file of {len(c)} bytes" for c in images]
-
-
 def file_embeddings(s, sf):
-    e = plugins.embed_files(_as_files(s, sf), ByteEncoder, 4)
+    e = plugins.embed_files(_as_files(s, sf), plugins.ByteCountEncoder, 16)
     return e.select(F.col("path").cast("bigint").alias("doc_id"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
 def file_captions(s, sf):
-    return plugins.caption(_as_files(s, sf), SizeCaptioner).select(F.col("path").cast("bigint").alias("doc_id"), "caption")
+    return plugins.caption(_as_files(s, sf), plugins.SizeCaptioner).select(F.col("path").cast("bigint").alias("doc_id"), "caption")
 
 
 def pooled_vectors(s, sf):
@@ -211,7 +191,90 @@ def pooled_vectors(s, sf):
     return d.select("label", F.transform("mean", lambda x: F.round(x, 5)).alias("mean"), F.transform(plugins.softmax(F.col("mean")), lambda x: F.round(x, 5)).alias("softmax"))
 
 
+def hashed_encoding(s, sf):
+    """Vectors of documents by the default encoder, component by component."""
+    e = plugins.encode(table(s, sf, "documents").select("doc_id", "text"), "text", "v")
+    return e.select("doc_id", F.transform("v", lambda x: F.round(x, 6)).alias("vector"))
+
+
+def short_encoding(s, sf):
+    """The same of the first 77 words of each text."""
+    e = plugins.encode(table(s, sf, "documents").select("doc_id", "text"), "text", "v", lambda: plugins.HashingEncoder(words=77))
+    return e.select("doc_id", F.transform("v", lambda x: F.round(x, 6)).alias("vector"))
+
+
+def text_search(s, sf):
+    """The ten documents nearest to each query text, by squared distance of their vectors."""
+    texts = table(s, sf, "search_results").select("query_id", F.col("query_text").alias("text")).distinct()
+    vectors = plugins.encode(table(s, sf, "documents").select("doc_id", "text"), "text", "v").select("doc_id", "v")
+    found = dense.scan_topk(vectors, plugins.encode(texts, "text", "v").select("query_id", "v"), 10, 64, "l2")
+    return found.select("query_id", "doc_id", F.col("score").alias("distance"), "rank")
+
+
+def query_analysis_demo(s, sf):
+    """The rules of the demonstration search."""
+    q = table(s, sf, "search_results").select("query_id", "query_text").distinct()
+    features = F.array_join(A.key_features(F.col("query_text"), A.DEMO_FEATURES), ",")
+    return q.select("query_id", A.product_type(F.col("query_text"), A.DEMO_TYPES).alias("product_type"), features.alias("key_features"))
+
+
+def snapshot_history(s, sf):
+    """What an update of a stored half of the vectors brings in."""
+    v = table(s, sf, "combined_embeddings").select("vec_id", "updated_at")
+    since = F.lit("2024-07-01").cast("timestamp_ntz")
+    state, history = incremental.update_snapshot(v.filter("vec_id % 2 = 0"), v, "vec_id", "updated_at", since, F.lit("2025-01-01"))
+    return history.join(state.agg(F.count("*").alias("n_rows")))
+
+
+def missing_csv(s, sf):
+    """A path that is not there is an empty table of the schema."""
+    return files.read_csv(s, os.path.join(_folder(s, "none"), "absent.csv"), "id bigint, name string")
+
+
+def csv_columns(s, sf):
+    """The header of a CSV that a table was written to, and its columns that are shown."""
+    path = os.path.join(_folder(s, "header"), "t")
+    files.write_csv(etl.shown(table(s, sf, "order_reviews"), ["review_id", "absent", "order_id"]), path)
+    return s.createDataFrame([(i, c) for i, c in enumerate(files.csv_header(s, path))], "position bigint, column_name string")
+
+
+def listed_files(s, sf):
+    """Names and sizes of files in a folder that were written there, and the products that have none."""
+    folder = _folder(s, "files")
+    for name, content in (("a.csv", "x"), ("b.csv", "xyz"), ("c.txt", "")):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(content)
+    found = files.list_files(s, folder)
+    names = s.createDataFrame([("a",), ("b",), ("d",)], "name string")
+    have, lack = etl.with_files(names, found.select("path", "length"), "name")
+    return have.select("name", "length").unionByName(lack.select("name", F.lit(None).cast("bigint").alias("length")))
+
+
+def log_roundtrip(s, sf):
+    """Detections written as records of a log and read again."""
+    d = table(s, sf, "documents").select("doc_id", "text", detectors.word_list(F.col("text")).alias("r"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", "")
+    log = files.log_text(F.col("r.method_used"), plain, F.col("r.language"), F.lit(0.75), F.lit(1.5))
+    return d.select("doc_id", F.inline(files.parse_log(log))).select("doc_id", "detector", "text", "language", "confidence", "time_ms")
+
+
+def report_rows(s, sf):
+    """How many rows, and which columns, the report of a table shows."""
+    html = etl.html_report(etl.shown(table(s, sf, "region"), ["r_regionkey", "r_name"]), ["r_regionkey"], 3)
+    return s.createDataFrame([(html.count("<tr") - 1, html.count("<th>r_"))], "n_rows bigint, n_columns bigint")
+
+
+def state_document(s, sf):
+    """A small state written, replaced and read again; a broken one gives the default."""
+    path = os.path.join(_folder(s, "state"), "s.json")
+    n = table(s, sf, "documents").count()
+    before = files.read_state(path, {"total": -1})["total"]
+    files.write_state(path, {"total": n})
+    return s.createDataFrame([(before, files.read_state(path, {})["total"])], "before bigint, after bigint")
+
+
 _NAMES = (
+    hashed_encoding, short_encoding, text_search, query_analysis_demo, snapshot_history, missing_csv, csv_columns, listed_files, log_roundtrip, report_rows, state_document,
     bounded_candidates, near_vectors, in_categories, strict_numbers, point_sizes, table_profile, first_match, membership, clamped_scores, zero_vectors,
     product_content, unknown_texts, asked_again, slowest_detector, prompt_answers, percent_rerank, matrix_file, stored_cells, chunked_run, moved_ranks,
     file_embeddings, file_captions, pooled_vectors,
@@ -220,7 +283,50 @@ QUERIES = {f.__name__: f for f in _NAMES}
 
 _C = "c AS (SELECT DISTINCT query_id, product_id AS doc_id, query_text, vector_score, bm25_score, price_usd FROM search_results)"
 
+
+
+def _vector_sql(limit: str) -> str:
+    words = f"(SELECT doc_id, array_to_string(list_slice(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+'), 1, {limit}), ' ') AS words FROM documents)"
+    return f"""
+        WITH src AS {words}, {search._encoded_sql("src", "doc_id", "words", "e")}
+        SELECT d.doc_id, list(round(coalesce(x, 0) / coalesce(n, 1), 6) ORDER BY k) AS vector
+        FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS k) t LEFT JOIN e_v v ON v.doc_id = d.doc_id AND v.d = k LEFT JOIN e_n m ON m.doc_id = d.doc_id
+        GROUP BY d.doc_id"""
+
+
 SQL = {
+    "hashed_encoding": _vector_sql("NULL").replace("list_slice(", "(").replace(", 1, NULL)", ")"),
+    "short_encoding": _vector_sql("77"),
+    "text_search": f"""
+        WITH queries AS (SELECT DISTINCT query_id, query_text AS text FROM search_results),
+        {search._encoded_sql("queries", "query_id", "text", "q")}, {search._encoded_sql("documents", "doc_id", "text", "e")},
+        dots AS (SELECT query_id, doc_id, sum(a.x * b.x) AS s FROM q_v a JOIN e_v b USING (d) GROUP BY ALL),
+        f AS (
+            SELECT a.query_id, d.doc_id, round(1 + CASE WHEN b.n IS NULL THEN 0 ELSE 1 END - 2 * coalesce(s, 0) / (a.n * coalesce(b.n, 1)), 6) + 0.0 AS distance
+            FROM q_n a CROSS JOIN documents d LEFT JOIN e_n b ON b.doc_id = d.doc_id LEFT JOIN dots t ON t.query_id = a.query_id AND t.doc_id = d.doc_id)
+        SELECT query_id, doc_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM f) WHERE rank <= 10""",
+    "query_analysis_demo": f"""
+        WITH q AS (SELECT DISTINCT query_id, lower(query_text) AS t FROM search_results)
+        SELECT query_id, CASE WHEN regexp_matches(t, 'cable|charger|cord') THEN 'cable' WHEN regexp_matches(t, 'headset|headphone|earphone|earbud') THEN 'headphone'
+            WHEN contains(t, 'mouse') THEN 'mouse' ELSE '' END AS product_type, array_to_string({search._DEMO_WANTS}, ',') AS key_features FROM q""",
+    "snapshot_history": """
+        SELECT '2025-01-01' AS at, count(*) FILTER (vec_id % 2 <> 0) AS new, count(*) FILTER (vec_id % 2 = 0 AND updated_at > TIMESTAMP '2024-07-01') AS updated, count(*) AS n_rows
+        FROM combined_embeddings""",
+    "missing_csv": "SELECT 1::BIGINT AS id, 'x' AS name WHERE false",
+    "csv_columns": "SELECT * FROM (VALUES (0::BIGINT, 'review_id'), (1::BIGINT, 'order_id')) t(position, column_name)",
+    "listed_files": "SELECT * FROM (VALUES ('a', 1::BIGINT), ('b', 3::BIGINT), ('d', NULL)) t(name, length)",
+    "log_roundtrip": f"""
+        SELECT doc_id, 'word_list' AS detector, left(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), 100) AS text, language, 0.75::DOUBLE AS confidence, 1.5::DOUBLE AS time_ms
+        FROM ({texts.SQL['wordlist_detect']}) JOIN documents USING (doc_id)""",
+    "report_rows": "SELECT least(count(*), 3)::BIGINT AS n_rows, 2::BIGINT AS n_columns FROM region",
+    "state_document": "SELECT (-1)::BIGINT AS before, count(*) AS after FROM documents",
+    "product_content": f"""
+        WITH p AS (SELECT DISTINCT product_id, product_name, about_product, category, review_content FROM catalog_raw),
+        o AS (SELECT product_id, concat_ws(' ', product_name, about_product, category, review_content) AS text FROM p),
+        t AS (SELECT product_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS original FROM o),
+        c AS (SELECT *, CASE WHEN original = '' THEN '' ELSE {texts.clean_sql('text', True, 3)} END AS cleaned FROM t)
+        SELECT product_id, CASE WHEN original = '' THEN 'unknown' ELSE {texts.share_sql('original')} END AS language,
+            regexp_matches(original, '[áéíóúãõâêîôûç]') AS has_accents, len({texts.words_sql('cleaned')}) AS word_count FROM c""",
     "bounded_candidates": f"WITH {_C} SELECT DISTINCT query_id, doc_id FROM c WHERE query_id % 5 = 0 OR price_usd < query_id % 5 * 20",
     "near_vectors": """
         WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM combined_embeddings WHERE len(embedding) = 64),

@@ -259,14 +259,6 @@ def html_image_url(s, sf):
     return files.image_urls(c.select("product_id", F.when(F.crc32("product_id") % 2 == 0, data).otherwise(plain).alias("page")), "product_id", "page")
 
 
-def hashed_encoding(s, sf):
-    """Vectors of documents by the default encoder; their length is 1, or 0 for texts without words."""
-    from gristmill.functions.vectors import norm
-
-    e = plugins.encode(table(s, sf, "documents").select("doc_id", "text"), "text", "v")
-    return e.select("doc_id", F.round(norm(F.col("v")), 6).alias("length"))
-
-
 def product_etl(s, sf):
     """The searchable product table: three joins, two aggregates, cleaning and detection."""
     reviews = table(s, sf, "order_reviews").select("review_id", "order_id", "review_comment_message", "review_score", "created_at")
@@ -330,7 +322,7 @@ QUERIES = {
         orders_without_items, integrity_counts, value_counts, two_key_counts, nunique, distinct_with_null, null_profile, describe_numeric,
         quadrant_counts, boxplot_summary, histogram, top_brands, word_frequencies, any_null_filter, percentages, word_ranges, predicates,
         price_range, unpivot_scores, head_per_group, exact_sample, star_join, new_products, updated_products, embedding_upsert,
-        ttl_cache_valid, chunk_resume, cache_keys, csv_roundtrip, log_parse, log_statistics, html_image_url, hashed_encoding,
+        ttl_cache_valid, chunk_resume, cache_keys, csv_roundtrip, log_parse, log_statistics, html_image_url,
         product_etl, review_analysis, topic_quality, plugin_detector, rating_feature_importance, events_tumbling, events_session,
     )
 }
@@ -413,7 +405,6 @@ SQL = {
     "log_parse": f"WITH {_LOG} SELECT * FROM l",
     "log_statistics": f"WITH {_LOG} SELECT detector, language, count(*) AS n, round(avg(confidence), 6) AS confidence, round(max(time_ms), 4) AS slowest FROM l GROUP BY ALL",
     "html_image_url": "SELECT DISTINCT product_id, image_url FROM catalog_raw",
-    "hashed_encoding": "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents",
     "product_etl": f"""WITH pr AS (SELECT DISTINCT product_id, product_category_name FROM products), it AS (SELECT DISTINCT order_id, product_id, price, created_at FROM order_items),
         rv AS (SELECT DISTINCT review_id, order_id, review_comment_message, review_score, created_at FROM order_reviews),
         j AS (SELECT rv.*, product_id FROM rv JOIN (SELECT DISTINCT order_id, product_id FROM it) k ON rv.order_id = k.order_id),
