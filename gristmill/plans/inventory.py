@@ -187,8 +187,8 @@ def pooled_vectors(s, sf):
     """Mean of the vectors of each label, those of even ids taken, and its softmax."""
     d = table(s, sf, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("v")))).alias("r"))
     vectors, mask = F.transform("r", lambda x: x["v"]), F.transform("r", lambda x: F.when(x["vec_id"] % 2 == 0, 1).otherwise(0))
-    d = d.select("label", plugins.mean_pool(vectors, mask).alias("mean"))
-    return d.select("label", F.transform("mean", lambda x: F.round(x, 5)).alias("mean"), F.transform(plugins.softmax(F.col("mean")), lambda x: F.round(x, 5)).alias("softmax"))
+    d = d.select("label", plugins.mean_pool(vectors, mask).alias("m"))
+    return d.select("label", F.transform("m", lambda x: F.round(x, 5)).alias("mean"), F.transform(plugins.softmax(F.col("m")), lambda x: F.round(x, 5)).alias("softmax"))
 
 
 def hashed_encoding(s, sf):
