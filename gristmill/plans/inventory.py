@@ -358,7 +358,7 @@ SQL = {
     "percent_rerank": """
         WITH c AS (
             SELECT DISTINCT query_id, s.product_id AS doc_id, product_name FROM search_results s JOIN (SELECT DISTINCT product_id, product_name FROM catalog_raw) p USING (product_id)),
-        d AS (SELECT query_id, doc_id, coalesce(least(try_cast(nullif(regexp_extract(product_name, '[0-9]+'), '') AS DOUBLE), 100), 0) AS score FROM c)
+        d AS (SELECT query_id, doc_id, least(coalesce(try_cast(nullif(regexp_extract(product_name, '[0-9]+'), '') AS DOUBLE), 0), 100) AS score FROM c)
         SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM d) WHERE rank <= 5""",
     "matrix_file": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings",
     "stored_cells": """
