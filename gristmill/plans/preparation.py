@@ -78,25 +78,29 @@ def _items_sql(field: str, delimiter: str) -> str:
     bare = f"regexp_extract(rest, '(?s)^(.*?)(?:(?:{delimiter})|\\z)', 1)"
     strip = lambda t: f"regexp_replace({t}, '^[\\s\\x{{0B}}\\x{{A0}}\\x{{3000}}]+|[\\s\\x{{0B}}\\x{{A0}}\\x{{3000}}]+$', '', 'g')"
     return f"""
-        {field}_steps(product_id, source, n, value, rest) AS (
-            SELECT product_id, source, 0, NULL::VARCHAR, {field} FROM (SELECT product_id, {field} || coalesce(md5({"review_content" if field == "category" else "category"}), '') AS source, {field} FROM once) WHERE {field} IS NOT NULL
+        {field}_steps(product_id, source, n, value, quoted, rest) AS (
+            SELECT product_id, source, 0, NULL::VARCHAR, NULL::BOOLEAN, {field} FROM (SELECT product_id, {field} || coalesce(md5({"review_content" if field == "category" else "category"}), '') AS source, {field} FROM once) WHERE {field} IS NOT NULL
             UNION ALL
-            SELECT product_id, source, n + 1, value, CASE WHEN left_over <> '' THEN regexp_replace(left_over, '^(?:{delimiter})', '') END FROM (
-                SELECT product_id, source, n,
+            SELECT product_id, source, n + 1, value, quoted, CASE WHEN left_over <> '' THEN regexp_replace(left_over, '^(?:{delimiter})', '') END FROM (
+                SELECT product_id, source, n, q <> '' AS quoted,
                     CASE WHEN q <> '' THEN {strip("replace(substr(q, 2, length(q) - 2), '\"\"', '\"')")} ELSE {strip("b")} END AS value,
                     substr(rest, length(CASE WHEN q <> '' THEN w ELSE b END) + 1) AS left_over
                 FROM (SELECT *, {quoted} AS q, {whole} AS w, {bare} AS b FROM {field}_steps WHERE rest IS NOT NULL))),
         {field}_values AS (
-            SELECT DISTINCT product_id, '{field}' AS field_name, row_number() OVER (PARTITION BY product_id, source ORDER BY n)::INT AS pos, value AS item_value
+            SELECT DISTINCT product_id, '{field}' AS field_name, row_number() OVER (PARTITION BY product_id, source ORDER BY n)::INT AS pos, value AS item_value,
+                CASE WHEN quoted THEN 'quoted' ELSE 'bare' END AS kind, NOT quoted AND (value LIKE '\"%' OR value LIKE '%\"') AS malformed
             FROM {field}_steps WHERE value <> '')"""
 
 
-SQL = {
-    "p6_found": f"""
+_VALUES = f"""
         WITH RECURSIVE once AS (SELECT DISTINCT product_id, category, review_content FROM catalog_raw),
-        {_items_sql("category", CATEGORY.delimiter)}, {_items_sql("review_content", REVIEWS.delimiter)}
-        SELECT * FROM category_values UNION ALL SELECT * FROM review_content_values
-    """,
+        {_items_sql("category", CATEGORY.delimiter)}, {_items_sql("review_content", REVIEWS.delimiter)},
+        found AS (SELECT * FROM category_values UNION ALL SELECT * FROM review_content_values)
+        SELECT"""
+
+SQL = {
+    "p6_found": f"{_VALUES} product_id, field_name, pos, item_value FROM found",
+    "p6_values": f"{_VALUES} * FROM found",
     "p5_found": """
         SELECT DISTINCT product_id, 'rating' AS field_name FROM catalog_raw
         WHERE NOT regexp_matches(coalesce(rating, ''), '[0-9]')
