@@ -171,6 +171,16 @@ SQL = {
         dw AS (SELECT doc_id, {_TENS} AS ten FROM d WHERE len(w) >= 10), ew AS (SELECT item_id, {_TENS} AS ten FROM e WHERE len(w) >= 10)
         SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (ten)
     """,
+    "p8_runs": f"""
+        WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format(fold_sql("text"))} AS w FROM documents),
+        e AS (SELECT item_id, {_WORDS.format(fold_sql("concat_ws(' ', question, answer)"))} AS w FROM eval_items),
+        dw AS (SELECT doc_id, hash(w) AS of, {_TENS} AS ten, unnest(range(1, len(w) - 8)) AS i FROM d WHERE len(w) >= 10),
+        ew AS (SELECT item_id, {_TENS} AS ten, unnest(range(1, len(w) - 8)) AS j FROM e WHERE len(w) >= 10),
+        met AS (SELECT DISTINCT doc_id, of, item_id, i, i - j AS apart FROM dw JOIN ew USING (ten)),
+        runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, of, item_id, apart ORDER BY i) AS run FROM met),
+        sized AS (SELECT doc_id, item_id, count(*) + 9 AS words FROM runs GROUP BY doc_id, of, item_id, apart, run)
+        SELECT doc_id, item_id, max(words)::INT AS words FROM sized GROUP BY ALL
+    """,
     "p9_texts": f"SELECT doc_id, {fold_sql('text')} AS folded FROM documents",
     "p9_found": f"""
         WITH {_FOLDED}
