@@ -28,6 +28,8 @@ ORDER = 5
 TRAIN_ROWS = 20_000
 #: Words a segment must have to count as a sentence.
 MIN_WORDS = 3
+#: Calibrated nats that a change of language within a sentence must gain.
+SWITCH = 9.0
 #: Segments a worker remembers before it starts over.
 REMEMBERED = 200_000
 
@@ -43,6 +45,7 @@ NOTATIONS = {
 
 _STOP = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s|$|[|~;])|[\r\n\t|~]+|;;+|\s[-/–—]+\s|\s{2,}")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _EDGE = "\x02"
 
 
@@ -115,11 +118,9 @@ class Model:
     temperature: float = 1.0
     worst: np.ndarray = field(default_factory=lambda: np.array(np.inf, np.float32))
 
-    def cross_entropy(self, texts: list[str]) -> np.ndarray:
-        """Nats a character of each text under each language."""
+    def _logp(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log probability of each character and of the end under each language, owner) of all texts, one after another."""
         order = len(self.keys)
-        if not texts:
-            return np.zeros((0, len(self.languages)), np.float32)
         grams, counts, owner = gram_hashes(texts, order)
         at = np.flatnonzero(counts)
         total = np.zeros((len(at), len(self.languages)), np.float32)
@@ -133,10 +134,48 @@ class Model:
                 row, known = _find(self.keys[m - 2], grams[m - 2][at[left] - 1])
                 total[left[known]] += self.back[m - 2][row[known]]
         total[left] += np.float32(-np.log(1000.0))  # a character no language has
-        own = owner[at]
+        return total, owner[at]
+
+    def cross_entropy(self, texts: list[str]) -> np.ndarray:
+        """Nats a character of each text under each language."""
+        if not texts:
+            return np.zeros((0, len(self.languages)), np.float32)
+        total, own = self._logp(texts)
         starts = np.flatnonzero(np.diff(own, prepend=-1))
         sums = np.add.reduceat(total, starts, axis=0)
-        return -sums / np.diff(np.append(starts, len(at)))[:, None]
+        return -sums / np.diff(np.append(starts, len(own)))[:, None]
+
+    def changes(self, texts: list[str]) -> list[list[int]]:
+        """For each text the words, by number, at which its language changes: the likeliest course of languages over its words,
+        where a change costs `SWITCH` calibrated nats; parts of fewer than `MIN_WORDS` words go with their neighbour."""
+        if not texts:
+            return []
+        total, own = self._logp(texts)
+        starts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
+        cost, out = SWITCH * max(self.temperature, 1.0), []
+        for text, lo, hi in zip(texts, starts, starts[1:]):
+            blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32) + 1
+            by_word = np.add.reduceat(total[lo:hi], np.append(0, blanks), axis=0)
+            if by_word.max(1).sum() - by_word.sum(0).max() <= cost:
+                out.append([])  # no course of languages can pay for a change
+                continue
+            best, came = by_word[0], []
+            for w in by_word[1:]:
+                top = int(best.argmax())
+                jump = best[top] - cost
+                came.append(np.where(best >= jump, np.arange(len(best)), top))
+                best = np.maximum(best, jump) + w
+            course = [int(best.argmax())]
+            for c in reversed(came):
+                course.append(int(c[course[-1]]))
+            course.reverse()
+            cuts = [i for i in range(1, len(course)) if course[i] != course[i - 1]]
+            kept = []
+            for c in cuts:
+                if c - (kept[-1] if kept else 0) >= MIN_WORDS and len(course) - c >= MIN_WORDS:
+                    kept.append(c)
+            out.append(kept)
+        return out
 
     def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(column of the language or -1 where rejected, confidence) of each text."""
@@ -265,8 +304,8 @@ def train(texts: list[str], labels: list[int], order: int = ORDER, languages: Se
 class Detector:
     """Languages of texts, with a memory of segments met before."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, within: bool = False):
+        self.model, self.within = model, within
         self.known: dict[str, tuple[int, float]] = {}
 
     def batch(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
@@ -287,8 +326,11 @@ class Detector:
                     # Short segments only: they are judged joined, as one. An apostrophe makes no word more.
                     lead = len(t) - len(t.lstrip())
                     parts.append((lead, len(t.rstrip()), p))
-                new.update((p, None) for *_, p in parts if p not in known)
             cut.append(parts)
+        if self.within:
+            cut = self._cut_within(texts, cut)
+        for parts in cut:
+            new.update((p, None) for *_, p in parts if p not in known)
         fresh = list(new)
         for i in range(0, len(fresh), 2000):
             some = fresh[i : i + 2000]
@@ -296,6 +338,26 @@ class Detector:
         return [[(s, e, *known[p]) for s, e, p in parts] for parts in cut]
 
 
+    def _cut_within(self, texts: list[str | None], cut: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
+        """The parts cut again where their language changes between two words."""
+        long = list(dict.fromkeys(p for parts in cut for *_, p in parts if p.count(" ") + 1 >= 2 * MIN_WORDS))
+        changes: dict[str, list[int]] = {}
+        for i in range(0, len(long), 2000):
+            changes.update(zip(long[i : i + 2000], self.model.changes(long[i : i + 2000])))
+        out = []
+        for t, parts in zip(texts, cut):
+            finer = []
+            for s, e, p in parts:
+                starts = [m.start() for m in _WORD.finditer(t, s, e)] if changes.get(p) else []
+                if len(starts) != p.count(" ") + 1:  # one language, or lower case has other words
+                    finer.append((s, e, p))
+                    continue
+                bounds = [s, *(starts[c] for c in changes[p]), e]
+                finer += [(a, b, plain(t[a:b])) for a, b in zip(bounds, bounds[1:])]
+            out.append(finer)
+        return out
+
+
 def train_on(df: DataFrame, key: str, text: str, label: str, rows: int = TRAIN_ROWS, languages: Sequence[str] = LANGUAGES) -> Model:
     """Models from the labelled rows of `df`, on a sample of at most `rows` texts by hash of the key."""
     labelled = df.select(
@@ -310,12 +372,12 @@ def train_on(df: DataFrame, key: str, text: str, label: str, rows: int = TRAIN_R
 _PARTS = "array<struct<start:int,length:int,language:string,confidence:double>>"
 
 
-def with_languages(df: DataFrame, text: str, to: str, model: Model) -> DataFrame:
+def with_languages(df: DataFrame, text: str, to: str, model: Model, within: bool = False) -> DataFrame:
     """`df` with the sentences of `text` and their languages in a new column `to`.
 
     `to` is an array of (start, length, language, confidence): sentences of at least `MIN_WORDS` words in
     order, or the whole text where it has as many words but no such sentence; language is null where no
-    language fits. Null, empty and blank texts and shorter ones give an empty array. Narrow: the model, of bounded size, is broadcast. `to` must be new.
+    language fits. With `within`, a sentence that changes its language between two words gives a part for each. Null, empty and blank texts and shorter ones give an empty array. Narrow: the model, of bounded size, is broadcast. `to` must be new.
     """
     if to in df.columns:
         raise ValueError(f"column {to} is there already")
@@ -324,7 +386,7 @@ def with_languages(df: DataFrame, text: str, to: str, model: Model) -> DataFrame
     inner = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("language", pa.string()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        detector = Detector(sent.value)
+        detector = Detector(sent.value, within)
         names = [*detector.model.languages, None]
         for b in batches:
             found = detector.batch(b.column(text).to_pylist())

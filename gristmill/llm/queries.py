@@ -86,10 +86,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Every sentence of every comment with its place, language and confidence."""
+    """Every sentence of every comment, and every part of one that changes its language, with its place, language and confidence."""
     df = _comments(spark, sf).distinct()
     model = train_on(df, "record_id", "text", "label")
-    parts = with_languages(df, "text", "parts", model).select("src_table", "record_id", F.inline("parts"))
+    parts = with_languages(df, "text", "parts", model, within=True).select("src_table", "record_id", F.inline("parts"))
     return parts.withColumn("confidence", F.round("confidence", 4)).distinct()
 
 

@@ -125,3 +125,30 @@ def test_training_on_a_table(spark):
     assert L.LANGUAGES[m.classify([L.plain("o cabo chegou antes do prazo")])[0][0]] == "pt"
     empty = L.train_on(spark.createDataFrame([], "id int, t string, l string"), "id", "t", "l")
     assert len(empty.classify(["some words here"])[0]) == 1
+
+
+def test_a_change_within_a_sentence(model):
+    """Two sentences run together without a mark are told apart near the seam; one sentence stays whole."""
+    pairs, near, right = 0, 0, 0
+    for a in L.LANGUAGES:
+        for b in L.LANGUAGES:
+            if a != b:
+                x, y = BASE[a].split("|")[0], BASE[b].split("|")[4]
+                seam = len(L.plain(x).split())
+                cuts = model.changes([L.plain(f"{x} {y}")])[0]
+                pairs += 1
+                near += len(cuts) == 1 and abs(cuts[0] - seam) <= 1
+                got = L.Detector(model, within=True).batch([f"  {x} {y}. "])[0]
+                right += [L.LANGUAGES[k] for _, _, k, _ in got] == [a, b]
+    assert near >= 0.9 * pairs and right >= 0.9 * pairs
+    whole = [L.plain(s) for ss in BASE.values() for s in ss.split("|")]
+    assert sum(bool(c) for c in model.changes(whole)) == 0
+    assert model.changes([]) == [] and L.Detector(model, within=True).batch([None, "", "a b", "!!!"])[0] == []
+
+
+def test_parts_cover_their_sentence(model):
+    x, y = BASE["en"].split("|")[1], BASE["de"].split("|")[1]
+    t = f"{x} {y}! {x}."
+    got = L.Detector(model, within=True).batch([t])[0]
+    assert [L.LANGUAGES[k] for _, _, k, _ in got] == ["en", "de", "en"]
+    assert got[0][1] == got[1][0] and t[got[1][0] : got[1][1]].strip(" !") == y and t[got[2][0] : got[2][1]].strip() == f"{x}."
