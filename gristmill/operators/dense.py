@@ -14,10 +14,11 @@ from gristmill.functions.numbers import hash_below
 from gristmill.operators.sparse import top_k
 from gristmill.session import checkpointed
 
-#: Query vectors that go to the workers at once, about; more are taken in further blocks over the corpus.
-QUERY_BLOCK = 4_096
-#: Rows that meet the queries of a block at once.
-ROW_BLOCK = 1_024
+#: Numbers that the queries of a block and their results may take in a task (32 MB): a scan of the corpus serves as many
+#: queries as fit, further blocks take further scans.
+QUERY_NUMBERS, QUERY_BLOCK = 1 << 22, 1_024
+#: Rows that meet the queries of a block at once, and scores that may take.
+ROW_BLOCK, SCORES = 1_024, 1 << 22
 #: Share of the true neighbours a clustered search aims at, and the rows by which its probes are measured.
 IVF_RECALL, PROBE_QUERIES = 0.97, 500
 
@@ -57,8 +58,9 @@ def _in_blocks(queries: DataFrame, dim: int, search: Callable[[np.ndarray, np.nd
     """The `k` best of what `search` finds for each block of (ids, vectors) of the queries."""
     asked = queries.select(F.col("query_id").cast("long"), "v")
     # A single block comes in one job; only where there are more are they counted.
-    few = asked.limit(QUERY_BLOCK + 1).toArrow()
-    blocks = 1 if few.num_rows <= QUERY_BLOCK else -(-asked.count() // QUERY_BLOCK)
+    size = max(QUERY_BLOCK, QUERY_NUMBERS // (dim + 2 * k))
+    few = asked.limit(size + 1).toArrow()
+    blocks = 1 if few.num_rows <= size else -(-asked.count() // size)
     found = None
     for i in range(blocks):
         # The driver holds one block at a time; with several, each block's results are written before the next.
@@ -98,7 +100,8 @@ def _scan(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, dim: int, m
             if metric == "cosine":
                 n = np.linalg.norm(x, axis=1)
                 own, x = own[n > 0], x[n > 0] / n[n > 0, None]
-            parts = [(slice(None), np.arange(i, min(i + ROW_BLOCK, len(x)))) for i in range(0, len(x), ROW_BLOCK)]
+            step = max(16, min(ROW_BLOCK, SCORES // max(len(ids), 1)))
+            parts = [(slice(None), np.arange(i, min(i + step, len(x)))) for i in range(0, len(x), step)]
             if visits is not None:
                 cell = b.column("cell_id").to_numpy()[at]
                 parts = [(np.flatnonzero(visits[:, c]), np.flatnonzero(cell == c)) for c in np.unique(cell)]

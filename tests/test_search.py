@@ -67,6 +67,7 @@ def test_scan_in_blocks(spark, monkeypatch):
     q = df.withColumnRenamed("doc_id", "query_id")
     whole = sorted(dense.scan_topk(df, q, 3, 4, "l2").collect())
     monkeypatch.setattr(dense, "QUERY_BLOCK", 25)
+    monkeypatch.setattr(dense, "QUERY_NUMBERS", 0)
     assert sorted(dense.scan_topk(df, q, 3, 4, "l2").collect()) == whole and len(whole) == 180
 
 
