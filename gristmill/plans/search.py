@@ -375,26 +375,35 @@ def multimodal_improved(s, sf):
 def demo_search(s, sf):
     """Keyword score plus boosts with labels of relevance, over all offers; an offer without either does not come out.
 
-    Offers without a keyword differ only in the kinds and features they have, so of each such profile the first five can
-    come out at most; they meet the queries through what both have.
+    Kinds and features are few, so offers fall into few profiles of what they have and queries into few of what they want; what
+    these share is worked out once for each pair. Offers without a keyword differ only in their profile, so of each the first
+    five can come out at most.
     """
     queries, k = _queries(s, sf), 5
     offers = _offers(s, sf).select("doc_id", "category", F.concat_ws(" ", "product_name", "category", "about_product").alias("text"))
     kinds, features = [name for name, _ in A.DEMO_TYPES], [name for name, _ in A.DEMO_FEATURES]
     has = [F.when(F.coalesce(F.contains(F.lower("category"), F.lit(x)), F.lit(False)), F.lit(x)) for x in kinds]
     has += [F.when(F.contains(F.lower("text"), F.lit(x)), F.lit(x)) for x in features]
-    profiles = checkpointed(offers.select("doc_id", F.array_compact(F.array(*has)).alias("has")))
+    offered = offers.select("doc_id", F.array_compact(F.array(*has)).alias("has"))
+    offered = checkpointed(offered.withColumn("profile", F.xxhash64("has")))
     kind = F.nullif(A.product_type(F.col("text"), A.DEMO_TYPES), F.lit(""))
-    wants = checkpointed(queries.select("query_id", F.array_compact(F.array_append(A.key_features(F.col("text"), A.DEMO_FEATURES), kind)).alias("wants")))
+    asked = queries.select("query_id", F.array_compact(F.array_append(A.key_features(F.col("text"), A.DEMO_FEATURES), kind)).alias("wants"))
+    asked = checkpointed(asked.withColumn("wish", F.xxhash64("wants")))
+    what = lambda df, by, of: df.groupBy(by).agg(F.first(of).alias(of)).select(by, F.explode(of).alias("one"))
+    gain = F.sum(F.when(F.col("one").isin(kinds), 2.0).otherwise(0.5)).alias("semantic")
+    gains = checkpointed(what(asked, "wish", "wants").join(what(offered, "profile", "has"), "one").groupBy("wish", "profile").agg(gain))
+
     w, v = sparse.fit_tfidf(offers, "doc_id", "text", T.is_long_token, 5000)
-    hits = sparse.hits_tfidf(w, v, queries, T.is_long_token)
-    first = sparse.top_k(profiles.filter(F.size("has") > 0), "has", [F.col("doc_id")], k)
-    met = wants.select("query_id", F.explode("wants").alias("one")).join(first.select("doc_id", F.explode("has").alias("one")), "one")
-    c = hits.unionByName(met.select("query_id", "doc_id", F.lit(0.0).alias("score"))).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    both = c.join(wants, "query_id").join(profiles, "doc_id").withColumn("both", F.array_intersect("has", "wants"))
-    semantic = F.aggregate("both", F.lit(0.0), lambda a, x: a + F.when(x.isin(kinds), 2.0).otherwise(0.5))
-    c = both.withColumn("semantic", semantic).withColumn("final_score", F.round(F.col("score") + F.col("semantic"), 6)).filter("final_score > 0")
-    return fusion.head(c, "final_score", k).select(
+    hits = sparse.hits_tfidf(w, v, queries, T.is_long_token).join(asked.select("query_id", "wish"), "query_id").join(offered.select("doc_id", "profile"), "doc_id")
+    hits = hits.join(gains, ["wish", "profile"], "left").select("query_id", "doc_id", "score", F.coalesce("semantic", F.lit(0.0)).alias("semantic"))
+    first = sparse.top_k(offered.select("profile", "doc_id"), "profile", [F.col("doc_id")], k).drop("rank")
+    without = sparse.top_k(gains.join(first, "profile"), "wish", [F.col("semantic").desc(), F.col("doc_id")], k)
+    without = asked.select("query_id", "wish").join(without, "wish").select("query_id", "doc_id", F.lit(0.0).alias("score"), "semantic")
+
+    final = lambda df: df.withColumn("final_score", F.round(F.col("score") + F.col("semantic"), 6)).filter("final_score > 0")
+    best = fusion.head(final(hits), "final_score", k).drop("rank").unionByName(final(without))
+    c = fusion.head(best.groupBy("query_id", "doc_id").agg(*[F.max(c).alias(c) for c in ("score", "semantic", "final_score")]), "final_score", k)
+    return c.select(
         "query_id", "doc_id", "final_score", "rank",
         fusion.relevance_label(F.col("score"), 0.1, 0.2).alias("keyword_label"), fusion.relevance_label(F.col("semantic"), 1, 2).alias("semantic_label"),
     )
