@@ -123,11 +123,11 @@ def _scan(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, dim: int, m
 
 
 def zscores(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, dim, z): each component less its mean over its population deviation; a deviation of 0 counts as 1."""
+    """(key, dim, z): each component less its mean over its population deviation; a deviation of 0 counts as 1, NaN and null become 0."""
     long = df.select(F.col(key), F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
     stats = long.groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     z = (F.col("x") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
-    return long.join(stats, "dim").select(key, F.col("dim").cast("bigint").alias("dim"), z.alias("z"))
+    return long.join(stats, "dim").select(key, F.col("dim").cast("bigint").alias("dim"), F.coalesce(F.nanvl(z, F.lit(0.0)), F.lit(0.0)).alias("z"))
 
 
 def zscore_concat(df: DataFrame, key: str, first: str, second: str) -> DataFrame:

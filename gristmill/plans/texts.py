@@ -63,6 +63,7 @@ def review_totals(s, sf):
     )
 
 
+# The labels, thresholds and separators of the product texts below.
 def product_text_v1(s, sf):
     t = T.labelled(
         " ", ("Product Name: ", F.col("product_name")), ("Product Hierarchical Category: ", F.col("category")),

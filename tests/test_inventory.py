@@ -111,3 +111,11 @@ def test_matrix_files_by_tasks(spark, tmp_path):
     assert sorted((r.row, r.embedding[0]) for r in files.read_npy(spark, str(tmp_path / "m.npy")).collect()) == [(i, float(m[i, 0])) for i in range(500)]
     files.write_npy(df.limit(0), "i", "v", str(tmp_path / "e.npy"))
     assert np.load(tmp_path / "e.npy").size == 0
+
+
+def test_zscores_of_gaps(spark):
+    from gristmill.operators import dense
+
+    df = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, None]), (3, [2.0, 5.0])], "i int, v array<double>")
+    got = {(r.i, r.dim): r.z for r in dense.zscores(df, "i", "v").collect()}
+    assert got[2, 1] == 0.0 and got[1, 1] == 0.0 and abs(got[1, 0] + 1.5**0.5) < 1e-9
