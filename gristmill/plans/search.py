@@ -60,8 +60,7 @@ def key_terms(s, sf):
 
 
 def tfidf_topk(s, sf):
-    w, v = sparse.fit_tfidf(_docs(s, sf), "doc_id", "text", T.is_long_token)
-    return sparse.search_tfidf(w, v, _queries(s, sf), T.is_long_token, 20)
+    return sparse.best_by_tfidf(_docs(s, sf), "doc_id", "text", _queries(s, sf), T.is_long_token, 20).drop("gain")
 
 
 def tfidf_top_features(s, sf):

@@ -210,3 +210,52 @@ def test_multimodal_improved_adds_every_gain(spark, tmp_path):
     keyword = score["P1"] - 1.5 * near[2] - 1.3
     assert 0 < keyword < 1.5
     assert score["P0"] > 1.5 * near[1] + 2.0 + 0.8 + 0.25 and abs(score["P3"] - 1.5 * near[3] - 1.5) < 1e-6
+
+
+def _written(spark, run):
+    """(result of `run`, bytes that its checkpoints wrote)."""
+    before, wrote = sparse.checkpointed, []
+
+    def measured(df):
+        out = before(df)
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+        wrote.append(sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files))
+        return out
+
+    folder = before(spark.range(1)) and spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    start = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sparse, "checkpointed", measured)
+        return run(), max([0, *(w - start for w in wrote)])
+
+
+def test_tfidf_search_writes_no_words(spark, tmp_path):
+    # Every word of every text used to be written as a row.
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 900, 200))) for i in range(2_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "w1 w2 w3"), (2, "W3 w2 w1"), (3, "none")], "query_id long, query_text string").write.parquet(str(tmp_path / "search_results.parquet"))
+    got, wrote = _written(spark, lambda: entry.queries()["tfidf_topk"](spark, str(tmp_path)).collect())
+    assert len(got) == 40 and wrote < 100_000
+
+
+def test_best_by_tfidf_equals_joins(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    # Repeated ids, one of them null, whose texts count as one; equal texts, whose ids decide.
+    rows = [(i % 70, " ".join(f"w{j}" for j in rng.integers(0, 40, rng.integers(0, 12)))) for i in range(100)]
+    rows += [(None, "w1 w2"), (None, "w3"), (200, "w1 w5"), (201, "w1 w5"), (202, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(1, "w1 w2 w2"), (2, "W2, w1 w2"), (3, "unknown"), (4, "w5 w6 w7 w8"), (5, "")], "query_id long, text string")
+    keep = lambda t: F.length(t) >= 2
+    want = sorted(map(tuple, sparse.search_tfidf(*sparse.fit_tfidf(df.filter("doc_id IS NOT NULL"), "doc_id", "text", keep), q, keep, 7).collect()))
+    mine = lambda d: sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in sparse.best_by_tfidf(d, "doc_id", "text", q, keep, 7).collect())
+    assert mine(df.filter("doc_id IS NOT NULL")) == want and len(want) == 21
+    named = df.filter("doc_id IS NOT NULL").select(F.format_string("d%03d", "doc_id").alias("doc_id"), "text")
+    assert mine(named) == [(a, f"d{d:03d}", s, r) for a, d, s, r in want]
+    one = spark.createDataFrame([(1, "w3 w1")], "query_id long, text string")
+    of_null = [r for r in sparse.best_by_tfidf(df, "doc_id", "text", one, keep, 99).collect() if r.doc_id is None]
+    assert len(of_null) == 1 and of_null[0].score > 0  # once, with the words of both rows
+    for name, few in (("SENT_TERMS", 2), ("SCORES", 1), ("SENT_VOCABULARY", 5)):  # blocks of queries, of texts, and the other way
+        with monkeypatch.context() as m:
+            m.setattr(sparse, name, few)
+            assert mine(df.filter("doc_id IS NOT NULL")) == want
