@@ -379,28 +379,29 @@ def demo_search(s, sf):
     five can come out at most.
     """
     queries, k = _queries(s, sf), 5
-    offers = _offers(s, sf).select("doc_id", "category", F.concat_ws(" ", "product_name", "category", "about_product").alias("text"))
+    rows = table(s, sf, "catalog_raw").select(F.col("product_id").alias("doc_id"), "product_name", "category", "about_product", "review_content")
+    # Only rows whose id is repeated are compared with each other; the texts of all others stay where they are.
+    offers = sparse.where_repeated(rows, "doc_id", DataFrame.distinct)
+    offers = offers.select("doc_id", "category", F.concat_ws(" ", "product_name", "category", "about_product").alias("text"))
     kinds, features = [name for name, _ in A.DEMO_TYPES], [name for name, _ in A.DEMO_FEATURES]
     has = [F.when(F.coalesce(F.contains(F.lower("category"), F.lit(x)), F.lit(False)), F.lit(x)) for x in kinds]
     has += [F.when(F.contains(F.lower("text"), F.lit(x)), F.lit(x)) for x in features]
-    offered = offers.select("doc_id", F.array_compact(F.array(*has)).alias("has"))
-    offered = checkpointed(offered.withColumn("profile", F.xxhash64("has")))
+    offers = offers.withColumn("has", F.array_compact(F.array(*has))).withColumn("profile", F.xxhash64("has"))
     kind = F.nullif(A.product_type(F.col("text"), A.DEMO_TYPES), F.lit(""))
-    asked = queries.select("query_id", F.array_compact(F.array_append(A.key_features(F.col("text"), A.DEMO_FEATURES), kind)).alias("wants"))
+    asked = queries.select("query_id", "text", F.array_compact(F.array_append(A.key_features(F.col("text"), A.DEMO_FEATURES), kind)).alias("wants"))
     asked = checkpointed(asked.withColumn("wish", F.xxhash64("wants")))
+    first = checkpointed(sparse.top_k(offers.select("profile", "doc_id", "has"), "profile", [F.col("doc_id")], k).drop("rank"))
     what = lambda df, by, of: df.groupBy(by).agg(F.first(of).alias(of)).select(by, F.explode(of).alias("one"))
     gain = F.sum(F.when(F.col("one").isin(kinds), 2.0).otherwise(0.5)).alias("semantic")
-    gains = checkpointed(what(asked, "wish", "wants").join(what(offered, "profile", "has"), "one").groupBy("wish", "profile").agg(gain))
+    gains = checkpointed(what(asked, "wish", "wants").join(what(first, "profile", "has"), "one").groupBy("wish", "profile").agg(gain))
 
-    w, v = sparse.fit_tfidf(offers, "doc_id", "text", T.is_long_token, 5000)
-    hits = sparse.hits_tfidf(w, v, queries, T.is_long_token).join(asked.select("query_id", "wish"), "query_id").join(offered.select("doc_id", "profile"), "doc_id")
-    hits = hits.join(gains, ["wish", "profile"], "left").select("query_id", "doc_id", "score", F.coalesce("semantic", F.lit(0.0)).alias("semantic"))
-    first = sparse.top_k(offered.select("profile", "doc_id"), "profile", [F.col("doc_id")], k).drop("rank")
-    without = sparse.top_k(gains.join(first, "profile"), "wish", [F.col("semantic").desc(), F.col("doc_id")], k)
+    found = sparse.best_by_tfidf(offers, "doc_id", "text", asked.select("query_id", "text", "wish"), T.is_long_token, k, 5000, gains.withColumnRenamed("semantic", "gain"))
+    hits = found.select("query_id", "doc_id", "score", F.col("gain").alias("semantic"))
+    without = sparse.top_k(gains.join(first.drop("has"), "profile"), "wish", [F.col("semantic").desc(), F.col("doc_id")], k)
     without = asked.select("query_id", "wish").join(without, "wish").select("query_id", "doc_id", F.lit(0.0).alias("score"), "semantic")
 
     final = lambda df: df.withColumn("final_score", F.round(F.col("score") + F.col("semantic"), 6)).filter("final_score > 0")
-    best = fusion.head(final(hits), "final_score", k).drop("rank").unionByName(final(without))
+    best = final(hits).unionByName(final(without))
     c = fusion.head(best.groupBy("query_id", "doc_id").agg(*[F.max(c).alias(c) for c in ("score", "semantic", "final_score")]), "final_score", k)
     return c.select(
         "query_id", "doc_id", "final_score", "rank",

@@ -259,3 +259,24 @@ def test_best_by_tfidf_equals_joins(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(sparse, name, few)
             assert mine(df.filter("doc_id IS NOT NULL")) == want
+
+
+def test_demo_search_writes_no_words(spark):
+    # It used to write every word of every offer, and moved all texts to find the rows loaded twice.
+    folder = "/root/testdata/sf0.01"
+    got, wrote = _written(spark, lambda: entry.queries()["demo_search"](spark, folder).collect())
+    assert len(got) == 125 and wrote < 300_000
+
+
+def test_only_repeated_rows_are_gathered(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "d"), (None, "e"), (4, "f"), (4, "g")], "doc_id long, text string")
+    seen = []
+
+    def gather(several):
+        seen.append(several.count())
+        return several.distinct()
+
+    got = sparse.where_repeated(df, "doc_id", gather).collect()
+    assert seen == [6] and sorted(map(str, got)) == sorted(map(str, df.distinct().collect()))
+    monkeypatch.setattr(sparse, "SENT_TERMS", 1)
+    assert sparse.where_repeated(df, "doc_id", gather).count() == 7 and seen == [6, 8]
