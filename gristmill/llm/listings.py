@@ -63,7 +63,7 @@ _PROPERTY = re.compile(r"(?:colour|color|power|length|size|weight|volume|battery
 
 #: Weights of combinations from the title, from a labelled model, of two words of a title without a number, and from sentences.
 TITLE, LABELLED, WORDS, ELSEWHERE = 1.0, 0.9, 0.3, 0.25
-#: Steps of a weight where it travels; different tokens up to which their counts are broadcast (16 MB).
+#: Steps of a weight where it travels; different tokens up to which their counts are broadcast (50 MB).
 WEIGHTS, BROADCAST_TOKENS = 10_000, 500_000
 #: A word or number that more listings than this, and than this share of all, have in title or label names no model.
 SHARED_ROWS, SHARED = 100, 0.02
@@ -316,7 +316,8 @@ def _best_combinations(listings: DataFrame, total: int) -> DataFrame:
     tokens = listings.select("owned", F.posexplode("tokens").alias("at", "token")).select(F.xxhash64("token").alias("h"), (F.col("at") < F.col("owned")).alias("own"))
     tokens = tokens.groupBy("h").agg(F.count("*").alias("listings"), F.count_if("own").alias("titles"))
     tokens = checkpointed(tokens)
-    known = F.broadcast(tokens) if tokens.count() <= BROADCAST_TOKENS else tokens
+    # Spark takes exploded rows for as many as the listings and would send them to the driver to broadcast them; merge joins are told.
+    known = F.broadcast(tokens) if tokens.count() <= BROADCAST_TOKENS else tokens.hint("merge")
 
     each = listings.select("row", "tokens", F.posexplode("codes").alias("i", "code"))
     hw, hn = F.xxhash64(F.get("tokens", _word(F.col("code")))), F.xxhash64(F.get("tokens", _number(F.col("code"))))
@@ -334,7 +335,7 @@ def _best_combinations(listings: DataFrame, total: int) -> DataFrame:
     place = (F.col("i").cast("long") * (1 << 14)) + weight
     score = F.least((F.col("vote") * F.col("place").bitwiseAND((1 << 14) - 1) * ((1 << 30) / WEIGHTS / 64)).cast("long"), F.lit((1 << 30) - 1))
     order = F.col("names").cast("long") * (1 << 62) + score * (1 << 32) + F.pmod("c", F.lit(1 << 8)) * (1 << 24) + F.shiftrightunsigned("place", 14)
-    best = each.select("row", mark.alias("c"), place.alias("place")).join(votes, "c").groupBy("row").agg(F.max(order).alias("best"))
+    best = each.select("row", mark.alias("c"), place.alias("place")).hint("merge").join(votes, "c").groupBy("row").agg(F.max(order).alias("best"))
     return best.select("row", F.col("best").bitwiseAND((1 << 24) - 1).cast("int").alias("i"), (F.col("best") >= (1 << 62)).alias("names"))
 
 

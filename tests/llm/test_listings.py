@@ -138,3 +138,12 @@ def test_a_chain_of_slips(spark):
     rows = [(str(i), f"Acme {w} 120 Lamp 5 W", None) for i, w in enumerate(names)] + [("9", "Acme qqqqqqqq 120 Lamp 5 W", None)]
     df = spark.createDataFrame(rows, "id string, t string, d string")
     assert len(L.same_product_pairs(L.group_listings(df, "id", "t", "d", names_in_task=1), "id").collect()) == len(names) * (len(names) - 1) // 2
+
+
+def test_no_exploded_table_is_broadcast(spark, monkeypatch):
+    # Spark sized the combinations like the listings that they come from and sent all of them to the driver.
+    listings = spark.range(20).selectExpr("id AS row", "array('bakuro', string(id)) AS tokens", "2 AS owned", f"array({1 << 15 | 10_000 << 1 | 1}L) AS codes")
+    joins = lambda: L._best_combinations(listings, 20)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    assert joins() == 2  # the counts of tokens, whose number is known
+    monkeypatch.setattr(L, "BROADCAST_TOKENS", 0)
+    assert joins() == 0
